@@ -131,12 +131,15 @@ lm_ptype AS (
 lm_agg AS (
   SELECT l_suppkey AS asset_number, period,
          max(flag) AS default_flag,
-         min(l_tax) AS min_tax, avg(l_tax) AS avg_tax, max(l_discount) AS max_disc,
-         avg(net) AS avg_net, min(l_quantity) AS min_qty, avg(l_quantity) AS avg_qty,
-         sum(net) AS sched_balance, sum(l_extendedprice) AS gross_balance,
-         sum(CASE WHEN l_tax > 0 THEN l_quantity * p_retailprice END) AS appraisal_curr,
+         min(tax_pp) AS min_tax, CAST(sum(tax_pp) AS DOUBLE) / count(*) AS avg_tax, max(disc_pp) AS max_disc,
+         sum(cents * (100 - disc_pp)) AS sum_net, min(qty) AS min_qty, CAST(sum(qty) AS DOUBLE) / count(*) AS avg_qty,
+         sum(cents) AS sum_cents,
+         sum(CASE WHEN tax_pp > 0 THEN qty * retail_c END) AS appr_c,
          any_value(n_name) AS state, count(*) AS n_properties
-  FROM lm_base GROUP BY l_suppkey, period
+  FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+               CAST(round(l_discount * 100) AS BIGINT) AS disc_pp, CAST(round(l_tax * 100) AS BIGINT) AS tax_pp,
+               CAST(l_quantity AS BIGINT) AS qty, CAST(round(p_retailprice * 100) AS BIGINT) AS retail_c
+        FROM lm_base) GROUP BY l_suppkey, period
 ),
 panel AS (
   SELECT a.asset_number, a.period,
@@ -153,7 +156,7 @@ panel AS (
     CAST(5 + a.asset_number % 11 AS DOUBLE) AS grace_days,
     'L' || CAST(1 + a.asset_number % 2 AS VARCHAR) AS lien_code,
     'PT' || CAST(a.asset_number % 3 AS VARCHAR) AS payment_type_code,
-    a.sched_balance,
+    CAST(a.sum_net AS DOUBLE) / {D(10000)} AS sched_balance,
     date_diff('day', DATE '1899-12-30', min(CAST(a.period || '-01' AS DATE)) OVER (PARTITION BY a.asset_number)) AS first_due_serial,
     date_diff('day', DATE '1899-12-30',
               CAST(min(CAST(a.period || '-01' AS DATE)) OVER (PARTITION BY a.asset_number)
@@ -168,10 +171,11 @@ panel AS (
     (80 + a.asset_number % 20) / {D(100)} AS occ_orig,
     ({D(1000000)} + (a.asset_number % 100) * {D(25000)}) * {D(0.09)} AS noi_orig,
     CASE WHEN a.asset_number % 17 <> 0 THEN (85 + (a.asset_number % 16) * 5) / {D(100)} END AS dscr_orig,
-    CASE WHEN a.max_disc < {D(0.095)} THEN a.avg_net / {D(60000)} END AS ltv_curr,
-    CASE WHEN a.min_tax <> 0 THEN {D(0.4)} + 15 * a.avg_tax END AS dscr_curr,
-    CASE WHEN a.min_qty > 2 THEN a.avg_qty / 50 END AS occ_curr,
-    a.gross_balance, a.appraisal_curr, t.p_type AS property_type_raw, a.n_properties
+    CASE WHEN a.max_disc < 10 THEN CAST(a.sum_net AS DOUBLE) / a.n_properties / {D(10000)} / {D(60000)} END AS ltv_curr,
+    CASE WHEN a.min_tax <> 0 THEN {D(0.4)} + {D(15)} * a.avg_tax / {D(100)} END AS dscr_curr,
+    CASE WHEN a.min_qty > 2 THEN a.avg_qty / {D(50)} END AS occ_curr,
+    CAST(a.sum_cents AS DOUBLE) / {D(100)} AS gross_balance, CAST(a.appr_c AS DOUBLE) / {D(100)} AS appraisal_curr,
+    t.p_type AS property_type_raw, a.n_properties
   FROM lm_agg a JOIN lm_ptype t ON a.asset_number = t.l_suppkey AND a.period = t.period
 )"""
 

@@ -144,23 +144,32 @@ def property_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loan_month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide loan-month panel: key (asset_number, period), 29 clean names."""
+    """Wide loan-month panel: key (asset_number, period), 29 clean names.
+
+    Measures are built from exact integer sums (cents, percentage points,
+    units) and one final division, so the result does not depend on the
+    order in which partial sums are merged."""
     base = _property_base(spark, sf_dir)
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    # Exact integer units: cents, percentage points, 1e-4 dollars for net amounts.
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    disc_pp = F.round(F.col("l_discount") * 100).cast("long")
+    tax_pp = F.round(F.col("l_tax") * 100).cast("long")
+    net_u = cents * (F.lit(100) - disc_pp)
+    qty = F.col("l_quantity").cast("long")
+    retail_c = F.round(F.col("p_retailprice") * 100).cast("long")
+    n = F.count(F.lit(1))
     monthly = (base
                .withColumn("period", F.date_format("l_shipdate", "yyyy-MM"))
                .groupBy(F.col("l_suppkey").alias("asset_number"), "period")
                .agg(F.max(default_flag_expr()).alias("default_flag"),
-                    F.min("l_tax").alias("_min_tax"), F.avg("l_tax").alias("_avg_tax"),
-                    F.max("l_discount").alias("_max_disc"), F.avg(net).alias("_avg_net"),
-                    F.min("l_quantity").alias("_min_qty"), F.avg("l_quantity").alias("_avg_qty"),
-                    F.sum(net).alias("sched_balance"),
-                    F.sum("l_extendedprice").alias("gross_balance"),
-                    F.sum(F.when(F.col("l_tax") > 0, F.col("l_quantity") * F.col("p_retailprice")))
-                     .alias("appraisal_curr"),
+                    F.min(tax_pp).alias("_min_tax"), (F.sum(tax_pp).cast("double") / n).alias("_avg_tax"),
+                    F.max(disc_pp).alias("_max_disc"), F.sum(net_u).alias("_sum_net"),
+                    F.min(qty).alias("_min_qty"), (F.sum(qty).cast("double") / n).alias("_avg_qty"),
+                    F.sum(cents).alias("_sum_cents"),
+                    F.sum(F.when(tax_pp > 0, qty * retail_c)).alias("_appr_c"),
                     F.mode("p_type", True).alias("_ptype"),
                     F.first("n_name").alias("state"),
-                    F.count(F.lit(1)).alias("n_properties")))
+                    n.alias("n_properties")))
     a = F.col("asset_number")
     code = F.lit(None).cast("string")
     for word, c in PTYPE_TO_CODE.items():
@@ -184,7 +193,7 @@ def loan_month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(5) + a % 11).cast("double").alias("grace_days"),
         F.concat(F.lit("L"), (F.lit(1) + a % 2).cast("string")).alias("lien_code"),
         F.concat(F.lit("PT"), (a % 3).cast("string")).alias("payment_type_code"),
-        "sched_balance",
+        (F.col("_sum_net").cast("double") / 10000.0).alias("sched_balance"),
         F.datediff(first_dt, epoch).alias("first_due_serial"),
         F.datediff(F.add_months(first_dt, orig_term.cast("int")), epoch).alias("maturity_serial"),
         code.alias("property_type"),
@@ -196,9 +205,12 @@ def loan_month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.lit(80) + a % 20) / 100.0).alias("occ_orig"),
         (orig_amount * 0.09).alias("noi_orig"),
         F.when(a % 17 != 0, (F.lit(85) + (a % 16) * 5) / 100.0).alias("dscr_orig"),
-        F.when(F.col("_max_disc") < FLAG_DISCOUNT, F.col("_avg_net") / LTV_SCALE).alias("ltv_curr"),
-        F.when(F.col("_min_tax") != 0, F.lit(0.4) + 15 * F.col("_avg_tax")).alias("dscr_curr"),
-        F.when(F.col("_min_qty") > 2, F.col("_avg_qty") / 50).alias("occ_curr"),
-        "gross_balance", "appraisal_curr", F.col("_ptype").alias("property_type_raw"),
+        F.when(F.col("_max_disc") < 10, F.col("_sum_net").cast("double") / F.col("n_properties")
+               / 10000.0 / LTV_SCALE).alias("ltv_curr"),
+        F.when(F.col("_min_tax") != 0, F.lit(0.4) + F.lit(15.0) * F.col("_avg_tax") / 100.0).alias("dscr_curr"),
+        F.when(F.col("_min_qty") > 2, F.col("_avg_qty") / 50.0).alias("occ_curr"),
+        (F.col("_sum_cents").cast("double") / 100.0).alias("gross_balance"),
+        (F.col("_appr_c").cast("double") / 100.0).alias("appraisal_curr"),
+        F.col("_ptype").alias("property_type_raw"),
         "n_properties",
     )
