@@ -77,3 +77,34 @@ def exact_quantile(df: DataFrame, col: str, q: float, n_buckets: int = DEFAULT_B
     lo, hi = float(r["lo"]), float(r["hi"])
     frac = pos - lo_rank
     return lo + (hi - lo) * frac
+
+
+def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,
+                     n_buckets: int = 64, out: str = "quantile") -> DataFrame:
+    """Exact linear quantile of ``value`` per ``group`` as a DataFrame.
+
+    Same two-level scheme as ``running_sums``, with split points found per
+    group by ``percentile_approx`` and joined back (one small row per
+    group), so no group's values pass through one task or the driver."""
+    vc = (long_df.where(F.col(value).isNotNull())
+                 .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    splits = vc.groupBy(group).agg(
+        F.percentile_approx(F.col(value).cast("double"), probs, 10 * n_buckets).alias("_splits"),
+        F.sum("_n").alias("_total"))
+    b = vc.join(F.broadcast(splits), group).withColumn(
+        "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double"))))
+    totals = b.groupBy(group, "_bucket").agg(F.sum("_n").alias("_tot"))
+    tw = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "_bucket", F.coalesce(F.sum("_tot").over(tw), F.lit(0)).alias("_off"))
+    iw = Window.partitionBy(group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    cum = (b.withColumn("_loc", F.sum("_n").over(iw))
+             .join(offsets, [group, "_bucket"])
+             .withColumn("_cum", F.col("_loc") + F.col("_off")))
+    pos = F.lit(q) * (F.col("_total") - 1)
+    lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
+    r = cum.groupBy(group).agg(
+        F.min(F.when(F.col("_cum") > lo_rank, F.col(value))).alias("_lo"),
+        F.min(F.when(F.col("_cum") > hi_rank, F.col(value))).alias("_hi"),
+        F.first(pos - lo_rank).alias("_frac"))
+    return r.select(group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out))
