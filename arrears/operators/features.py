@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ from arrears.functions import columns as C
 from arrears.operators import labels as L
 from arrears.operators import macro_join as MJ
 from arrears.operators import windows as W
-from arrears.operators.prefix import exact_quantile
+from arrears.operators.prefix import exact_quantile, grouped_quantile
 from arrears.sources import macro as M
 
 
@@ -146,10 +147,14 @@ def dynamic_features(df: DataFrame, dscr_median: float | None = None,
         "maturity_bucket_0_12": C.between_flag("months_to_maturity", 0, 12),
         "maturity_bucket_12_36": C.between_flag("months_to_maturity", 12, 36),
     })
-    if dscr_median is None:
-        dscr_median = exact_quantile(df, "dscr_curr_lag1", 0.5)
-    if ltv_capped_median is None:
-        ltv_capped_median = exact_quantile(df, "ltv_curr_capped", 0.5)
+    if dscr_median is None or ltv_capped_median is None:
+        long = df.select(F.explode(F.array(
+            F.struct(F.lit("dscr").alias("g"), F.col("dscr_curr_lag1").cast("double").alias("v")),
+            F.struct(F.lit("ltv").alias("g"), F.col("ltv_curr_capped").cast("double").alias("v")))).alias("p")) \
+            .select("p.g", "p.v")
+        meds = {r["g"]: r["quantile"] for r in grouped_quantile(long, "g", "v", 0.5).collect()}
+        dscr_median = meds.get("dscr") if dscr_median is None else dscr_median
+        ltv_capped_median = meds.get("ltv") if ltv_capped_median is None else ltv_capped_median
     return df.withColumns({
         "ltv_x_near_mat": F.coalesce(F.col("ltv_curr_capped"), F.lit(0.0)) * F.col("near_maturity_flag"),
         "dscr_ltv_product": F.coalesce(F.col("dscr_curr_lag1"), F.lit(dscr_median).cast("double"))
@@ -189,6 +194,9 @@ def join_c_macro(panel: DataFrame, spark, sf_dir: str, lag: int = 3) -> DataFram
 def panel_features(spark, sf_dir: str, params: Params = FIXTURE, panel: DataFrame | None = None) -> DataFrame:
     from arrears.sources import panel as P
     panel = panel if panel is not None else P.loan_month_panel(spark, sf_dir)
+    # Several passes (fitted p99 and medians, then the matrix) read the panel:
+    # keep it (memory, spilling to disk; rebuilt from lineage if an executor is lost).
+    panel = panel.persist(StorageLevel.MEMORY_AND_DISK)
     df = base_features(panel, params)
     df = dynamic_features(df)
     df = L.add_labels(df)

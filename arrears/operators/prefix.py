@@ -60,23 +60,12 @@ def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool =
               .drop("_bucket", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, n_buckets: int = DEFAULT_BUCKETS):
+def exact_quantile(df: DataFrame, col: str, q: float, n_buckets: int = 64):
     """Linear-interpolated quantile of the non-NULL values (pandas/NumPy
-    'linear' rule); NULL if there are none.  Returns a Python float."""
-    vc = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    n = vc.agg(F.sum("n")).first()[0]
-    if not n:
-        return None
-    pos = q * (n - 1)
-    lo_rank, hi_rank = int(pos // 1), int(-(-pos // 1))
-    cs = running_sums(vc, col, ["n"], n_buckets=n_buckets)
-    r = cs.agg(F.min(F.when(F.col("cum_n") > lo_rank, F.col(col))).alias("lo"),
-               F.min(F.when(F.col("cum_n") > hi_rank, F.col(col))).alias("hi")).first()
-    if r is None or r["lo"] is None:
-        return None
-    lo, hi = float(r["lo"]), float(r["hi"])
-    frac = pos - lo_rank
-    return lo + (hi - lo) * frac
+    'linear' rule) as a Python float; None if there are none.  One job."""
+    long = df.select(F.lit(0).alias("_g"), F.col(col).cast("double").alias("_v"))
+    r = grouped_quantile(long, "_g", "_v", q, n_buckets=n_buckets).first()
+    return None if r is None else r["quantile"]
 
 
 def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,

@@ -27,4 +27,32 @@ def shortfall_run_default_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy(F.col("run_below1").cast("long").alias("run_below1"))
             .agg(F.count(F.lit(1)).alias("n_rows"),
                  F.sum("label_6m").cast("long").alias("n_default_6m"),
-                 F.round(F.avg("label_6m"), 6).alias("default_rate_6m")))
+                 F.avg("label_6m").alias("default_rate_6m")))
+
+
+from arrears.plans.oracle_base import LOAN_MONTH_PANEL, with_  # noqa: E402
+from arrears.plans.registry import register  # noqa: E402
+
+FLAGSHIP_SQL = with_(LOAN_MONTH_PANEL + """,
+f1 AS (
+  SELECT asset_number, period, default_flag,
+         lag(dscr_curr) OVER (PARTITION BY asset_number ORDER BY period) AS dscr_lag1,
+         CASE WHEN count(*) OVER f6 >= 6 THEN CAST(max(default_flag) OVER f6 AS DOUBLE) END AS label_6m
+  FROM panel WINDOW f6 AS (PARTITION BY asset_number ORDER BY period ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
+f2 AS (
+  SELECT *, sum(CASE WHEN COALESCE(dscr_lag1 < 1.0, false) THEN 0 ELSE 1 END)
+              OVER (PARTITION BY asset_number ORDER BY period ROWS UNBOUNDED PRECEDING) AS isl
+  FROM f1),
+f3 AS (
+  SELECT *, CASE WHEN COALESCE(dscr_lag1 < 1.0, false)
+                 THEN count(*) FILTER (WHERE COALESCE(dscr_lag1 < 1.0, false)) OVER
+                      (PARTITION BY asset_number, isl ORDER BY period ROWS UNBOUNDED PRECEDING) ELSE 0 END AS run_below1
+  FROM f2)""") + """
+SELECT CAST(run_below1 AS BIGINT) AS run_below1, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(label_6m) AS BIGINT) AS n_default_6m, avg(label_6m) AS default_rate_6m
+FROM f3 WHERE label_6m IS NOT NULL GROUP BY 1"""
+
+
+@register("flagship", dbl=["default_rate_6m"], sql=FLAGSHIP_SQL)
+def flagship(spark, sf_dir):
+    return shortfall_run_default_rate(spark, sf_dir)

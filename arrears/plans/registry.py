@@ -77,5 +77,5 @@ def oracle(name: str) -> str | None:
 def load_all() -> None:
     # Importing the plan modules fills REGISTRY.
     from arrears.plans import (  # noqa: F401
-        q_panel, q_windows, q_macro, q_reports, q_features, q_loanperiod, q_splits, q_metrics,
+        flagship, q_panel, q_windows, q_macro, q_reports, q_features, q_loanperiod, q_splits, q_metrics,
     )
