@@ -110,8 +110,10 @@ def clean_zip(x) -> Column:
     """Five-digit zip text: part before '-', read as a number, zero padded;
     empty, NULL or unreadable values give '00000'."""
     head = F.split(F.trim(_c(x).cast("string")), "-").getItem(0)
-    as_int = head.try_cast("double").try_cast("long")
-    return F.coalesce(F.lpad(as_int.cast("string"), 5, "0"), F.lit("00000"))
+    digits = head.try_cast("double").try_cast("long").cast("string")
+    # zero-pad short values only: lpad would cut longer ones to five characters
+    padded = F.when(F.length(digits) >= 5, digits).otherwise(F.lpad(digits, 5, "0"))
+    return F.coalesce(padded, F.lit("00000"))
 
 
 # ---------------------------------------------------------------- ratios
