@@ -97,6 +97,9 @@ def model_comparison(spark, sf_dir):
         _, sc = _fit_score(spark, sf_dir, params)
         res[name] = _metrics_row(sc, "label_6m")
         rows.append((name, res[name][0], res[name][1], (res[name][0] - MD.BASELINE_AUROC) * 100.0))
+    from arrears.plans.q_sampling import model_b_scores
+    b = _metrics_row(model_b_scores(spark, sf_dir), "label_6m")
+    rows.append(("B: boosted trees + oversampling, 70 features", b[0], b[1], (b[0] - MD.BASELINE_AUROC) * 100.0))
     life = model_lifecycle_scores(spark, sf_dir)
     la, lp = _metrics_row(life, "label_ever")
     rows.append(("lifecycle (ever-default), model C settings", la, lp, (la - MD.BASELINE_AUROC) * 100.0))
