@@ -85,6 +85,13 @@ def coerce_numeric(x) -> Column:
     return _c(x).cast("string").try_cast("double")
 
 
+def coerce_numeric_cols(df, cols: list[str]) -> dict:
+    """Numeric coercion per column that parses text only where the column
+    holds text; numeric columns are just cast (no string round trip)."""
+    types = dict(df.dtypes)
+    return {c: (coerce_numeric(c) if types.get(c) == "string" else F.col(c).cast("double")) for c in cols}
+
+
 def coerce_bool(x) -> Column:
     """True only for text 'true' in any case; everything else (and NULL) false."""
     return F.coalesce(F.lower(_c(x).cast("string")) == F.lit("true"), F.lit(False))

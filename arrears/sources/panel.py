@@ -122,8 +122,9 @@ def clean_property_rows(raw: DataFrame) -> DataFrame:
     df = raw.withColumns({
         "origination_date": C.mixed_date_text("origination_date"),
         "maturity_date": C.mixed_date_text("maturity_date"),
-        **{c: C.coerce_numeric(c) for c in num},
-        "default_flag": C.coerce_flag_int("default_flag"),
+        **C.coerce_numeric_cols(raw, num),
+        "default_flag": (C.coerce_flag_int("default_flag") if dict(raw.dtypes)["default_flag"] == "string"
+                         else F.coalesce(F.col("default_flag"), F.lit(0)).cast("int")),
         "is_io": C.coerce_bool("is_io"),
         "year": C.period_year("report_period"),
         "month": C.period_month("report_period"),
