@@ -148,6 +148,8 @@ def dynamic_features(df: DataFrame, dscr_median: float | None = None,
         "maturity_bucket_12_36": C.between_flag("months_to_maturity", 12, 36),
     })
     if dscr_median is None or ltv_capped_median is None:
+        # the windowed frame feeds both the fitted medians and the final matrix
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
         long = df.select(F.explode(F.array(
             F.struct(F.lit("dscr").alias("g"), F.col("dscr_curr_lag1").cast("double").alias("v")),
             F.struct(F.lit("ltv").alias("g"), F.col("ltv_curr_capped").cast("double").alias("v")))).alias("p")) \
