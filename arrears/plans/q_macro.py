@@ -133,3 +133,23 @@ SELECT avg(CAST(unrate_lag3 IS NOT NULL AS DOUBLE)) * 100.0 AS unrate_lag3_pct,
 FROM macro_panel""")
 def macro_coverage(spark, sf_dir):
     return MJ.coverage(c_macro_panel(spark, sf_dir), ["unrate_lag3", "dgs10_lag3", "cpi_yoy_lag3", "state_ur_lag3"])
+
+
+def _state_files(spark, sf_dir):
+    from arrears.sources import sinks as K
+    return M.write_state_files(M.state_monthly(spark, sf_dir), K.fresh_path(spark, "state_series"))
+
+
+@register("macro_state_by_file", dbl=["state_unrate"], sql=with_(MACRO_SQL) + """
+SELECT ym, state, state_unrate FROM state_m""")
+def macro_state_by_file(spark, sf_dir):
+    from arrears.sources.tables import read_table
+    dim = read_table(spark, sf_dir, "nation", "n_name").select(
+        F.col("n_name").alias("state_name"), F.col("n_name").alias("state"))
+    return M.read_state_by_file(spark, _state_files(spark, sf_dir), dim)
+
+
+@register("macro_state", dbl=["state_unrate"], sql=with_(MACRO_SQL) + """
+SELECT ym, state, state_unrate FROM state_m""")
+def macro_state(spark, sf_dir):
+    return M.read_state_by_header(spark, _state_files(spark, sf_dir))

@@ -124,3 +124,64 @@ def outer_merge(frames: list[DataFrame], key: str) -> DataFrame:
     for f in frames:
         out = f if out is None else out.join(f, key, "full")
     return out
+
+
+# ---------------------------------------------------------------- S5 / S6 / U1
+def write_state_files(state: DataFrame, path: str) -> str:
+    """One folder per state series, named like a downloaded file
+    ("Unemployment Rate in <name>"), each holding (date, value, series_id)."""
+    out = state.select(F.concat(F.lit("Unemployment Rate in "), F.col("state")).alias("file_name"),
+                       F.concat(F.col("state"), F.lit("UR")).alias("series_id"),
+                       F.to_date(F.concat(F.col("ym"), F.lit("-01"))).alias("date"),
+                       F.col("state_unrate").alias("value"))
+    out.write.mode("overwrite").partitionBy("file_name").parquet(path)
+    return path
+
+
+def read_state_by_file(spark: SparkSession, path: str, name_to_code: DataFrame) -> DataFrame:
+    """One multi-file read; the state comes from the file name, mapped to
+    a code through a small name -> code dimension; unknown names are dropped."""
+    raw = (spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+                .select("date", "value", F.col("_metadata.file_path").alias("_path")))
+    name = F.regexp_extract(F.url_decode(F.col("_path")), r"Unemployment Rate in (.+?)/", 1)
+    df = raw.withColumn("state_name", name).where(F.col("date").isNotNull())
+    return (df.join(F.broadcast(name_to_code), "state_name")          # dimension: one row per state
+              .select(F.date_format("date", "yyyy-MM").alias("ym"), "state",
+                      F.col("value").cast("double").alias("state_unrate")))
+
+
+def read_state_by_header(spark: SparkSession, path: str, suffix: str = "UR") -> DataFrame:
+    """The same multi-file read, the state taken from each series'
+    header (the series id without its measure suffix)."""
+    raw = spark.read.parquet(path).select("date", "value", "series_id")
+    return (raw.where(F.col("date").isNotNull())
+               .select(F.date_format("date", "yyyy-MM").alias("ym"),
+                       F.regexp_replace("series_id", f"{suffix}$", "").alias("state"),
+                       F.col("value").cast("double").alias("state_unrate")))
+
+
+# Fixed values that must equal the reference's: state names (as they appear in
+# the series file names) and their two-letter codes, including both spellings
+# of the District of Columbia.
+US_STATE_CODES = {
+    "Alabama": "AL", "Alaska": "AK", "Arizona": "AZ", "Arkansas": "AR",
+    "California": "CA", "Colorado": "CO", "Connecticut": "CT", "Delaware": "DE",
+    "Florida": "FL", "Georgia": "GA", "Hawaii": "HI", "Idaho": "ID",
+    "Illinois": "IL", "Indiana": "IN", "Iowa": "IA", "Kansas": "KS",
+    "Kentucky": "KY", "Louisiana": "LA", "Maine": "ME", "Maryland": "MD",
+    "Massachusetts": "MA", "Michigan": "MI", "Minnesota": "MN",
+    "Mississippi": "MS", "Missouri": "MO", "Montana": "MT", "Nebraska": "NE",
+    "Nevada": "NV", "New Hampshire": "NH", "New Jersey": "NJ",
+    "New Mexico": "NM", "New York": "NY", "North Carolina": "NC",
+    "North Dakota": "ND", "Ohio": "OH", "Oklahoma": "OK", "Oregon": "OR",
+    "Pennsylvania": "PA", "Rhode Island": "RI", "South Carolina": "SC",
+    "South Dakota": "SD", "Tennessee": "TN", "Texas": "TX", "Utah": "UT",
+    "Vermont": "VT", "Virginia": "VA", "Washington": "WA",
+    "West Virginia": "WV", "Wisconsin": "WI", "Wyoming": "WY",
+    "the District of Columbia": "DC", "District of Columbia": "DC",
+}
+
+
+def us_state_dim(spark: SparkSession) -> DataFrame:
+    """Default name -> code dimension for state series named by US state."""
+    return spark.createDataFrame(sorted(US_STATE_CODES.items()), "state_name string, state string")
