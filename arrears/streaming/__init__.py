@@ -1,0 +1 @@
+"""Incremental forms of the per-loan window features for monthly file drops."""

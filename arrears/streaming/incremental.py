@@ -1,0 +1,70 @@
+"""Per-loan window features computed incrementally as loan-months arrive.
+
+The batch operators (``operators.windows``) need a loan's whole history;
+here a Structured Streaming query keeps, per loan, only what the next
+month needs: the last measure (for the one-month lag), the current run
+length below the threshold, and the last two lagged values (for the
+three-row rolling mean).  State is bounded per loan and keyed by loan, so
+it is partitioned like the batch window.  Months of one loan must arrive
+in order; a month at or before the loan's last seen month is still
+emitted, flagged ``out_of_order``, and does not move the state.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUTPUT_SCHEMA = ("asset_number long, period string, value_lag1 double, run_below double, "
+                 "roll3 double, out_of_order boolean")
+STATE_SCHEMA = "last_period string, last_value double, run double, h1 double, h2 double"
+
+
+def _nan(x):
+    return x is None or (isinstance(x, float) and math.isnan(x))
+
+
+def make_updater(threshold: float):
+    def update(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
+        if state.exists:
+            last_p, last_v, run, h1, h2 = state.get
+        else:
+            last_p, last_v, run, h1, h2 = None, None, 0.0, None, None
+        rows = pd.concat(list(pdfs)).sort_values("period")
+        out = []
+        for p, v in zip(rows["period"], rows["value"]):
+            if last_p is not None and p <= last_p:
+                out.append((key[0], p, None, None, None, True))
+                continue
+            lag = last_v                                   # previous month's value (None on the first)
+            hit = (not _nan(lag)) and lag < threshold
+            run = run + 1.0 if hit else 0.0
+            window = [x for x in (h2, h1, lag) if not _nan(x)]
+            roll = sum(window) / len(window) if len(window) >= 2 else None
+            out.append((key[0], p, None if _nan(lag) else lag, run, roll, False))
+            h2, h1 = h1, lag
+            last_p, last_v = p, (None if _nan(v) else float(v))
+        state.update((last_p, last_v, run, h1, h2))
+        yield pd.DataFrame(out, columns=["asset_number", "period", "value_lag1", "run_below", "roll3",
+                                         "out_of_order"])
+    return update
+
+
+def incremental_features(stream: DataFrame, value: str, threshold: float = 1.0) -> DataFrame:
+    """``stream`` has (asset_number, period, <value>); output one row per input row."""
+    s = stream.select("asset_number", "period", stream[value].cast("double").alias("value"))
+    return s.groupBy("asset_number").applyInPandasWithState(
+        make_updater(threshold), OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def start(spark: SparkSession, source_dir: str, schema: str, value: str, sink_dir: str,
+          checkpoint_dir: str, threshold: float = 1.0):
+    """Read loan-month parquet drops from ``source_dir`` and append features to ``sink_dir``."""
+    stream = spark.readStream.schema(schema).parquet(source_dir)
+    return (incremental_features(stream, value, threshold).writeStream
+            .format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint_dir)
+            .outputMode("append").start())
