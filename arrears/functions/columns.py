@@ -187,3 +187,20 @@ def macro_regime(period, first_break: str, second_break: str) -> Column:
     return (F.when(p < F.lit(first_break), F.lit(0))
             .when(p <= F.lit(second_break), F.lit(1))
             .otherwise(F.lit(2)))
+
+
+def payment_type_lenient(is_io, io_months, orig_term) -> Column:
+    """Classifier used when no payment type column exists: like
+    ``payment_type`` but unparseable term numbers give 'Other'."""
+    io_raw, term_raw = _c(io_months), _c(orig_term)
+    io = F.coalesce(io_raw.cast("string").try_cast("double"), F.lit(0.0))
+    term = F.coalesce(term_raw.cast("string").try_cast("double"), F.lit(0.0))
+    bad = ((io_raw.isNotNull() & io_raw.cast("string").try_cast("double").isNull())
+           | (term_raw.isNotNull() & term_raw.cast("string").try_cast("double").isNull()))
+    io_flag = F.coalesce(_c(is_io), F.lit(False))
+    interest_only = io_flag | ((io > 0) & (term > 0) & (io >= term * F.lit(IO_SHARE_OF_TERM)))
+    return (F.when(bad, F.lit("Other"))
+            .when(interest_only, F.lit("Interest-Only"))
+            .when(io > 0, F.lit("Partial IO"))
+            .when((term > 0) | ~io_flag, F.lit("Amortizing"))
+            .otherwise(F.lit("Other")))

@@ -264,3 +264,18 @@ def loan_period_features(rollup: DataFrame, national: DataFrame, state: DataFram
 def category_list(df: DataFrame, col: str) -> list[str]:
     """Distinct non-NULL categories, sorted (a small, category-bounded collect)."""
     return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+
+
+# Key, date and target names never used as model inputs (fixed values).
+NON_FEATURES = {"ac_key", "loan_uid", "report_period", "year", "state", "target",
+                "ym_dt", "orig_dt", "mat_dt", "ym", "last_month", "fwd_cutoff"}
+
+
+def feature_columns_by_exclusion(df: DataFrame) -> list[str]:
+    """Every column that is not a key, date or target."""
+    return [c for c in df.columns if c not in NON_FEATURES]
+
+
+def read_feature_matrix(spark, path: str) -> DataFrame:
+    """A feature matrix handed off as parquet between stages."""
+    return spark.read.parquet(path)

@@ -21,10 +21,16 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 512
+ROWS_PER_BUCKET = 2_000_000     # distinct values one bucket's window sorts at most (about)
+MIN_BUCKETS, MAX_BUCKETS = 16, 16384
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS) -> list[float]:
+def bucket_count(n_rows: int) -> int:
+    """Buckets so that each holds about ROWS_PER_BUCKET distinct values."""
+    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-int(n_rows or 0) // ROWS_PER_BUCKET))))
+
+
+def quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     """Strictly increasing split points (with +-inf ends) at approximate quantiles."""
     probs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10 * n_buckets).alias("q")).first()
@@ -32,7 +38,9 @@ def quantile_splits(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS) -
     return [float("-inf")] + qs + [float("inf")]
 
 
-def bucketize(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS, out: str = "_bucket") -> DataFrame:
+def bucketize(df: DataFrame, col: str, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
+    if n_buckets is None:
+        n_buckets = bucket_count(df.count())
     splits = quantile_splits(df, col, n_buckets)
     tmp = f"{out}_x"
     d = df.withColumn(tmp, F.col(col).cast("double"))
@@ -41,7 +49,7 @@ def bucketize(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS, out: st
 
 
 def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool = False,
-                 n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 n_buckets: int | None = None) -> DataFrame:
     """Add ``cum_<c>``: inclusive running sums of ``cols`` over ``order``.
 
     ``df`` must hold one row per distinct ``order`` value (collapse first)."""
@@ -60,7 +68,7 @@ def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool =
               .drop("_bucket", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, n_buckets: int = 64):
+def exact_quantile(df: DataFrame, col: str, q: float, n_buckets: int | None = None):
     """Linear-interpolated quantile of the non-NULL values (pandas/NumPy
     'linear' rule) as a Python float; None if there are none.  One job."""
     long = df.select(F.lit(0).alias("_g"), F.col(col).cast("double").alias("_v"))
@@ -69,7 +77,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, n_buckets: int = 64):
 
 
 def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,
-                     n_buckets: int = 64, out: str = "quantile") -> DataFrame:
+                     n_buckets: int | None = None, out: str = "quantile") -> DataFrame:
     """Exact linear quantile of ``value`` per ``group`` as a DataFrame.
 
     Same two-level scheme as ``running_sums``, with split points found per
@@ -77,6 +85,9 @@ def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,
     group), so no group's values pass through one task or the driver."""
     vc = (long_df.where(F.col(value).isNotNull())
                  .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")))
+    if n_buckets is None:
+        widest = vc.groupBy(group).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
+        n_buckets = bucket_count(widest)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     splits = vc.groupBy(group).agg(
         F.percentile_approx(F.col(value).cast("double"), probs, 10 * n_buckets).alias("_splits"),

@@ -35,3 +35,9 @@ def write_run_metrics(metrics: DataFrame, path: str) -> str:
     """A handful of metric rows as JSON lines."""
     metrics.coalesce(1).write.mode("overwrite").json(path)
     return path
+
+
+def write_attribution_ranking(ranking: DataFrame, path: str) -> str:
+    """K3: (feature, mean_abs_shap) as CSV, in rank order (one row per feature)."""
+    ranking.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    return path

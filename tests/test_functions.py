@@ -53,3 +53,11 @@ def test_payment_type(spark):
                                "io boolean, iot double, term double")
     got = [r[0] for r in df.select(C.payment_type("io", "iot", "term")).collect()]
     assert got == ["Interest-Only", "Interest-Only", "Partial IO", "Amortizing", "Partial IO"]
+
+
+def test_payment_type_lenient(spark):
+    df = spark.createDataFrame([(True, "0", "0"), (False, "x", "120"), (False, "12", "120"),
+                                (False, None, None), (False, "0", "0")],
+                               "io boolean, iot string, term string")
+    got = [r[0] for r in df.select(C.payment_type_lenient("io", "iot", "term")).collect()]
+    assert got == ["Interest-Only", "Other", "Partial IO", "Amortizing", "Amortizing"]
