@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +148,7 @@ def dynamic_features(df: DataFrame, dscr_median: float | None = None,
     })
     if dscr_median is None or ltv_capped_median is None:
         # the windowed frame feeds both the fitted medians and the final matrix
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = df.checkpoint(eager=True)
         long = df.select(F.explode(F.array(
             F.struct(F.lit("dscr").alias("g"), F.col("dscr_curr_lag1").cast("double").alias("v")),
             F.struct(F.lit("ltv").alias("g"), F.col("ltv_curr_capped").cast("double").alias("v")))).alias("p")) \
@@ -197,8 +196,8 @@ def panel_features(spark, sf_dir: str, params: Params = FIXTURE, panel: DataFram
     from arrears.sources import panel as P
     panel = panel if panel is not None else P.loan_month_panel(spark, sf_dir)
     # Several passes (fitted p99 and medians, then the matrix) read the panel:
-    # keep it (memory, spilling to disk; rebuilt from lineage if an executor is lost).
-    panel = panel.persist(StorageLevel.MEMORY_AND_DISK)
+    # write it once to the shared checkpoint folder (lineage cut, small plans).
+    panel = panel.checkpoint(eager=True)
     df = base_features(panel, params)
     df = dynamic_features(df)
     df = L.add_labels(df)

@@ -30,17 +30,31 @@ def bucket_count(n_rows: int) -> int:
     return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-int(n_rows or 0) // ROWS_PER_BUCKET))))
 
 
-def quantile_splits(df: DataFrame, col: str, n_buckets: int) -> list[float]:
-    """Strictly increasing split points (with +-inf ends) at approximate quantiles."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10 * n_buckets).alias("q")).first()
-    qs = sorted(set(v for v in (row["q"] or []) if v is not None))
-    return [float("-inf")] + qs + [float("inf")]
+SKETCH_RESOLUTION = 4096          # quantile points taken in the one sketch pass
+GROUPED_RESOLUTION = 512          # per-group sketch; bucket lookup there is a linear scan
+
+
+def _pick(n_buckets: int) -> list[int]:
+    """Indices into the resolution-sized quantile list for ``n_buckets`` buckets."""
+    return [(i * SKETCH_RESOLUTION) // n_buckets - 1 for i in range(1, n_buckets)]
+
+
+def quantile_splits(df: DataFrame, col: str, n_buckets: int | None = None) -> list[float]:
+    """Strictly increasing split points (with +-inf ends) at approximate quantiles.
+
+    One aggregation gives both the number of rows (which sets the bucket
+    count when not given) and a fixed-resolution quantile sketch."""
+    probs = [i / SKETCH_RESOLUTION for i in range(1, SKETCH_RESOLUTION)]
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(F.col(col).cast("double"), probs, 10 * SKETCH_RESOLUTION).alias("q")).first()
+    qs = row["q"] or []
+    b = n_buckets or bucket_count(row["n"])
+    b = min(b, SKETCH_RESOLUTION)
+    picked = [qs[i] for i in _pick(b) if 0 <= i < len(qs)]
+    return [float("-inf")] + sorted(set(v for v in picked if v is not None)) + [float("inf")]
 
 
 def bucketize(df: DataFrame, col: str, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    if n_buckets is None:
-        n_buckets = bucket_count(df.count())
     splits = quantile_splits(df, col, n_buckets)
     tmp = f"{out}_x"
     d = df.withColumn(tmp, F.col(col).cast("double"))
@@ -85,13 +99,21 @@ def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,
     group), so no group's values pass through one task or the driver."""
     vc = (long_df.where(F.col(value).isNotNull())
                  .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")))
-    if n_buckets is None:
-        widest = vc.groupBy(group).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0]
-        n_buckets = bucket_count(widest)
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    splits = vc.groupBy(group).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, 10 * n_buckets).alias("_splits"),
-        F.sum("_n").alias("_total"))
+    res = GROUPED_RESOLUTION
+    probs = [i / res for i in range(1, res)]
+    # Per group, one pass: distinct count, total count, fixed-resolution sketch;
+    # then split points subsampled to ~ROWS_PER_BUCKET values per bucket.
+    sk = vc.groupBy(group).agg(
+        F.percentile_approx(F.col(value).cast("double"), probs, 10 * res).alias("_q"),
+        F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_total"))
+    nb = (F.lit(n_buckets) if n_buckets else
+          F.least(F.lit(res),
+                  F.greatest(F.lit(MIN_BUCKETS), F.ceil(F.col("_d") / F.lit(ROWS_PER_BUCKET)))).cast("int"))
+    splits = sk.withColumn("_nb", nb).select(
+        group, "_total",
+        F.transform(F.sequence(F.lit(1), F.col("_nb") - 1),
+                    lambda i: F.element_at("_q", F.floor(i * res / F.col("_nb")).cast("int")))
+        .alias("_splits"))
     b = vc.join(F.broadcast(splits), group).withColumn(
         "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double"))))
     totals = b.groupBy(group, "_bucket").agg(F.sum("_n").alias("_tot"))
