@@ -21,6 +21,7 @@ from arrears.operators import labels as L
 from arrears.operators import macro_join as MJ
 from arrears.operators import windows as W
 from arrears.operators.prefix import exact_quantile, grouped_quantile
+from arrears.session import ensure_checkpoint_dir
 from arrears.sources import macro as M
 
 
@@ -148,6 +149,7 @@ def dynamic_features(df: DataFrame, dscr_median: float | None = None,
     })
     if dscr_median is None or ltv_capped_median is None:
         # the windowed frame feeds both the fitted medians and the final matrix
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
         long = df.select(F.explode(F.array(
             F.struct(F.lit("dscr").alias("g"), F.col("dscr_curr_lag1").cast("double").alias("v")),
@@ -197,6 +199,7 @@ def panel_features(spark, sf_dir: str, params: Params = FIXTURE, panel: DataFram
     panel = panel if panel is not None else P.loan_month_panel(spark, sf_dir)
     # Several passes (fitted p99 and medians, then the matrix) read the panel:
     # write it once to the shared checkpoint folder (lineage cut, small plans).
+    ensure_checkpoint_dir(spark)
     panel = panel.checkpoint(eager=True)
     df = base_features(panel, params)
     df = dynamic_features(df)
