@@ -7,6 +7,7 @@ state or per feature), joined by broadcast or brought back as scalars.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +41,20 @@ def validation_loans(train: DataFrame, loan: str, period: str, fraction: float =
     The cut is found without a global sort: counts per first month (one row
     per month) locate the boundary month, and an exact order statistic of
     the keys inside that month finishes it."""
-    loans = train.groupBy(loan).agg(F.min(period).alias("first_period"))
-    n_loans = loans.count()
+    # one row per loan, read by the two small jobs below
+    loans = train.groupBy(loan).agg(F.min(period).alias("first_period")).persist(StorageLevel.MEMORY_AND_DISK)
+    # Loans per first month: one row per calendar month, brought back whole.
+    months = sorted(((r["first_period"], r["n"]) for r in
+                     loans.groupBy("first_period").agg(F.count(F.lit(1)).alias("n")).collect()),
+                    key=lambda t: (t[0] is None, t[0]), reverse=True)
+    n_loans = sum(n for _, n in months)
     n_val = max(1, int(n_loans * fraction))
-    per_month = loans.groupBy("first_period").agg(F.count(F.lit(1)).alias("n"))
-    mw = Window.orderBy(F.col("first_period").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    months = per_month.withColumn("cum_n", F.sum("n").over(mw))   # one row per calendar month
-    boundary = months.where(F.col("cum_n") >= n_val).agg(F.max("first_period").alias("m")).first()["m"]
-    before = months.where(F.col("first_period") > boundary).agg(F.sum("n")).first()[0] or 0
+    before, boundary = 0, None
+    for m, n in months:                       # latest month first
+        if before + n >= n_val:
+            boundary = m
+            break
+        before += n
     need = n_val - before
     in_month = loans.where(F.col("first_period") == boundary).select(F.col(loan).alias("_k"))
     ranked = running_sums(in_month.withColumn("_one", F.lit(1)), "_k", ["_one"], descending=True)

@@ -71,7 +71,7 @@ best_eps AS (SELECT threshold, precision, recall, f1_eps AS f1 FROM curve_f1 ORD
 
 
 def curve_pr(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = scored(spark, sf_dir).persist()        # the scored set feeds several metric jobs
     total_pos = s.agg(F.sum("label_6m")).first()[0] or 0
     return s, MT.with_pr_columns(MT.pr_curve(s, "score", "label_6m"), int(total_pos))
 
