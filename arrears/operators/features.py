@@ -121,7 +121,7 @@ def base_features(panel: DataFrame, params: Params = FIXTURE, ltv_p99: float | N
 
 
 def dynamic_features(df: DataFrame, dscr_median: float | None = None,
-                     ltv_capped_median: float | None = None) -> DataFrame:
+                     ltv_capped_median: float | None = None, fit_rows=None) -> DataFrame:
     """The 24 rolling / momentum / run / interaction / missing / bucket features."""
     w = W.loan_window()
     df = df.withColumns({
@@ -151,7 +151,7 @@ def dynamic_features(df: DataFrame, dscr_median: float | None = None,
         # the windowed frame feeds both the fitted medians and the final matrix
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-        long = df.select(F.explode(F.array(
+        long = (fit_rows(df) if fit_rows else df).select(F.explode(F.array(
             F.struct(F.lit("dscr").alias("g"), F.col("dscr_curr_lag1").cast("double").alias("v")),
             F.struct(F.lit("ltv").alias("g"), F.col("ltv_curr_capped").cast("double").alias("v")))).alias("p")) \
             .select("p.g", "p.v")
@@ -194,15 +194,19 @@ def join_c_macro(panel: DataFrame, spark, sf_dir: str, lag: int = 3) -> DataFram
                                   f"state_ur_lag{lag}", f"unrate_lag{lag}")
 
 
-def panel_features(spark, sf_dir: str, params: Params = FIXTURE, panel: DataFrame | None = None) -> DataFrame:
+def panel_features(spark, sf_dir: str, params: Params = FIXTURE, panel: DataFrame | None = None,
+                   fit_on: str = "all") -> DataFrame:
+    """``fit_on='all'`` fits the p99 cap and the interaction medians on every
+    row (as the reference does); ``fit_on='train'`` uses rows before the cutoff."""
     from arrears.sources import panel as P
     panel = panel if panel is not None else P.loan_month_panel(spark, sf_dir)
     # Several passes (fitted p99 and medians, then the matrix) read the panel:
     # write it once to the shared checkpoint folder (lineage cut, small plans).
     ensure_checkpoint_dir(spark)
     panel = panel.checkpoint(eager=True)
-    df = base_features(panel, params)
-    df = dynamic_features(df)
+    fit = (lambda d: d) if fit_on == "all" else (lambda d: d.where(F.col("period") < F.lit(params.cutoff)))
+    df = base_features(panel, params, ltv_p99=exact_quantile(fit(panel), "ltv_curr", P99))
+    df = dynamic_features(df, fit_rows=fit)
     df = L.add_labels(df)
     return join_c_macro(df, spark, sf_dir, params.macro_lag)
 

@@ -19,6 +19,24 @@ def forward_label_strict(flag: str = "default_flag", horizon: int = HORIZON,
                   F.max(F.col(flag)).over(f)).cast("double")
 
 
+def month_index(period: str = ORDER) -> Column:
+    """'yyyy-MM' to a running month number (year * 12 + month)."""
+    p = F.col(period)
+    return F.substring(p, 1, 4).cast("int") * 12 + F.substring(p, 6, 2).cast("int")
+
+
+def forward_label_calendar(flag: str = "default_flag", horizon: int = HORIZON,
+                           loan: str = LOAN, order: str = ORDER) -> Column:
+    """Calendar form of the strict label: any default in the next ``horizon``
+    calendar months (gaps count as months without a report); NULL when the
+    loan is not observed through month t + horizon."""
+    idx = month_index(order)
+    w = Window.partitionBy(loan).orderBy(idx)
+    ahead = F.max(F.col(flag)).over(w.rangeBetween(1, horizon))
+    last = F.max(idx).over(Window.partitionBy(loan))
+    return F.when(last >= idx + horizon, F.coalesce(ahead, F.lit(0))).cast("double")
+
+
 def forward_label_lenient(flag: str = "default_flag", horizon: int = HORIZON,
                           loan: str = LOAN, order: str = ORDER) -> Column:
     """Like the strict label but a short future counts as no default."""

@@ -15,9 +15,19 @@ from arrears.operators.prefix import grouped_quantile, running_sums
 
 
 # ---------------------------------------------------------------- M1
-def temporal_split(df: DataFrame, period: str, cutoff: str) -> DataFrame:
-    """Row-level split on month text: before the cutoff is train."""
-    return df.withColumn("split", F.when(F.col(period) < F.lit(cutoff), F.lit("train")).otherwise(F.lit("test")))
+def temporal_split(df: DataFrame, period: str, cutoff: str, embargo_months: int = 0) -> DataFrame:
+    """Row-level split on month text: before the cutoff is train.
+
+    With ``embargo_months`` > 0 the last months before the cutoff, whose
+    forward labels look past it, are marked 'embargo' instead of train."""
+    train_end = cutoff
+    if embargo_months:
+        d = F.add_months(F.to_date(F.concat(F.lit(cutoff[:7]), F.lit("-01"))), -embargo_months)
+        train_end = F.date_format(d, "yyyy-MM")
+    p = F.col(period)
+    lim = F.lit(train_end) if isinstance(train_end, str) else train_end
+    return df.withColumn("split", F.when(p < lim, F.lit("train"))
+                         .when(p < F.lit(cutoff), F.lit("embargo")).otherwise(F.lit("test")))
 
 
 # ---------------------------------------------------------------- M2 / W16
@@ -25,12 +35,18 @@ def first_period(loan: str, period: str) -> Column:
     return F.min(period).over(Window.partitionBy(loan))
 
 
-def cohort_split(df: DataFrame, loan: str, period: str, cutoff: str) -> DataFrame:
+def cohort_split(df: DataFrame, loan: str, period: str, cutoff: str, as_date: bool = False) -> DataFrame:
     """Loan-level split: a loan goes wholly to train when its first month
-    compares (as text) below the cutoff."""
-    return (df.withColumn("first_period", first_period(loan, period))
-              .withColumn("split", F.when(F.col("first_period") < F.lit(cutoff), F.lit("train"))
-                          .otherwise(F.lit("test"))))
+    compares (as text) below the cutoff.  Text comparison puts '2022-01'
+    before '2022-01-01', so that month's new loans train; ``as_date=True``
+    compares first-of-month dates instead (they then test)."""
+    df = df.withColumn("first_period", first_period(loan, period))
+    if as_date:
+        first = F.to_date(F.concat(F.col("first_period"), F.lit("-01")))
+        is_train = first < F.to_date(F.lit(cutoff))
+    else:
+        is_train = F.col("first_period") < F.lit(cutoff)
+    return df.withColumn("split", F.when(is_train, F.lit("train")).otherwise(F.lit("test")))
 
 
 # ---------------------------------------------------------------- M3

@@ -10,7 +10,7 @@ map-side combine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 LOAN = "asset_number"
@@ -117,6 +117,3 @@ def gap_months(order_date, w: WindowSpec) -> Column:
     nxt = F.lead(_c(order_date)).over(w)
     return F.round(F.months_between(nxt, _c(order_date)))
 
-
-def with_columns(df: DataFrame, cols: dict) -> DataFrame:
-    return df.withColumns(cols)

@@ -81,3 +81,21 @@ def test_censoring(spark):
     lab = df.withColumn("l", L.forward_label_strict())
     assert lab.where("l is not null").count() == 1          # only the first row of the 7-row loan
     assert L.drop_last_observation(df, "asset_number", "period").count() == 0 + 5 + 6
+
+
+def test_calendar_label_and_embargo(spark):
+    from arrears.operators import splits as S
+    rows = [(1, "2001-01", 0), (1, "2001-02", 0), (1, "2001-05", 1), (1, "2001-09", 0), (1, "2001-10", 0)]
+    df = spark.createDataFrame(rows, "asset_number long, period string, default_flag int")
+    got = [r[0] for r in df.orderBy("period").select(L.forward_label_calendar(horizon=3)).collect()]
+    # 01: months 02-04 -> no default; 02: 03-05 -> 1; 05: 06-08 none; 09/10: not observed 3 months ahead
+    assert got == [0.0, 1.0, 0.0, None, None]
+    sp = [r[0] for r in S.temporal_split(df, "period", "2001-09", embargo_months=6).orderBy("period")
+          .select("split").collect()]
+    assert sp == ["train", "train", "embargo", "test", "test"]
+    c = S.cohort_split(spark.createDataFrame([(1, "2022-01")], "asset_number long, period string"),
+                       "asset_number", "period", "2022-01-01")
+    assert c.first()["split"] == "train"
+    c2 = S.cohort_split(spark.createDataFrame([(1, "2022-01")], "asset_number long, period string"),
+                        "asset_number", "period", "2022-01-01", as_date=True)
+    assert c2.first()["split"] == "test"
