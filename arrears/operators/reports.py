@@ -24,9 +24,9 @@ def pct(num: Column, den: Column) -> Column:
 
 
 def one_row_join(df: DataFrame, single: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row of ``df``."""
-    return df.withColumn("_one", F.lit(1)).join(
-        F.broadcast(single.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Attach the columns of a one-row aggregate to every row of ``df`` as
+    scalar subqueries (evaluated once; no join, no cross product)."""
+    return df.withColumns({c: single.select(c).scalar() for c in single.columns})
 
 
 def panel_overview(panel: DataFrame, loan: str, period: str, flag: str) -> DataFrame:

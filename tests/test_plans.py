@@ -21,3 +21,12 @@ def test_macro_joins_do_not_move_the_panel(spark):
     plan = _plan(queries()["asof_macro"](spark, SMALL))
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_cross_products(spark):
+    from __spark_entry__ import queries
+    q = queries()
+    for name in ("eda_overview", "eda_payment_type", "split_overlap", "tier_distribution", "flagship",
+                 "feature_matrix", "threshold_sweep"):
+        plan = _plan(q[name](spark, SMALL))
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
