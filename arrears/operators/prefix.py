@@ -70,7 +70,7 @@ def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool =
     ``df`` must hold one row per distinct ``order`` value (collapse first).
     It is read twice (split points, then sums), so it is kept for the
     second pass; it is the collapsed table, not the raw rows."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.DISK_ONLY)
     b = bucketize(df, order, n_buckets)
     bkey = F.col("_bucket")
     totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
@@ -103,7 +103,7 @@ def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,
     group), so no group's values pass through one task or the driver."""
     vc = (long_df.where(F.col(value).isNotNull())
                  .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-                 .persist(StorageLevel.MEMORY_AND_DISK))     # read by the sketch and by the sums
+                 .persist(StorageLevel.DISK_ONLY))     # read by the sketch and by the sums
     res = GROUPED_RESOLUTION
     probs = [i / res for i in range(1, res)]
     # Per group, one pass: distinct count, total count, fixed-resolution sketch;

@@ -58,7 +58,7 @@ def validation_loans(train: DataFrame, loan: str, period: str, fraction: float =
     per month) locate the boundary month, and an exact order statistic of
     the keys inside that month finishes it."""
     # one row per loan, read by the two small jobs below
-    loans = train.groupBy(loan).agg(F.min(period).alias("first_period")).persist(StorageLevel.MEMORY_AND_DISK)
+    loans = train.groupBy(loan).agg(F.min(period).alias("first_period")).persist(StorageLevel.DISK_ONLY)
     # Loans per first month: one row per calendar month, brought back whole.
     months = sorted(((r["first_period"], r["n"]) for r in
                      loans.groupBy("first_period").agg(F.count(F.lit(1)).alias("n")).collect()),

@@ -22,7 +22,7 @@ KEYS = ["asset_number", "period"]
 def c_model_data(spark, sf_dir, label: str = "label_6m", medians: dict | None = None):
     """Imputed train (with a validation flag) and test frames of the 70-feature matrix."""
     df = c_frame(spark, sf_dir).where(F.col(label).isNotNull())
-    df = S.temporal_split(df, "period", CUT).persist(StorageLevel.MEMORY_AND_DISK)
+    df = S.temporal_split(df, "period", CUT).persist(StorageLevel.DISK_ONLY)
     train = df.where(F.col("split") == "train")
     test = df.where(F.col("split") == "test")
     if medians is None:
