@@ -15,7 +15,13 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # bounded job/stage/SQL history in the driver's status store (UI or not)
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
+    "spark.ui.retainedTasks": "20000",
+    "spark.sql.ui.retainedExecutions": "50",
 }
+LOCAL_DRIVER_MEMORY = "8g"      # local mode: the driver heap is the whole executor
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -26,6 +32,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", LOCAL_DRIVER_MEMORY)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)

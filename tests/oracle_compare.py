@@ -108,7 +108,9 @@ def main(argv):
         try:
             ok, msg = compare(spark, con, n, sf_dir)
         except Exception as e:  # report and continue
-            ok, msg = False, f"{n}: ERROR {type(e).__name__}: {str(e)[:400]}"
+            text = str(e)
+            cause = text[text.find("Caused by"):][:600] if "Caused by" in text else ""
+            ok, msg = False, f"{n}: ERROR {type(e).__name__}: {text[:300]} {cause}"
         bad += not ok
         print(("PASS " if ok else "FAIL ") + msg, flush=True)
     print(f"{len(names) - bad}/{len(names)} passed")
