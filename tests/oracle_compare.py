@@ -80,6 +80,10 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
         ks, kd = _kind(sdf[c].dtype), _kind(ddf[c].dtype)
         if ks != kd and not (len(sdf) == 0 or sdf[c].isna().all() or ddf[c].isna().all()):
             msgs.append(f"type {c}: spark {sdf[c].dtype} duck {ddf[c].dtype}")
+    for c in sdf.columns:                # pandas holds whole numbers with nulls as floats on one side only
+        if {_kind(sdf[c].dtype), _kind(ddf[c].dtype)} == {"int", "float"} and (sdf[c].isna().any() or ddf[c].isna().any()):
+            sdf[c], ddf[c] = sdf[c].astype("Float64").astype("Int64"), ddf[c].astype("Float64").astype("Int64")
+            msgs = [m for m in msgs if not m.startswith(f"type {c}:")]
     if len(sdf) != len(ddf):
         return False, f"{name}: rows spark={len(sdf)} duck={len(ddf)} " + "; ".join(msgs)
     rs, rd = frame_rows(sdf), frame_rows(ddf)
