@@ -107,8 +107,7 @@ def log_ratios(labelled: DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Dual coordinate descent for the hinge loss with a bias as last weight.
-    Rows have length 1, so each diagonal entry is 2 with the bias."""
+    """Dual coordinate descent for the hinge loss with a bias as last weight."""
     w, a = np.zeros(SIZE + 1), np.zeros(len(y))
     for _ in range(EPOCHS):
         for i in rng.permutation(len(y)).tolist():
@@ -179,7 +178,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     ship_package(spark)
     marks = labels.where((fold() != 2) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
     texts = docs.where(fold() != 2).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    labelled = texts.join(marks, texts["doc_id"] == marks["_id"]).select("text", "quality")
+    # labels grow with the documents: the join is the same sort-merge join at every size
+    labelled = texts.join(marks.hint("merge"), texts["doc_id"] == marks["_id"]).select("text", "quality")
     ratio, bad, good = log_ratios(labelled)
     if not bad or not good:
         return ("share", good / (bad + good) if bad + good else 0.5)
