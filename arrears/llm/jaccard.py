@@ -45,7 +45,7 @@ from arrears.llm.store import Scratch
 from arrears.llm.text import SPACED, buffers, mix, shingle_sets, slices, words
 
 SLACK = 20               # one extra common prefix hash is asked for per so many shingles
-BLOCK_TOKENS = 1_000_000  # shingles of one block: 8 MB, and what one trie holds
+BLOCK_TOKENS = 2_000_000  # shingles of one block: 16 MB, and what one trie holds
 
 SKETCH = "doc_id bigint, key bigint, n bigint, cid bigint, pre array<bigint>"
 SETS = "cid bigint, n bigint, tokens binary"
@@ -109,21 +109,32 @@ class _Forest:
         self.parent[self.find(b)] = self.find(a)
 
 
-def _ranked(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
-    """Each set as sorted ranks of the hashes that at least two sets have, commonest first."""
+def _ranked(sets: list[np.ndarray], sizes: list[int], num: int, den: int) -> list[np.ndarray | None]:
+    """Each set as sorted ranks of the hashes that at least two sets have,
+    commonest first; None for a set that can link with none of the others: it
+    has too few hashes that any set still in question has."""
     flat = np.concatenate(sets)
-    values, where, count = np.unique(flat, return_inverse=True, return_counts=True)
+    values, where = np.unique(flat, return_inverse=True)
+    lengths = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    least = np.array([need(n, num, den) for n in sizes])
+    alive = np.ones(len(sets), dtype=bool)
+    while True:
+        count = np.bincount(where[alive[owner]], minlength=len(values))
+        have = np.bincount(owner, weights=(count > 1)[where], minlength=len(sets))
+        now = alive & (have >= least)
+        if now.sum() == alive.sum():
+            break
+        alive = now
     order = np.lexsort((values, -count))
     rank = np.empty(len(values), dtype=np.int64)
     rank[order] = np.arange(len(values))
     kept = int((count > 1).sum())
-    ranks, ends, lo = rank[where], np.cumsum([len(s) for s in sets]), 0
-    out = []
-    for hi in ends.tolist():
-        r = np.sort(ranks[lo:hi])
-        out.append(r[:np.searchsorted(r, kept)])
-        lo = hi
-    return out, kept
+    ranks, ends, out = rank[where], np.cumsum(lengths), []
+    for hi, n, ok in zip(ends.tolist(), lengths.tolist(), alive.tolist()):
+        r = np.sort(ranks[hi - n:hi]) if ok else None
+        out.append(r[:np.searchsorted(r, kept)] if ok else None)
+    return out
 
 
 def _build(seqs: list[np.ndarray], sizes: list[int]) -> _Node:
@@ -164,18 +175,21 @@ def _build(seqs: list[np.ndarray], sizes: list[int]) -> _Node:
 
 
 def trie_links(sizes: list[int], sets: list[np.ndarray], num: int, den: int, labels: list | None = None) -> list[tuple[int, int]]:
-    """Links that join the sets into their components under Jaccard >= num/den.
-    Sets with an equal label (not None) are connected beforehand."""
+    """Links, each to the first set of its component, that join the sets into
+    their components under Jaccard >= num/den. Sets with an equal label (not
+    None) are connected beforehand and get no links for it."""
     forest = _Forest(labels or [None] * len(sets))
-    ranks, kept = _ranked(sets)
-    order = sorted(range(len(sets)), key=lambda i: ranks[i].astype(">u4").tobytes())
+    ranks = _ranked(sets, sizes, num, den)
+    order = sorted((i for i in range(len(sets)) if ranks[i] is not None), key=lambda i: ranks[i].astype(">u4").tobytes())
+    if len(order) < 2:
+        return []
+    before = [forest.find(i) for i in range(len(sets))]
     seqs, size = [ranks[i] for i in order], [sizes[i] for i in order]
     forest_of = order                             # position in the trie -> index of the set
     root = _build(seqs, size)
-    links: list[tuple[int, int]] = []
-    mask = np.zeros(kept + 1, dtype=np.int8)
+    mask = np.zeros(max(int(r[-1]) for r in seqs) + 1, dtype=np.int8)
 
-    def settle(node: _Node, mine: int) -> None:
+    def settle(node: _Node) -> None:
         """Mark a subtree that is one component now."""
         if all(k.same for k in node.kids):
             heads = {forest.find(forest_of[k.lo]) for k in node.kids} | {forest.find(forest_of[i]) for i in node.own}
@@ -189,7 +203,7 @@ def trie_links(sizes: list[int], sets: list[np.ndarray], num: int, den: int, lab
         while todo:
             node, overlap, done = todo.pop()
             if done:
-                settle(node, me)
+                settle(node)
                 continue
             if node.most < small or node.least > large:
                 continue
@@ -203,12 +217,14 @@ def trie_links(sizes: list[int], sets: list[np.ndarray], num: int, den: int, lab
                 other = forest_of[i]
                 if other != me and small <= size[i] <= large and overlap * (num + den) >= num * (nx + size[i]) and forest.find(other) != forest.find(me):
                     forest.join(me, other)
-                    links.append((me, other))
             if not node.same:
                 todo.append((node, overlap, True))
             todo += [(k, overlap, False) for k in node.kids]
         mask[seq] = 0
-    return links
+    head: dict[int, int] = {}
+    for i in range(len(sets)):
+        head.setdefault(forest.find(i), i)
+    return [(head[forest.find(i)], i) for i in range(len(sets)) if before[i] == i and head[forest.find(i)] != i]
 
 
 def _trie_task(num: int, den: int):
@@ -235,7 +251,7 @@ def _candidates(s: Scratch, classes: DataFrame, num: int, den: int) -> DataFrame
     shared = s.write(rows.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("df"))
                      .where("lo <> hi").select("h", "df"), "shared")
     kmin = F.expr(f"1 + (({num} * n + {den - 1}) div {den}) div {SLACK}")
-    kept = s.write(rows.join(shared, "h").select("cid", "n", "h", "df"), "kept")
+    kept = s.write(rows.join(shared.hint("merge"), "h").select("cid", "n", "h", "df"), "kept")
     alive = kept.groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("have")).where(F.col("have") >= kmin)
     alive = s.write(alive.withColumn("front", F.col("have") - kmin + 1).select("cid", "n", "front"), "alive")
     place = F.row_number().over(Window.partitionBy("cid").orderBy("df", "h"))
@@ -311,8 +327,8 @@ def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block
     blocks = _blocks(s, cand, block_tokens)
     chosen = s.write(classes.select("cid", "key").join(cand.select("cid"), "cid", "left_semi").select(F.col("key").alias("pick")).distinct(), "chosen")
     s.drop("classes")
-    picked = texts.join(chosen, texts["key"] == chosen["pick"], "left_semi").select("text")
-    sets = s.write(picked.mapInArrow(_whole_sets(k), SETS).join(blocks.drop("n"), "cid"), "sets")
+    picked = texts.join(chosen.hint("merge"), texts["key"] == chosen["pick"], "left_semi").select("text")
+    sets = s.write(picked.mapInArrow(_whole_sets(k), SETS).join(blocks.drop("n").hint("merge"), "cid"), "sets")
     # groups of one block share units, several groups to a unit
     tokens = blocks.where("last = 0").agg(F.sum("n")).first()[0] or 0
     packs = max(1, -(-int(tokens) // block_tokens))
