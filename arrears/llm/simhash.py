@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from arrears.llm.store import Scratch
 
-RUN = 8191                     # terms of one run: RUN * MAX_WEIGHT < 2**16
+RUN = 4095                     # terms of one run: RUN * MAX_WEIGHT < 2**15, so no lane overflows, nor the sign
 MAX_WEIGHT = 8
 RADIUS = 3
 BLOCKS = (11, 11, 11, 11, 10, 10)
