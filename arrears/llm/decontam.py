@@ -3,7 +3,7 @@
 ``build_index`` stores the postings of *every* word of the training texts:
 one row per block of documents holds the block's distinct terms (64-bit
 hashes, sorted), their counts, and their positions, term after term. Blocks
-hold whole documents, about 4 MB of text each, and are written to the shared
+hold whole documents, about 2 MB of text each, and are written to the shared
 folder, so a lost executor costs one block.
 
 ``match`` answers the benchmark's windows against the index. Per block it

@@ -115,8 +115,10 @@ def _ranked(sets: list[np.ndarray], sizes: list[int], num: int, den: int) -> lis
     has too few hashes that any set still in question has."""
     flat = np.concatenate(sets)
     values, where = np.unique(flat, return_inverse=True)
+    where = where.astype(np.int32)
+    del flat
     lengths = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), lengths)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
     least = np.array([need(n, num, den) for n in sizes])
     alive = np.ones(len(sets), dtype=bool)
     while True:
@@ -127,7 +129,7 @@ def _ranked(sets: list[np.ndarray], sizes: list[int], num: int, den: int) -> lis
             break
         alive = now
     order = np.lexsort((values, -count))
-    rank = np.empty(len(values), dtype=np.int64)
+    rank = np.empty(len(values), dtype=np.int32)
     rank[order] = np.arange(len(values))
     kept = int((count > 1).sum())
     ranks, ends, out = rank[where], np.cumsum(lengths), []

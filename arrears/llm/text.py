@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20          # bytes hashed at once: bounds memory for very long texts
-SLICE = 4 << 20          # bytes of text in one run of rows
+PIECE = 1 << 18          # bytes hashed at once: bounds memory for very long texts
+SLICE = 2 << 20          # bytes of text in one run of rows
 
 
 def mix(x: np.ndarray) -> np.ndarray:
