@@ -78,8 +78,10 @@ def benchmark_windows(items: list[tuple], window: int = WINDOW) -> tuple[np.ndar
                         for n, w in found.items()}
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[c], d) for c, d in (("terms", "<u8"), ("counts", "<u4"), ("positions", "<u4")))
+def _views(batch: pa.RecordBatch, *columns: tuple[str, str]) -> Iterator[list[np.ndarray]]:
+    """Each row's binary columns as arrays on the batch's own memory."""
+    for i in range(batch.num_rows):
+        yield [np.frombuffer(batch.column(c)[i].as_buffer(), d) for c, d in columns]
 
 
 def _place(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +94,7 @@ def _frequency_task(vocabulary):
     def run(batches):
         total = np.zeros(len(vocabulary.value), dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                terms, counts = (np.frombuffer(row[c], d) for c, d in (("terms", "<u8"), ("counts", "<u4")))
+            for terms, counts in _views(batch, ("terms", "<u8"), ("counts", "<u4")):
                 at, present = _place(vocabulary.value, terms)
                 total[present] += counts[at[present]]
         some = np.flatnonzero(total)
@@ -113,9 +114,8 @@ def _match_task(sent, slop: int):
     def run(batches):
         vocabulary, windows, frequency = sent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                terms, counts, positions = _arrays(row)
-                firsts = np.frombuffer(row["firsts"], "<i8")
+            every = _views(batch, ("firsts", "<i8"), ("terms", "<u8"), ("counts", "<u4"), ("positions", "<u4"))
+            for block, (firsts, terms, counts, positions) in zip(batch.column("block").to_pylist(), every):
                 ends = np.cumsum(counts, dtype=np.int64)
                 at, present = _place(vocabulary, terms)
                 got: list[tuple] = []
@@ -135,7 +135,7 @@ def _match_task(sent, slop: int):
                         got += [(o, items[w], s - int(firsts[o]), size) for o, s in zip(ord_[whole].tolist(), starts[whole].tolist())]
                 if got:
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([row["block"]] * len(got)), pa.array([g[0] for g in got], pa.int32()),
+                        pa.array([block] * len(got)), pa.array([g[0] for g in got], pa.int32()),
                         pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()),
                         pa.array([g[3] for g in got], pa.int32())], names=["block", "ord", "item_id", "start", "length"])
     return run

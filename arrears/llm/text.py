@@ -75,6 +75,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> It
         hi = min(max(hi, lo + 1), batch.num_rows)
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def spans(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
