@@ -77,9 +77,15 @@ def grams(numbers: Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<int>"))
 
 
+def with_grams(rows: DataFrame) -> DataFrame:
+    """``rows`` (url, ...) with ``numbers`` and ``grams``. Each is a column of
+    its own: inside a lambda an expression would be worked out per element."""
+    return rows.withColumn("numbers", symbols(F.col("url"))).withColumn("grams", grams(F.col("numbers")))
+
+
 def ratio_table(s: Scratch, labelled: DataFrame) -> DataFrame:
     """``labelled`` (url, good 0/1) -> (gram, ratio) for all 2**20 grams."""
-    counts = labelled.select("good", F.explode(grams(symbols(F.col("url")))).alias("gram")).groupBy("gram").agg(
+    counts = with_grams(labelled).select("good", F.explode("grams").alias("gram")).groupBy("gram").agg(
         F.sum("good").alias("a"), F.sum(1 - F.col("good")).alias("r"))
     counts = s.write(counts, "grams")                      # at most 2**20 rows
     table = None
@@ -101,10 +107,15 @@ def ratio_table(s: Scratch, labelled: DataFrame) -> DataFrame:
     return table.select("gram", (F.log("pa") - F.log("pr")).alias("ratio"))
 
 
-def score_of(url: Column, ratios: Column) -> Column:
-    found = F.transform(grams(symbols(url)), lambda g: F.get(ratios, g))
-    total = F.aggregate(found, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(found) > 0, total / F.size(found)).otherwise(F.lit(0.0))
+def with_score(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """``rows`` (url, ...) with ``score``; ``model`` has one row, the ratios by
+    gram. The subquery stands in a projection of its own, as it may not be
+    written inside a lambda; the optimiser puts it there, so it is no column
+    of any row."""
+    kept = rows.columns
+    found = with_grams(rows).withColumn("ratios", model.scalar()).select(*kept, F.transform("grams", lambda g: F.get("ratios", g)).alias("found"))
+    total = F.aggregate("found", F.lit(0.0), lambda acc, x: acc + x)
+    return found.select(*kept, F.when(F.size("found") > 0, total / F.size("found")).otherwise(F.lit(0.0)).alias("score"))
 
 
 def threshold_of(scored: DataFrame) -> float:
@@ -132,9 +143,7 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame
     table = ratio_table(s, labelled.where("not apart"))
     array = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
     model = s.write(array, "model")                        # one row of 2**20 doubles
-    # the subquery stands in a projection of its own, as it may not stand inside a lambda
-    apart = labelled.where("apart").withColumn("ratios", model.scalar())
-    threshold = threshold_of(apart.select(score_of(F.col("url"), F.col("ratios")).alias("score"), "good"))
-    out = rows.withColumn("ratios", model.scalar()).withColumn("score", score_of(F.col("url"), F.col("ratios"))).withColumn("threshold", F.lit(threshold))
+    threshold = threshold_of(with_score(labelled.where("apart"), model))
+    out = with_score(rows, model).withColumn("threshold", F.lit(threshold))
     judged = F.when(F.col("score") >= F.col("threshold"), F.lit("allow")).otherwise(F.lit("block"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score", "threshold")
