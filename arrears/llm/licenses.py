@@ -72,31 +72,38 @@ def lowered(text: str = "text") -> Column:
 
 
 def _words(low: Column) -> Column:
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, NOT_WORD + "+"), "")
 
 
-def _blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """(row, tokens): the distinct template words of every line that has enough of them."""
-    line = docs.select("row", F.explode(F.split(lowered(), "\n")).alias("line"))
-    # a line as short as its fewest words need cannot reach any template
-    line = line.where(F.length("line") >= 2 * least - 1)
-    tokens = F.array_intersect(_words(F.col("line")), F.array(*[F.lit(w) for w in vocabulary]))
-    return line.select("row", tokens.alias("tokens")).where(F.size("tokens") > 0)
+def line_words(docs: DataFrame) -> DataFrame:
+    """``docs`` (row, text, ...) with ``lines``: the words of every line. A line
+    feed is no word character, so the lines' words in turn are the text's."""
+    return docs.withColumn("lines", F.transform(F.split(lowered(), "\n"), _words)).drop("text")
 
 
-def block_matches(s: Scratch, docs: DataFrame, templates=TEMPLATES, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` (row, text) -> (row, label, containment) of every block that meets a template."""
+def template_words(templates=TEMPLATES) -> list[str]:
+    return sorted({w for _, _, t in template_sets(templates) for w in t})
+
+
+def blocks_of(templates=TEMPLATES) -> Column:
+    """Of ``lines``, the distinct template words of every line that has any."""
+    words = F.array(*[F.lit(w) for w in template_words(templates)])
+    return F.filter(F.transform("lines", lambda line: F.array_intersect(line, words)), lambda b: F.size(b) > 0)
+
+
+def block_matches(s: Scratch, blocks: DataFrame, templates=TEMPLATES, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``blocks`` (row, blocks) -> (row, label, containment) of every block that meets a template."""
     sets = template_sets(templates)
-    vocabulary = sorted({w for _, _, t in sets for w in t})
     least = min(need(len(t), num, den) for _, _, t in sets)
-    blocks = _blocks(docs, vocabulary, least)
+    blocks = blocks.select("row", F.explode("blocks").alias("tokens"))
     # frequencies over all blocks of the corpus: one row per template word
     counted = s.write(blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")), "frequency")
+    vocabulary = template_words(templates)
     order = s.spark.createDataFrame([(w,) for w in vocabulary], "token string").join(counted, "token", "left").select(
         "token", F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "token")).alias("rank"))
     ranks = {r["token"]: r["rank"] for r in order.collect()}          # as many rows as the templates have words
     by_rank = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(ranks[w]))])
-    ranked = blocks.where(F.size("tokens") >= least).withColumn("ranks", F.array_sort(F.transform("tokens", lambda w: by_rank[w])))
+    ranked = blocks.where(F.size("tokens") >= least).select("row", F.array_sort(F.transform("tokens", lambda w: by_rank[w])).alias("ranks"))
     prefixes = []
     for i, label, words in sets:
         mine = sorted(ranks[w] for w in words)
@@ -130,21 +137,20 @@ def scan(spark: SparkSession, docs: DataFrame) -> DataFrame:
     base_labels, labels, score."""
     s = Scratch(spark, "licenses")
     # rows of one id are told apart by their text
-    key = F.xxhash64("doc_id", "text")
-    found = block_matches(s, docs.select(key.alias("row"), "text"))
-    found = s.write(found.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("containment").alias("top")), "matches")
-    base = docs.select("doc_id", key.alias("row"), lowered().alias("low"))
-    base = base.withColumn("n_words", F.regexp_count("low", F.lit(WORD)).cast("long"))
-    # a phrase's words are substrings of the text, or there is no place
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    # the only pass over the texts: counts, phrase places and blocks
+    rows = line_words(rows).select("doc_id", "row", blocks_of().alias("blocks"), F.flatten("lines").alias("words"))
     may = F.lit(False)
     for phrase in PHRASES:
         one = F.lit(True)
         for w in set(phrase.split()):
-            one = one & F.col("low").contains(w)
+            one = one & F.array_contains("words", w)
         may = may | one
-    base = base.withColumn("words", F.when(may, _words(F.col("low"))).otherwise(F.array().cast("array<string>")))
-    base = base.select("doc_id", "row", "n_words", *[F.when(F.size("words") > 0, _places(F.col("words"), p)).otherwise(F.array().cast("array<int>")).alias(f"p{i}")
-                                                     for i, p in enumerate(PHRASES)])
+    none = F.array().cast("array<int>")
+    base = s.write(rows.select("doc_id", "row", "blocks", F.size("words").cast("long").alias("n_words"),
+                               *[F.when(may, _places(F.col("words"), p)).otherwise(none).alias(f"p{i}") for i, p in enumerate(PHRASES)]), "rows")
+    found = block_matches(s, base.select("row", "blocks"))
+    found = s.write(found.groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("containment").alias("top")), "matches")
     places = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
     labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(PHRASES.values())]))
     base = base.select("doc_id", "row", "n_words", places.alias("places"), labels.alias("own"))
