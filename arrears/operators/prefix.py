@@ -21,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ROWS_PER_BUCKET = 2_000_000     # distinct values one bucket's window sorts at most (about)
 MIN_BUCKETS, MAX_BUCKETS = 16, 16384
@@ -55,7 +56,25 @@ def quantile_splits(df: DataFrame, col: str, n_buckets: int | None = None) -> li
     return [float("-inf")] + sorted(set(v for v in picked if v is not None)) + [float("inf")]
 
 
+TEXT_SAMPLE = 4096       # keys read to the driver to cut a text column
+TEXT_BUCKETS = 256
+
+
+def _text_buckets(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Buckets of a text column by comparison with sampled split points."""
+    rows = df.select(col).where(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(TEXT_SAMPLE).collect()
+    keys = sorted({r[0] for r in rows})
+    step = max(1, len(keys) // TEXT_BUCKETS)
+    points = keys[step::step]
+    if not points:
+        return df.withColumn(out, F.lit(0.0))
+    below = F.size(F.filter(F.lit(points), lambda p: p <= F.col(col)))
+    return df.withColumn(out, below.cast("double"))
+
+
 def bucketize(df: DataFrame, col: str, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
+    if isinstance(df.schema[col].dataType, StringType):
+        return _text_buckets(df, col, out)
     splits = quantile_splits(df, col, n_buckets)
     tmp = f"{out}_x"
     d = df.withColumn(tmp, F.col(col).cast("double"))

@@ -68,10 +68,11 @@ def feed_rank(tier_col: str = "risk_tier") -> Column:
     return expr
 
 
-def risk_feed(scored: DataFrame, score: str) -> DataFrame:
-    """RED first, then ORANGE, YELLOW, GREEN; probability descending inside a tier."""
+def risk_feed(scored: DataFrame, score: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """RED first, then ORANGE, YELLOW, GREEN; probability descending inside a
+    tier, equal ones by the keys (which also cut rows tied on one score)."""
     df = scored.withColumn("risk_tier", tier(score, "rgb")).withColumn("tier_rank", feed_rank())
-    return df.orderBy("tier_rank", F.col(score).desc())
+    return df.orderBy("tier_rank", F.col(score).desc(), *keys)
 
 
 def top_k(scored: DataFrame, score: str, keys: list[str], k: int = 20) -> DataFrame:

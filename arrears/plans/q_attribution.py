@@ -14,7 +14,7 @@ from arrears.plans.registry import register
 
 def _model_and_test(spark, sf_dir):
     train, test, _ = c_model_data(spark, sf_dir)
-    model = MD.fit_gbt(train, FEATS, "label_6m", MD.MODEL_A, val_col="_is_val")
+    model = MD.fit_gbt(train, FEATS, "label_6m", MD.MODEL_A, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     return model, test
 
 

@@ -228,6 +228,6 @@ SELECT asset_number, period, property_type, state, orig_amount, score AS default
 FROM scored""")
 def risk_feed(spark, sf_dir):
     s = scored(spark, sf_dir)
-    f = T.risk_feed(s, "score")
+    f = T.risk_feed(s, "score", ("asset_number", "period"))
     return f.select("asset_number", "period", "property_type", "state", "orig_amount",
                     F.col("score").alias("default_prob_6m"), "risk_tier", "tier_rank")

@@ -35,7 +35,7 @@ def c_model_data(spark, sf_dir, label: str = "label_6m", medians: dict | None =
 
 def _fit_score(spark, sf_dir, params, label="label_6m"):
     train, test, _ = c_model_data(spark, sf_dir, label)
-    model = MD.fit_gbt(train, FEATS, label, params, val_col="_is_val")
+    model = MD.fit_gbt(train, FEATS, label, params, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     return model, MD.score(model, test).select(*KEYS, label, "pred_proba")
 
 
@@ -54,7 +54,7 @@ def model_lifecycle_scores(spark, sf_dir):
     # Six-month medians are reused for the lifecycle model.
     _, _, med = c_model_data(spark, sf_dir, "label_6m")
     train, test, _ = c_model_data(spark, sf_dir, "label_ever", med)
-    model = MD.fit_gbt(train, FEATS, "label_ever", MD.MODEL_C, val_col="_is_val")
+    model = MD.fit_gbt(train, FEATS, "label_ever", MD.MODEL_C, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     return MD.score(model, test).select(*KEYS, "label_ever", "pred_proba")
 
 
@@ -72,7 +72,7 @@ def cohort_model_data(spark, sf_dir):
 @register("model_cohort_scores")
 def model_cohort_scores(spark, sf_dir):
     train, test, feats = cohort_model_data(spark, sf_dir)
-    model = MD.fit_gbt(train, feats, "target", MD.MODEL_COHORT, val_col="_is_val")
+    model = MD.fit_gbt(train, feats, "target", MD.MODEL_COHORT, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     return MD.score(model, test).select("ac_key", "report_period", "target", "pred_proba")
 
 
@@ -102,11 +102,14 @@ def model_comparison(spark, sf_dir):
         synth.select(*FEATS, "label_6m").withColumn("_is_val", F.lit(False)))
     fits.insert(1, ("B: boosted trees + oversampling, 70 features", balanced, MD.MODEL_A))
     for name, data, params in fits:
-        model = MD.fit_gbt(data, FEATS, "label_6m", params, val_col="_is_val")
+        model = MD.fit_gbt(data, FEATS, "label_6m", params, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
         auc, ap = _metrics_row(MD.score(model, test), "label_6m")
         rows.append((name, auc, ap, (auc - MD.BASELINE_AUROC) * 100.0))
     ltrain, ltest, _ = c_model_data(spark, sf_dir, "label_ever", med)
-    lmodel = MD.fit_gbt(ltrain, FEATS, "label_ever", MD.MODEL_C, val_col="_is_val")
+    lmodel = MD.fit_gbt(ltrain, FEATS, "label_ever", MD.MODEL_C, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     la, lp = _metrics_row(MD.score(lmodel, ltest), "label_ever")
     rows.append(("lifecycle (ever-default), model C settings", la, lp, (la - MD.BASELINE_AUROC) * 100.0))
+    by = {name[:2]: (auc, ap) for name, auc, ap, _ in rows}
+    for name, x, y in (("gap: C - A", "C:", "A:"), ("gap: lifecycle - C", "li", "C:")):
+        rows.append((name, by[x][0] - by[y][0], by[x][1] - by[y][1], (by[x][0] - by[y][0]) * 100.0))
     return spark.createDataFrame(rows, "model string, auroc double, pr_auc double, auroc_vs_baseline_pp double")

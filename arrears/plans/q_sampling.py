@@ -54,5 +54,5 @@ def model_b_scores(spark, sf_dir):
     train, synth, test = balanced_train(spark, sf_dir)
     syn = synth.select(*FEATS, "label_6m").withColumn("_is_val", F.lit(False))
     data = train.select(*FEATS, "label_6m", "_is_val").unionByName(syn)
-    model = MD.fit_gbt(data, FEATS, "label_6m", MD.MODEL_A, val_col="_is_val")
+    model = MD.fit_gbt(data, FEATS, "label_6m", MD.MODEL_A, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     return MD.score(model, test).select(*KEYS, "label_6m", "pred_proba")

@@ -36,7 +36,7 @@ SELECT asset_number, period, property_type, state, orig_amount, score AS default
 FROM scored""")
 def risk_feed_csv(spark, sf_dir):
     from arrears.plans.q_metrics import scored
-    feed = T.risk_feed(scored(spark, sf_dir), "score").select(
+    feed = T.risk_feed(scored(spark, sf_dir), "score", ("asset_number", "period")).select(
         "asset_number", "period", "property_type", "state", "orig_amount",
         F.col("score").alias("default_prob_6m"), "risk_tier", "tier_rank")
     path = K.write_risk_feed(feed, K.fresh_path(spark, "risk_feed"))

@@ -44,7 +44,9 @@ def fixed_round(x, places: int):
     """floor(x * 10^p + 0.5) / 10^p: plain IEEE steps, so the SQL oracle can
     apply the very same formula and exact decimal ties round alike."""
     scale = float(10 ** places)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    big = x * F.lit(scale)
+    # beyond 2^62 a double has no fraction left, and floor() would leave BIGINT
+    return F.when(F.abs(big) < F.lit(float(1 << 62)), F.floor(big + F.lit(0.5)).cast("double")).otherwise(big) / F.lit(scale)
 
 
 def round_doubles(df: DataFrame, dbl: dict) -> DataFrame:

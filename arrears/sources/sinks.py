@@ -41,12 +41,3 @@ def write_attribution_ranking(ranking: DataFrame, path: str) -> str:
     """K3: (feature, mean_abs_shap) as CSV, in rank order (one row per feature)."""
     ranking.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
     return path
-
-
-def write_panel_by_year(panel: DataFrame, path: str, period: str = "period") -> str:
-    """Write a loan-month panel partitioned by year (a few dozen folders, each
-    large), so month filters prune folders and no loan-month explodes the file count."""
-    from pyspark.sql import functions as F
-    out = panel.withColumn("year", F.substring(F.col(period), 1, 4).cast("int"))
-    out.repartition("year").write.mode("overwrite").partitionBy("year").parquet(path)
-    return path
