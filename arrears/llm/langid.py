@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arrears.llm.store import prepare
 from arrears.llm.text import LOWER, buffers, slices
-from arrears.session import ship_package
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -199,7 +199,7 @@ def _train(table: pa.Table) -> pa.Table:
 
 def train(spark: SparkSession, docs: DataFrame, per_class: int = PER_CLASS) -> ByteNet | None:
     """The net fitted on the training folds of ``docs``; None if they have no language."""
-    ship_package(spark)
+    prepare(spark)
     rows = docs.where((fold() != 2) & F.col("lang").isNotNull() & F.col("text").rlike(LETTER)).select(
         F.xxhash64("doc_id", "text").alias("key"), "lang", "text")
     classes = rows.select("lang").distinct().limit(MAX_CLASSES + 1).count()
@@ -220,7 +220,7 @@ def predict(spark: SparkSession, docs: DataFrame, net: ByteNet | None) -> DataFr
     has = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     if net is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    ship_package(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(net)
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.llm.langid import fold, held_out
+from arrears.llm.store import prepare
 from arrears.llm.text import SPACED, buffers, mix, slices, spans, word_hashes
-from arrears.session import ship_package
 
 PAIRS, TRIPLES, SHAPES, SHAPES3 = 1 << 16, 1 << 16, 1 << 12, 1 << 15
 SIZE = PAIRS + TRIPLES + SHAPES + SHAPES3
@@ -175,7 +175,7 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     """("share", p) or ("svm", ratio, weights, a, b)."""
-    ship_package(spark)
+    prepare(spark)
     marks = labels.where((fold() != 2) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
     texts = docs.where(fold() != 2).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # labels grow with the documents: the join is the same sort-merge join at every size
@@ -198,7 +198,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple) -> DataFrame:
     """``docs`` with a column ``quality_score``."""
     if model[0] == "share":
         return docs.withColumn("quality_score", F.lit(float(model[1])))
-    ship_package(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(model[1:])
 
     @F.arrow_udf("double")

@@ -12,12 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from arrears.session import drop_path, scratch_path, ship_package
 
+BATCH_ROWS = 500         # texts sent to a Python worker at once
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound the rows of an Arrow batch: the default of
+    10,000 texts would fill buffers outside the heap and in the workers."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
 
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-        ship_package(spark)
+        prepare(spark)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
