@@ -61,7 +61,7 @@ def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def build_index(scratch: Scratch, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return scratch.write(rows.mapInArrow(_index_batches, INDEX_SCHEMA), "index")
+    return scratch.write(rows.mapInArrow(_index_batches, INDEX_SCHEMA), "index", large_rows=True)
 
 
 def benchmark_windows(items: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:

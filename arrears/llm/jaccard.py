@@ -299,7 +299,7 @@ def _beside(s: Scratch, large: DataFrame, found: DataFrame, num: int, den: int)
 
 def _rest(s: Scratch, large: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """What is apart from its group's largest component, against every block of compatible sizes."""
-    rows = s.write(_labelled(s, large.select("cid", "n", "tokens", "grp", "blk"), found, "l2"), "labelled")
+    rows = s.write(_labelled(s, large.select("cid", "n", "tokens", "grp", "blk"), found, "l2"), "labelled", large_rows=True)
     count = rows.groupBy("grp", "label").agg(F.count("*").alias("c"))
     main = count.groupBy("grp").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     apart = rows.join(main, "grp").where("label <> main").drop("main")
@@ -330,7 +330,7 @@ def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block
     chosen = s.write(classes.select("cid", "key").join(cand.select("cid"), "cid", "left_semi").select(F.col("key").alias("pick")).distinct(), "chosen")
     s.drop("classes")
     picked = texts.join(chosen.hint("merge"), texts["key"] == chosen["pick"], "left_semi").select("text")
-    sets = s.write(picked.mapInArrow(_whole_sets(k), SETS).join(blocks.drop("n").hint("merge"), "cid"), "sets")
+    sets = s.write(picked.mapInArrow(_whole_sets(k), SETS).join(blocks.drop("n").hint("merge"), "cid"), "sets", large_rows=True)
     # groups of one block share units, several groups to a unit
     tokens = blocks.where("last = 0").agg(F.sum("n")).first()[0] or 0
     packs = max(1, -(-int(tokens) // block_tokens))

@@ -13,16 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from arrears.session import drop_path, scratch_path, ship_package
 
 BATCH_ROWS = 500         # texts sent to a Python worker at once
+BATCH_BYTES = 8 << 20    # and their bytes: a batch has buffers outside the heap, in the JVM and in the worker
+
+#: For tables whose rows are megabytes. By default a page's size is looked at
+#: after 100 rows only, so a whole task's rows became one page per column, with
+#: codec buffers as large outside the heap; and a row group is read at once.
+LARGE_ROWS = {
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size": str(16 << 20),
+    "parquet.enable.dictionary": "false",
+}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, and bound the rows of an Arrow batch: the default of
-    10,000 texts would fill buffers outside the heap and in the workers."""
+    """Ship the package, and bound the rows and bytes of an Arrow batch: the
+    defaults of 10,000 texts or 64 MB would fill buffers outside the heap and
+    in the workers. A batch holds one row at least."""
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -34,8 +46,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+        df.write.mode("overwrite").options(**(LARGE_ROWS if large_rows else {})).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
