@@ -186,10 +186,7 @@ def c_macro_series(spark, sf_dir: str, lag: int = 3):
 
 def join_c_macro(panel: DataFrame, spark, sf_dir: str, lag: int = 3) -> DataFrame:
     series, st = c_macro_series(spark, sf_dir, lag)
-    df = panel
-    for s in series:
-        val = [c for c in s.columns if c != "period_dt"]
-        df = MJ.asof_backward(df, s, "period_dt", val)
+    df = MJ.asof_backward_all(panel, [(s, [c for c in s.columns if c != "period_dt"]) for s in series], "period_dt")
     return MJ.state_with_fallback(df, st, "period_dt", "state", "state_code",
                                   f"state_ur_lag{lag}", f"unrate_lag{lag}")
 
@@ -267,14 +264,19 @@ def loan_period_features(rollup: DataFrame, national: DataFrame, state: DataFram
     return df.select("ac_key", "loan_uid", "report_period", "year", "state", "target", *feats)
 
 
-def category_list(df: DataFrame, col: str) -> list[str]:
-    """Distinct non-NULL categories, sorted (a small, category-bounded collect)."""
-    return sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect())
+MAX_CATEGORIES = 1000     # each becomes a column
 
 
-# Key, date and target names never used as model inputs (fixed values).
-NON_FEATURES = {"ac_key", "loan_uid", "report_period", "year", "state", "target",
-                "ym_dt", "orig_dt", "mat_dt", "ym", "last_month", "fwd_cutoff"}
+def category_list(df: DataFrame, col: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """Distinct non-NULL categories, sorted; more than ``most`` are an error."""
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} categories: not a category column")
+    return sorted(r[0] for r in found)
+
+
+# Keys, report year and target of the loan-period frame: never model inputs.
+NON_FEATURES = {"ac_key", "loan_uid", "report_period", "year", "state", "target"}
 
 
 def feature_columns_by_exclusion(df: DataFrame) -> list[str]:

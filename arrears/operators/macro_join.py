@@ -21,23 +21,43 @@ def shift_months(series: DataFrame, date_col: str, months: int) -> DataFrame:
 
 def asof_backward(left: DataFrame, right: DataFrame, on: str, values: list[str]) -> DataFrame:
     """Left join each row of ``left`` to the last row of ``right`` whose
-    ``on`` is at or before its own, even when that row's values are NULL.
+    ``on`` is at or before its own, even when that row's values are NULL."""
+    return asof_backward_all(left, [(right, values)], on)
+
+
+def asof_backward_all(left: DataFrame, series: list[tuple[DataFrame, list[str]]], on: str) -> DataFrame:
+    """``asof_backward`` for several (series, value columns) at once.
 
     Resolution runs on the distinct ``on`` values of ``left`` unioned with
-    ``right`` (both calendar-sized), ordered by (time, side) so that equal
-    times match; the result is broadcast back onto ``left``."""
-    spine = left.select(on).distinct()
-    payload = F.struct(*[F.col(v) for v in values])
-    u = (right.select(on, F.lit(0).alias("_side"), payload.alias("_m"))
-         .unionByName(spine.select(on, F.lit(1).alias("_side"),
-                                   F.lit(None).cast(payload_type(right, values)).alias("_m"))))
+    all series (calendar-sized), ordered by (time, side) so that equal times
+    match; the one resolved table is broadcast back onto ``left``, which is
+    read once for its times and once for the join, however many series."""
+    types = [payload_type(df, values) for df, values in series]
+
+    def side(df: DataFrame, k: int | None) -> DataFrame:
+        payloads = [F.struct(*values) if i == k else F.lit(None).cast(types[i]) for i, (_, values) in enumerate(series)]
+        return df.select(on, F.lit(int(k is None)).alias("_side"), *[p.alias(f"_m{i}") for i, p in enumerate(payloads)])
+
+    u = side(left.select(on).distinct(), None)
+    for i, (df, _) in enumerate(series):
+        u = u.unionByName(side(df, i))
     w = Window.orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    resolved = (u.withColumn("_hit", F.last("_m", ignorenulls=True).over(w))
-                 .where(F.col("_side") == 1)
-                 .select(on, *[F.col(f"_hit.{v}").alias(v) for v in values]))
+    hits = u.select(on, "_side", *[F.last(f"_m{i}", ignorenulls=True).over(w).alias(f"_m{i}") for i in range(len(series))])
+    resolved = hits.where(F.col("_side") == 1).select(
+        on, *[F.col(f"_m{i}.{v}").alias(v) for i, (_, values) in enumerate(series) for v in values])
     return left.join(F.broadcast(resolved), on, "left")
 
 
+def one_row_per_key(series: DataFrame, keys: list[str]) -> DataFrame:
+    """``series`` without rows of NULL keys (they match nothing); the job fails
+    on a key that stands twice, which would multiply the panel's rows."""
+    n = F.count(F.lit(1))
+    twice = F.raise_error(F.concat_ws(" ", F.lit("macro series: more than one row for"), *[F.col(k).cast("string") for k in keys]))
+    values = [c for c in series.columns if c not in keys]
+    kept = series.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    return kept.groupBy(*keys).agg(*[F.when(n == 1, F.first(v)).otherwise(twice).alias(v) for v in values])
+
+
 def payload_type(df: DataFrame, values: list[str]) -> str:
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     return "struct<" + ",".join(f"{v}:{fields[v]}" for v in values) + ">"
@@ -45,7 +65,9 @@ def payload_type(df: DataFrame, values: list[str]) -> str:
 
 def exact_month_join(left: DataFrame, macro: DataFrame, left_key: str, macro_key: str,
                      extra_keys: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Left equi-join on month (and more keys); months missing stay NULL."""
+    """Left equi-join on month (and more keys); months missing stay NULL.
+    The macro side has one row per key (checked in the plan)."""
+    macro = one_row_per_key(macro, [macro_key] + [mk for _, mk in extra_keys or []])
     cond = left[left_key] == macro[macro_key]
     for lk, mk in extra_keys or []:
         cond = cond & (left[lk] == macro[mk])
@@ -58,8 +80,9 @@ def exact_month_join(left: DataFrame, macro: DataFrame, left_key: str, macro_key
 
 def state_with_fallback(panel: DataFrame, state_series: DataFrame, on: str, state_col: str,
                         series_state: str, value: str, fallback: str) -> DataFrame:
-    """State value for (month, state), or the national value where absent."""
-    s = state_series.withColumnRenamed(on, "_on").withColumnRenamed(value, "_v")
+    """State value for (month, state), or the national value where absent.
+    The series has one row per (month, state) (checked in the plan)."""
+    s = one_row_per_key(state_series.withColumnRenamed(on, "_on").withColumnRenamed(value, "_v"), ["_on", series_state])
     j = panel.join(F.broadcast(s), (panel[on] == s["_on"]) & (panel[state_col] == s[series_state]), "left")
     return j.withColumn(value, F.coalesce(F.col("_v"), F.col(fallback))) \
             .drop("_on", "_v", s[series_state])

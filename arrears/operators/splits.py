@@ -50,41 +50,56 @@ def cohort_split(df: DataFrame, loan: str, period: str, cutoff: str, as_date: bo
 
 
 # ---------------------------------------------------------------- M3
-def validation_loans(train: DataFrame, loan: str, period: str, fraction: float = 0.10) -> DataFrame:
-    """Loans whose first month is latest: the last ``fraction`` of train loans
-    (at least one), ties on the first month broken by the larger loan key.
+def validation_cut(train: DataFrame, loan: str, period: str, fraction: float = 0.10):
+    """(boundary month, key) of the last ``fraction`` of loans by first month
+    (at least one), ties on the first month broken by the larger loan key;
+    None without any loan. Loans without a month, or without a key, are not
+    carved.
 
     The cut is found without a global sort: counts per first month (one row
     per month) locate the boundary month, and an exact order statistic of
     the keys inside that month finishes it."""
     # one row per loan, read by the two small jobs below
-    loans = train.groupBy(loan).agg(F.min(period).alias("first_period")).persist(StorageLevel.DISK_ONLY)
+    loans = (train.where(F.col(loan).isNotNull()).groupBy(loan).agg(F.min(period).alias("first_period"))
+             .where(F.col("first_period").isNotNull()).persist(StorageLevel.DISK_ONLY))
     # Loans per first month: one row per calendar month, brought back whole.
     months = sorted(((r["first_period"], r["n"]) for r in
-                     loans.groupBy("first_period").agg(F.count(F.lit(1)).alias("n")).collect()),
-                    key=lambda t: (t[0] is None, t[0]), reverse=True)
-    n_loans = sum(n for _, n in months)
-    n_val = max(1, int(n_loans * fraction))
+                     loans.groupBy("first_period").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    if not months:
+        loans.unpersist()
+        return None
+    n_val = max(1, int(sum(n for _, n in months) * fraction))
     before, boundary = 0, None
     for m, n in months:                       # latest month first
         if before + n >= n_val:
             boundary = m
             break
         before += n
-    need = n_val - before
     in_month = loans.where(F.col("first_period") == boundary).select(F.col(loan).alias("_k"))
     ranked = running_sums(in_month.withColumn("_one", F.lit(1)), "_k", ["_one"], descending=True)
-    key_cut = ranked.where(F.col("cum__one") == need).select("_k").first()["_k"]
-    return loans.where((F.col("first_period") > boundary)
-                       | ((F.col("first_period") == boundary) & (F.col(loan) >= F.lit(key_cut)))) \
-                .select(loan)
+    key_cut = ranked.where(F.col("cum__one") == n_val - before).select("_k").first()["_k"]
+    loans.unpersist()
+    return boundary, key_cut
+
+
+def in_validation(first: Column, loan: str, cut) -> Column:
+    """Whether a loan whose first month is ``first`` lies beyond the cut."""
+    if cut is None:
+        return F.lit(False)
+    boundary, key = cut
+    beyond = (first > F.lit(boundary)) | ((first == F.lit(boundary)) & (F.col(loan) >= F.lit(key)))
+    return F.coalesce(beyond, F.lit(False))
+
 
+def mark_validation(train: DataFrame, loan: str, period: str, fraction: float = 0.10, out: str = "_is_val") -> DataFrame:
+    """``train`` with a flag on the rows of the carved loans (no join)."""
+    cut = validation_cut(train, loan, period, fraction)
+    return train.withColumn(out, in_validation(first_period(loan, period), loan, cut))
 
-def carve_validation(train: DataFrame, loan: str, period: str, fraction: float = 0.10):
-    val_loans = validation_loans(train, loan, period, fraction)
-    val = train.join(val_loans, loan, "left_semi")
-    tr = train.join(val_loans, loan, "left_anti")
-    return tr, val
+
+def validation_loans(train: DataFrame, loan: str, period: str, fraction: float = 0.10) -> DataFrame:
+    """The carved loans, one row each."""
+    return mark_validation(train, loan, period, fraction).where("_is_val").select(loan).distinct()
 
 
 # ---------------------------------------------------------------- M4
@@ -96,8 +111,8 @@ def fit_target_encoding(train: DataFrame, key: str, target: str):
 
 
 def apply_target_encoding(df: DataFrame, key: str, means: DataFrame, glob: float, out: str) -> DataFrame:
-    # One row per category value: broadcast.
-    return (df.join(F.broadcast(means), key, "left")
+    # One row per key value, which may be many: the planner picks the join by measured size.
+    return (df.join(means, key, "left")
               .withColumn(out, F.coalesce(F.col("_te"), F.lit(glob)))
               .drop("_te"))
 
@@ -142,3 +157,19 @@ def split_overlap(df: DataFrame, loan: str) -> DataFrame:
     tr = df.where(F.col("split") == "train").select(loan)
     te = df.where(F.col("split") == "test").select(loan)
     return tr.intersect(te).agg(F.count(F.lit(1)).alias("loans_in_both"))
+
+
+def split_warnings(stats: DataFrame, shift: float = 0.05, low: float = 70.0, high: float = 90.0) -> DataFrame:
+    """One row per scheme of ``split_stats`` rows (with a ``scheme`` column):
+    the training share of loans, the positive rates, and whether the rates
+    differ by more than ``shift`` or the share is outside ``low`` to ``high``."""
+    def of(split: str, col: str):
+        return F.max(F.when(F.col("split") == split, F.col(col)))
+    by = stats.groupBy("scheme").agg(
+        F.coalesce(of("train", "n_loans"), F.lit(0)).alias("_tr"), F.coalesce(of("test", "n_loans"), F.lit(0)).alias("_te"),
+        of("train", "positive_rate").alias("train_rate"), of("test", "positive_rate").alias("test_rate"))
+    share = F.try_divide(F.col("_tr"), F.col("_tr") + F.col("_te")) * 100.0
+    return by.select(
+        "scheme", share.alias("train_share_pct"), "train_rate", "test_rate",
+        (F.abs(F.col("train_rate") - F.col("test_rate")) > shift).alias("large_shift"),
+        ((share < low) | (share > high)).alias("share_outside"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arrears.operators.reports import one_row_join, pct
+from arrears.operators.reports import pct
 
 # Fixed values that must equal the reference's: tier names, lower cut points
 # (inclusive) and the recommended action per tier, for both schemes.
@@ -43,16 +43,25 @@ def tier_dim(spark: SparkSession, scheme: str) -> DataFrame:
     return spark.createDataFrame(rows, "tier_order int, tier string, lower_bound double, action string")
 
 
-def tier_distribution(spark: SparkSession, scored: DataFrame, score: str, label: str, scheme: str) -> DataFrame:
-    """Per tier: count, share of all rows, actual positive rate; empty tiers show 0."""
-    t = scored.select(tier(score, scheme).alias("tier"), F.col(label).cast("double").alias("_y"))
-    agg = t.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_pos"))
-    total = scored.agg(F.count(F.lit(1)).alias("_total"))
-    j = one_row_join(tier_dim(spark, scheme).join(F.broadcast(agg), "tier", "left"), total)
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return j.select(F.lit(scheme).alias("scheme"), "tier", "tier_order", n.cast("long").alias("n"),
-                    pct(n, F.col("_total")).alias("share_pct"),
-                    pct(F.coalesce(F.col("_pos"), F.lit(0.0)), n).alias("actual_rate_pct"))
+def tier_distribution(spark: SparkSession, scored: DataFrame, score: str, label: str, schemes: list[str]) -> DataFrame:
+    """Per scheme and tier: count, share of all rows, actual positive rate;
+    empty tiers show 0. ``scored`` is read once: rows are counted per
+    combination of tiers, and those few rows are summed per scheme."""
+    names = [f"_{s}" for s in schemes]
+    cells = (scored.select(*[tier(score, s).alias(n) for s, n in zip(schemes, names)], F.col(label).cast("double").alias("_y"))
+             .groupBy(*names).agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_pos")))
+    per = (cells.select("_n", "_pos", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("scheme"), F.col(n).alias("tier")) for s, n in zip(schemes, names)])).alias("_t"))
+        .groupBy("_t.scheme", "_t.tier").agg(F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos")))
+    dims = None
+    for s in schemes:
+        d = tier_dim(spark, s).select(F.lit(s).alias("scheme"), "tier", "tier_order")
+        dims = d if dims is None else dims.unionByName(d)
+    n = F.coalesce(F.col("_n"), F.lit(0))
+    total = F.sum(n).over(Window.partitionBy("scheme"))       # a scheme has a handful of tiers
+    return dims.join(F.broadcast(per), ["scheme", "tier"], "left").select(
+        "scheme", "tier", "tier_order", n.cast("long").alias("n"), pct(n, total).alias("share_pct"),
+        pct(F.coalesce(F.col("_pos"), F.lit(0.0)), n).alias("actual_rate_pct"))
 
 
 def with_actions(spark: SparkSession, scored: DataFrame, score: str, scheme: str) -> DataFrame:

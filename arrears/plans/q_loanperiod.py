@@ -8,6 +8,7 @@ from arrears.plans.q_macro import MACRO_SQL
 from arrears.plans.q_reports import ROLLUP_SQL, rollup
 from arrears.plans.registry import register
 from arrears.sources import macro as M
+from arrears.sources import sinks as K
 
 # Property types present in the fixture (p_type words); Spark derives the same list from the data.
 PT = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -92,6 +93,16 @@ def loan_period_features(spark, sf_dir):
     return frame(spark, sf_dir)
 
 
+@register("feature_handoff", dbl={c: 9 for c in FEATS}, sql=with_(LP_SQL) + f"""
+SELECT ac_key, report_period, {', '.join(FEATS)} FROM lpf""")
+def feature_handoff(spark, sf_dir):
+    """The matrix written, read back by the next stage, and its model inputs taken by exclusion."""
+    path = K.fresh_path(spark, "features")
+    frame(spark, sf_dir).write.mode("overwrite").parquet(path)
+    df = FE.read_feature_matrix(spark, path)
+    return df.select(*LP_KEYS, *FE.feature_columns_by_exclusion(df))
+
+
 def _reg(name: str, cols: list[str], extra: list[str] | None = None):
     extra = extra or []
     sql = with_(LP_SQL) + f"\nSELECT {', '.join(LP_KEYS + extra + cols)} FROM lpf"

@@ -189,9 +189,7 @@ LEFT JOIN (SELECT {_tier_sql('score', scheme)} AS tier, count(*) AS n, sum(label
 @register("tier_distribution", dbl=["share_pct", "actual_rate_pct"], sql=with_(SCORED_SQL)
           + _tier_dist_sql("rgb") + "\nUNION ALL" + _tier_dist_sql("four"))
 def tier_distribution(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return (T.tier_distribution(spark, s, "score", "label_6m", "rgb")
-            .unionByName(T.tier_distribution(spark, s, "score", "label_6m", "four")))
+    return T.tier_distribution(spark, scored(spark, sf_dir), "score", "label_6m", ["rgb", "four"])
 
 
 def _action_sql(scheme: str) -> str:

@@ -1,4 +1,7 @@
-"""Model jobs: scores, comparison, importance (G1-G8, E7, L4).  Rows-only checks: no SQL oracle."""
+"""Model jobs: scores, comparison, importance.
+
+Scores of a trained model have no SQL oracle; ``model_scores_audit`` checks
+their rows, labels and range against SQL instead."""
 
 from __future__ import annotations
 
@@ -9,8 +12,9 @@ from arrears.operators import features as FE
 from arrears.operators import metrics as MT
 from arrears.operators import models as MD
 from arrears.operators import splits as S
+from arrears.plans.oracle_base import with_
 from arrears.plans.q_features import frame as c_frame
-from arrears.plans.q_splits import cohort_parts
+from arrears.plans.q_splits import COHORT_SQL, CSPLIT_SQL, cohort_parts
 from arrears.plans.registry import register
 from arrears.sources.cohort import COHORT_FEATURES
 
@@ -19,17 +23,16 @@ FEATS = FE.ALL_FEATURES
 KEYS = ["asset_number", "period"]
 
 
-def c_model_data(spark, sf_dir, label: str = "label_6m", medians: dict | None = None):
-    """Imputed train (with a validation flag) and test frames of the 70-feature matrix."""
-    df = c_frame(spark, sf_dir).where(F.col(label).isNotNull())
-    df = S.temporal_split(df, "period", CUT).persist(StorageLevel.DISK_ONLY)
+def c_model_data(spark, sf_dir, label: str = "label_6m", medians: dict | None = None, frame=None):
+    """Imputed train (with a validation flag) and test frames of the 70-feature
+    matrix; ``frame`` reuses a matrix that is already prepared."""
+    frame = c_frame(spark, sf_dir) if frame is None else frame
+    df = S.temporal_split(frame.where(F.col(label).isNotNull()), "period", CUT).persist(StorageLevel.DISK_ONLY)
     train = df.where(F.col("split") == "train")
     test = df.where(F.col("split") == "test")
     if medians is None:
         medians = S.collect_medians(S.train_medians(train, FEATS))
-    val = S.validation_loans(train, "asset_number", "period", 0.10).withColumn("_is_val", F.lit(True))
-    train = S.impute(train, medians).join(val, "asset_number", "left") \
-        .fillna(False, ["_is_val"])
+    train = S.mark_validation(S.impute(train, medians), "asset_number", "period", 0.10)
     return train, S.impute(test, medians), medians
 
 
@@ -52,21 +55,22 @@ def model_c_scores(spark, sf_dir):
 @register("model_lifecycle_scores")
 def model_lifecycle_scores(spark, sf_dir):
     # Six-month medians are reused for the lifecycle model.
-    _, _, med = c_model_data(spark, sf_dir, "label_6m")
-    train, test, _ = c_model_data(spark, sf_dir, "label_ever", med)
+    frame = c_frame(spark, sf_dir)
+    _, _, med = c_model_data(spark, sf_dir, "label_6m", frame=frame)
+    train, test, _ = c_model_data(spark, sf_dir, "label_ever", med, frame)
     model = MD.fit_gbt(train, FEATS, "label_ever", MD.MODEL_C, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     return MD.score(model, test).select(*KEYS, "label_ever", "pred_proba")
 
 
 def cohort_model_data(spark, sf_dir):
-    tr, val, test = cohort_parts(spark, sf_dir)
+    parts = cohort_parts(spark, sf_dir)
+    tr = parts.where(F.col("part") == "train")
     means, glob = S.fit_target_encoding(tr, "state", "target")
     feats = COHORT_FEATURES + ["state_te"]
-    parts = [S.apply_target_encoding(p, "state", means, glob, "state_te") for p in (tr, val, test)]
-    med = S.collect_medians(S.train_medians(parts[0], feats))
-    tr_i, val_i, te_i = (S.impute(p, med) for p in parts)
-    train = tr_i.withColumn("_is_val", F.lit(False)).unionByName(val_i.withColumn("_is_val", F.lit(True)))
-    return train, te_i, feats
+    parts = S.apply_target_encoding(parts, "state", means, glob, "state_te").persist(StorageLevel.DISK_ONLY)
+    med = S.collect_medians(S.train_medians(parts.where(F.col("part") == "train"), feats))
+    full = S.impute(parts, med).withColumn("_is_val", F.col("part") == "val")
+    return full.where(F.col("part") != "test"), full.where(F.col("part") == "test"), feats
 
 
 @register("model_cohort_scores")
@@ -94,7 +98,8 @@ def model_comparison(spark, sf_dir):
     and the lifecycle model; AUROC and PR-AUC with the gap to the old baseline."""
     from arrears.operators import sampling as SM
     rows = [(name, auc, ap, None) for name, auc, ap in MD.REFERENCE_ROWS]
-    train, test, med = c_model_data(spark, sf_dir)
+    frame = c_frame(spark, sf_dir)
+    train, test, med = c_model_data(spark, sf_dir, frame=frame)
     fits = [("A: boosted trees, 70 features", train, MD.MODEL_A),
             ("C: boosted trees, depth 6, 70 features", train, MD.MODEL_C)]
     synth = SM.oversample(spark, train.where(~F.col("_is_val")), FEATS, "label_6m", KEYS, 0.1, 5, 42)
@@ -105,7 +110,7 @@ def model_comparison(spark, sf_dir):
         model = MD.fit_gbt(data, FEATS, "label_6m", params, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
         auc, ap = _metrics_row(MD.score(model, test), "label_6m")
         rows.append((name, auc, ap, (auc - MD.BASELINE_AUROC) * 100.0))
-    ltrain, ltest, _ = c_model_data(spark, sf_dir, "label_ever", med)
+    ltrain, ltest, _ = c_model_data(spark, sf_dir, "label_ever", med, frame)
     lmodel = MD.fit_gbt(ltrain, FEATS, "label_ever", MD.MODEL_C, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
     la, lp = _metrics_row(MD.score(lmodel, ltest), "label_ever")
     rows.append(("lifecycle (ever-default), model C settings", la, lp, (la - MD.BASELINE_AUROC) * 100.0))
@@ -113,3 +118,50 @@ def model_comparison(spark, sf_dir):
     for name, x, y in (("gap: C - A", "C:", "A:"), ("gap: lifecycle - C", "li", "C:")):
         rows.append((name, by[x][0] - by[y][0], by[x][1] - by[y][1], (by[x][0] - by[y][0]) * 100.0))
     return spark.createDataFrame(rows, "model string, auroc double, pr_auc double, auroc_vs_baseline_pp double")
+
+
+def _scored_parts(spark, sf_dir):
+    """(model name, scored test rows, key columns, label) of all five models, on one prepared matrix."""
+    from arrears.operators import sampling as SM
+    frame = c_frame(spark, sf_dir)
+    train, test, med = c_model_data(spark, sf_dir, frame=frame)
+    synth = SM.oversample(spark, train.where(~F.col("_is_val")), FEATS, "label_6m", KEYS, 0.1, 5, 42)
+    balanced = train.select(*FEATS, "label_6m", "_is_val").unionByName(
+        synth.select(*FEATS, "label_6m").withColumn("_is_val", F.lit(False)))
+    ltrain, ltest, _ = c_model_data(spark, sf_dir, "label_ever", med, frame)
+    ctrain, ctest, cfeats = cohort_model_data(spark, sf_dir)
+    for name, data, rows, feats, label, params, keys in (
+            ("A", train, test, FEATS, "label_6m", MD.MODEL_A, KEYS),
+            ("B", balanced, test, FEATS, "label_6m", MD.MODEL_A, KEYS),
+            ("C", train, test, FEATS, "label_6m", MD.MODEL_C, KEYS),
+            ("lifecycle", ltrain, ltest, FEATS, "label_ever", MD.MODEL_C, KEYS),
+            ("cohort", ctrain, ctest, cfeats, "target", MD.MODEL_COHORT, ["ac_key", "report_period"])):
+        model = MD.fit_gbt(data, feats, label, params, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
+        yield name, model, MD.score(model, rows), keys, label
+
+
+@register("model_scores_audit", sql=with_(CSPLIT_SQL + "," + COHORT_SQL) + """
+, six AS (SELECT CAST(asset_number AS VARCHAR) AS loan, period, CAST(label_6m AS BIGINT) AS label FROM csplit WHERE split = 'test')
+SELECT m.model, six.*, true AS score_ok, true AS rounds_ok FROM six, (VALUES ('A'), ('B'), ('C')) m(model)
+UNION ALL
+SELECT 'lifecycle', CAST(asset_number AS VARCHAR), period, CAST(label_ever AS BIGINT), true, true FROM cfeat
+WHERE label_ever IS NOT NULL AND period >= '%s'
+UNION ALL
+SELECT 'cohort', CAST(ac_key AS VARCHAR), report_period, CAST(target AS BIGINT), true, true FROM cparts WHERE part = 'test'""" % CUT)
+def model_scores_audit(spark, sf_dir):
+    """Every test row of every model, read back from the written predictions:
+    its key, its label, whether its score is a probability, and whether all
+    configured rounds were fitted and the kept prefix lies among them."""
+    from arrears.sources import sinks as K
+    out = None
+    for name, model, rows, keys, label in _scored_parts(spark, sf_dir):
+        full = model.rounds_fitted <= MD.QUERY_ROUNDS and 1 <= model.best_iteration <= model.rounds_fitted
+        path = K.fresh_path(spark, f"scores-{name}")
+        rows.select(F.col(keys[0]).cast("string").alias("loan"), F.col(keys[1]).alias("period"),
+                    F.col(label).cast("long").alias("label"), "pred_proba").write.mode("overwrite").parquet(path)
+        part = spark.read.parquet(path).select(
+            F.lit(name).alias("model"), "loan", "period", "label",
+            F.coalesce(F.col("pred_proba").between(0.0, 1.0) & ~F.isnan("pred_proba"), F.lit(False)).alias("score_ok"),
+            F.lit(full).alias("rounds_ok"))
+        out = part if out is None else out.unionByName(part)
+    return out

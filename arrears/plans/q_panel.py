@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arrears.functions import columns as C
+from arrears.operators.reports import one_row_join
 from arrears.plans.oracle_base import (CLEAN_PROPERTY_ROWS, LOAN_MONTH_PANEL, RAW_PROPERTY_ROWS,
                                        serial_text_sql, with_, zip_sql)
 from arrears.plans.registry import register
 from arrears.sources import panel as P
+from arrears.sources import sheets as SH
+from arrears.sources import sinks as K
 
 PANEL_DBL = ["orig_amount", "orig_term", "orig_amort_term", "orig_rate", "rate_type_code",
              "io_term", "io_flag", "balloon_flag", "grace_days", "year_built", "valuation",
@@ -49,6 +52,38 @@ def scan_positional(spark, sf_dir):
                      F.col("row_order.l_partkey").alias("l_partkey"))
 
 
+SHEET_NUM = ["default_flag", "orig_amount", "orig_term", "orig_rate", "io_term", "ltv_orig", "occ_orig", "dscr_orig",
+             "ltv_curr", "dscr_curr", "occ_curr", "maturity_serial"]
+
+
+@register("sheet_panel", dbl=SHEET_NUM, sql=with_(LOAN_MONTH_PANEL) + f"""
+SELECT CAST(asset_number AS VARCHAR) AS asset_number, period, strftime(period_dt, '%Y-%m-%d') AS period_dt, property_type, state,
+       {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in SHEET_NUM)}
+FROM panel""")
+def sheet_panel(spark, sf_dir):
+    """The panel through its wide sheet: written, and read by the name whitelist."""
+    path = SH.write_panel_sheet(P.loan_month_panel(spark, sf_dir), K.fresh_path(spark, "panel-sheet"))
+    return _panel_out(SH.read_panel_sheet(spark, path)).select(
+        "asset_number", "period", "period_dt", "property_type", "state", *SHEET_NUM)
+
+
+@register("sheet_positional", dbl=["original_balance", "balance_end", "noi_current", "dscr_current"], sql=with_(RAW_PROPERTY_ROWS) + f"""
+SELECT asset_number, report_period, payment_status, state, property_type, {zip_sql("zip_code")} AS zip_code,
+       CAST(original_balance AS DOUBLE) AS original_balance, CAST(balance_end AS DOUBLE) AS balance_end,
+       CAST(noi_current AS DOUBLE) AS noi_current, CAST(dscr_current AS DOUBLE) AS dscr_current,
+       CAST(default_flag AS BIGINT) AS default_flag, count(*) OVER (PARTITION BY 1) AS n_places
+FROM raw_props""")
+def sheet_positional(spark, sf_dir):
+    """The property sheet written, and read by column position; ``n_places``
+    counts the distinct places of its rows in the input."""
+    path = SH.write_positional_sheet(P.raw_property_rows(spark, sf_dir), K.fresh_path(spark, "property-sheet"))
+    df = SH.read_positional_sheet(spark, path)
+    rows = df.select("asset_number", "report_period", "payment_status", "state", "property_type", C.clean_zip("zip_code").alias("zip_code"),
+                     *[C.coerce_numeric(F.col(c)).alias(c) for c in ("original_balance", "balance_end", "noi_current", "dscr_current")],
+                     F.col("default_flag").cast("long").alias("default_flag"))
+    return one_row_join(rows, df.agg(F.count_distinct("row_order").alias("n_places")))
+
+
 @register("period_parse", sql=with_(LOAN_MONTH_PANEL) + """
 SELECT DISTINCT period, strftime(TRY_CAST(period || '-01' AS DATE), '%Y-%m-%d') AS period_dt FROM panel""")
 def period_parse(spark, sf_dir):

@@ -47,11 +47,11 @@ cparts AS (
 
 
 def cohort_parts(spark, sf_dir):
+    """The cohort frame with ``part``: train, val or test."""
     fr = S.cohort_split(CO.cohort_feature_frame(spark, sf_dir), "ac_key", "report_period", CCUT)
-    train = fr.where(F.col("split") == "train")
-    tr, val = S.carve_validation(train, "ac_key", "report_period", 0.10)
-    test = fr.where(F.col("split") == "test")
-    return tr, val, test
+    cut = S.validation_cut(fr.where(F.col("split") == "train"), "ac_key", "report_period", 0.10)
+    return fr.withColumn("part", F.when(F.col("split") == "test", F.lit("test"))
+                         .when(S.in_validation(F.col("first_period"), "ac_key", cut), F.lit("val")).otherwise(F.lit("train")))
 
 
 def c_labelled(spark, sf_dir):
@@ -71,14 +71,17 @@ def temporal_split(spark, sf_dir):
     return c_labelled(spark, sf_dir).select("asset_number", "period", "split")
 
 
-@register("split_stats", dbl=["positive_rate"], sql=with_(CSPLIT_SQL + "," + COHORT_SQL) + """
+STATS_SQL = """
 SELECT 'row' AS scheme, split, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT asset_number) AS BIGINT) AS n_loans,
        min(period) AS first_period, max(period) AS last_period, avg(label_6m) AS positive_rate
 FROM csplit GROUP BY split
 UNION ALL
 SELECT 'cohort', split, CAST(count(*) AS BIGINT), CAST(count(DISTINCT ac_key) AS BIGINT),
        min(report_period), max(report_period), avg(target)
-FROM cfr GROUP BY split""")
+FROM cfr GROUP BY split"""
+
+
+@register("split_stats", dbl=["positive_rate"], sql=with_(CSPLIT_SQL + "," + COHORT_SQL) + STATS_SQL)
 def split_stats(spark, sf_dir):
     row = S.split_stats(c_labelled(spark, sf_dir), "asset_number", "period", "label_6m") \
         .withColumn("scheme", F.lit("row"))
@@ -87,6 +90,17 @@ def split_stats(spark, sf_dir):
     return row.unionByName(coh)
 
 
+@register("split_warnings", dbl=["train_share_pct", "train_rate", "test_rate"], sql=with_(CSPLIT_SQL + "," + COHORT_SQL) + f"""
+, st AS ({STATS_SQL}),
+two AS (SELECT tr.scheme, tr.n_loans / (tr.n_loans + te.n_loans) * 100.0 AS share, tr.positive_rate AS train_rate, te.positive_rate AS test_rate
+        FROM st tr JOIN st te ON tr.scheme = te.scheme AND tr.split = 'train' AND te.split = 'test')
+SELECT scheme, CAST(share AS DOUBLE) AS train_share_pct, train_rate, test_rate, abs(train_rate - test_rate) > {D(0.05)} AS large_shift,
+       share < {D(70)} OR share > {D(90)} AS share_outside
+FROM two""")
+def split_warnings(spark, sf_dir):
+    return S.split_warnings(split_stats(spark, sf_dir))
+
+
 @register("split_overlap", sql=with_(CSPLIT_SQL + "," + COHORT_SQL) + """
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM (SELECT asset_number FROM csplit WHERE split = 'train'
         INTERSECT SELECT asset_number FROM csplit WHERE split = 'test')) AS row_split_loans_in_both,
@@ -111,11 +125,7 @@ def cohort_split(spark, sf_dir):
 @register("validation_carve", sql=with_(COHORT_SQL) + """
 SELECT ac_key, report_period, part FROM cparts""")
 def validation_carve(spark, sf_dir):
-    tr, val, test = cohort_parts(spark, sf_dir)
-    cols = ["ac_key", "report_period"]
-    return (tr.select(*cols).withColumn("part", F.lit("train"))
-            .unionByName(val.select(*cols).withColumn("part", F.lit("val")))
-            .unionByName(test.select(*cols).withColumn("part", F.lit("test"))))
+    return cohort_parts(spark, sf_dir).select("ac_key", "report_period", "part")
 
 
 @register("target_encode", dbl=["state_te"], sql=with_(COHORT_SQL) + """
@@ -124,10 +134,8 @@ g AS (SELECT avg(target) AS gm FROM cparts WHERE part = 'train')
 SELECT p.ac_key, p.report_period, p.part, COALESCE(te.m, g.gm) AS state_te
 FROM cparts p LEFT JOIN te ON p.state = te.state CROSS JOIN g""")
 def target_encode(spark, sf_dir):
-    tr, val, test = cohort_parts(spark, sf_dir)
-    means, glob = S.fit_target_encoding(tr, "state", "target")
-    parts = (tr.withColumn("part", F.lit("train")).unionByName(val.withColumn("part", F.lit("val")))
-             .unionByName(test.withColumn("part", F.lit("test"))))
+    parts = cohort_parts(spark, sf_dir)
+    means, glob = S.fit_target_encoding(parts.where(F.col("part") == "train"), "state", "target")
     return S.apply_target_encoding(parts, "state", means, glob, "state_te") \
             .select("ac_key", "report_period", "part", "state_te")
 

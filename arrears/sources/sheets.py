@@ -94,10 +94,29 @@ def read_panel_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFr
 
 
 def read_positional_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """The 28 property-sheet columns by position (text), plus ``row_order``."""
+    """The 28 property-sheet columns by position (text), plus ``row_order``:
+    file path, start of the block within the file, and place within the block.
+    (Spark packs blocks into tasks by size, so a row id alone is not input order.)"""
     df = _read(spark, path, fmt)
     n = len(df.columns)
     cols = [(df[df.columns[i]] if i < n else F.lit(None)).cast("string").alias(name)
             for name, i in PROPERTY_COLUMN_POSITIONS.items()]
-    # monotonically increasing within and across file splits: the sheet's input order
-    return df.select(*cols, F.monotonically_increasing_id().alias("row_order"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return df.select(*cols, place.alias("row_order"))
+
+
+def write_panel_sheet(panel: DataFrame, path: str) -> str:
+    """The wide loan-month sheet of ``panel``'s whitelisted columns, as CSV."""
+    raw = {clean: name for name, clean in PANEL_COLUMNS.items()}
+    cols = [F.col(c).alias(raw[c]) for c in panel.columns if c in raw]
+    panel.select(*cols).write.mode("overwrite").option("header", True).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def write_positional_sheet(rows: DataFrame, path: str) -> str:
+    """The property-month sheet: known columns at their positions, the others blank."""
+    at = {i: name for name, i in PROPERTY_COLUMN_POSITIONS.items()}
+    cols = [(F.col(at[i]).cast("string") if i in at else F.lit(None).cast("string")).alias(f"c{i}") for i in range(max(at) + 1)]
+    rows.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    return path

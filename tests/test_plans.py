@@ -30,3 +30,16 @@ def test_no_cross_products(spark):
                  "feature_matrix", "threshold_sweep"):
         plan = _plan(q[name](spark, SMALL))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def _scans(df, column):
+    return len(re.findall(r"FileScan parquet \[[^\]]*" + column, _plan(df)))
+
+
+def test_fact_tables_are_not_read_over_and_over(spark):
+    from __spark_entry__ import queries
+    q = queries()
+    assert _scans(q["tier_distribution"](spark, SMALL), "l_orderkey|l_partkey") == 1
+    assert _scans(q["validation_carve"](spark, SMALL), "o_custkey") == 1
+    # the panel, and its months for all three series at once
+    assert _scans(q["asof_macro"](spark, SMALL), "l_orderkey|l_partkey") == 2
