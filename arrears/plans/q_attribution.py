@@ -80,9 +80,8 @@ def attribution_audit(spark, sf_dir):
     n_ranked = ranking.where(F.col("feature").isin(FEATS) & (F.col("mean_abs_shap") >= 0)).agg(F.countDistinct("feature").alias("n"))
     gain = MD.feature_importance(spark, model, FEATS, len(FEATS))
     n_gain = gain.agg(F.when(F.abs(F.sum("gain") - 1) < CLOSE, F.count(F.lit(1))).otherwise(0).alias("n"))
-    rows = rows.select(F.explode(F.array(
-        F.struct(F.lit("rows whose attributions add up to their margin").alias("what"), F.col("a").alias("n_ok")),
-        F.struct(F.lit("rows whose margin gives their score"), F.col("b")),
-        F.struct(F.lit("rows scored alike by the model read back"), F.col("c")))).alias("r")).select("r.what", "r.n_ok")
+    rows = rows.select(F.explode(F.array(*[F.struct(F.lit(what).alias("what"), F.col(c).alias("n_ok")) for what, c in (
+        ("rows whose attributions add up to their margin", "a"), ("rows whose margin gives their score", "b"),
+        ("rows scored alike by the model read back", "c"))])).alias("r")).select("r.what", "r.n_ok")
     return (rows.unionByName(n_ranked.select(F.lit("features ranked once each").alias("what"), F.col("n").alias("n_ok")))
             .unionByName(n_gain.select(F.lit("features with a gain share, all adding up to 1").alias("what"), F.col("n").cast("long").alias("n_ok"))))

@@ -1,7 +1,7 @@
 """Model jobs: scores, comparison, importance.
 
-Scores of a trained model have no SQL oracle; ``model_scores_audit`` checks
-their rows, labels and range against SQL instead."""
+Scores of a trained model have no SQL oracle; ``attribution_audit`` checks
+what must hold for any model (model A) against SQL counts."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from arrears.operators import features as FE
 from arrears.operators import metrics as MT
 from arrears.operators import models as MD
 from arrears.operators import splits as S
-from arrears.plans.oracle_base import with_
 from arrears.plans.q_features import frame as c_frame
-from arrears.plans.q_splits import COHORT_SQL, CSPLIT_SQL, cohort_parts
+from arrears.plans.q_splits import cohort_parts
 from arrears.plans.registry import register
 from arrears.sources.cohort import COHORT_FEATURES
 
@@ -118,50 +117,3 @@ def model_comparison(spark, sf_dir):
     for name, x, y in (("gap: C - A", "C:", "A:"), ("gap: lifecycle - C", "li", "C:")):
         rows.append((name, by[x][0] - by[y][0], by[x][1] - by[y][1], (by[x][0] - by[y][0]) * 100.0))
     return spark.createDataFrame(rows, "model string, auroc double, pr_auc double, auroc_vs_baseline_pp double")
-
-
-def _scored_parts(spark, sf_dir):
-    """(model name, scored test rows, key columns, label) of all five models, on one prepared matrix."""
-    from arrears.operators import sampling as SM
-    frame = c_frame(spark, sf_dir)
-    train, test, med = c_model_data(spark, sf_dir, frame=frame)
-    synth = SM.oversample(spark, train.where(~F.col("_is_val")), FEATS, "label_6m", KEYS, 0.1, 5, 42)
-    balanced = train.select(*FEATS, "label_6m", "_is_val").unionByName(
-        synth.select(*FEATS, "label_6m").withColumn("_is_val", F.lit(False)))
-    ltrain, ltest, _ = c_model_data(spark, sf_dir, "label_ever", med, frame)
-    ctrain, ctest, cfeats = cohort_model_data(spark, sf_dir)
-    for name, data, rows, feats, label, params, keys in (
-            ("A", train, test, FEATS, "label_6m", MD.MODEL_A, KEYS),
-            ("B", balanced, test, FEATS, "label_6m", MD.MODEL_A, KEYS),
-            ("C", train, test, FEATS, "label_6m", MD.MODEL_C, KEYS),
-            ("lifecycle", ltrain, ltest, FEATS, "label_ever", MD.MODEL_C, KEYS),
-            ("cohort", ctrain, ctest, cfeats, "target", MD.MODEL_COHORT, ["ac_key", "report_period"])):
-        model = MD.fit_gbt(data, feats, label, params, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-        yield name, model, MD.score(model, rows), keys, label
-
-
-@register("model_scores_audit", sql=with_(CSPLIT_SQL + "," + COHORT_SQL) + """
-, six AS (SELECT CAST(asset_number AS VARCHAR) AS loan, period, CAST(label_6m AS BIGINT) AS label FROM csplit WHERE split = 'test')
-SELECT m.model, six.*, true AS score_ok, true AS rounds_ok FROM six, (VALUES ('A'), ('B'), ('C')) m(model)
-UNION ALL
-SELECT 'lifecycle', CAST(asset_number AS VARCHAR), period, CAST(label_ever AS BIGINT), true, true FROM cfeat
-WHERE label_ever IS NOT NULL AND period >= '%s'
-UNION ALL
-SELECT 'cohort', CAST(ac_key AS VARCHAR), report_period, CAST(target AS BIGINT), true, true FROM cparts WHERE part = 'test'""" % CUT)
-def model_scores_audit(spark, sf_dir):
-    """Every test row of every model, read back from the written predictions:
-    its key, its label, whether its score is a probability, and whether all
-    configured rounds were fitted and the kept prefix lies among them."""
-    from arrears.sources import sinks as K
-    out = None
-    for name, model, rows, keys, label in _scored_parts(spark, sf_dir):
-        full = model.rounds_fitted <= MD.QUERY_ROUNDS and 1 <= model.best_iteration <= model.rounds_fitted
-        path = K.fresh_path(spark, f"scores-{name}")
-        rows.select(F.col(keys[0]).cast("string").alias("loan"), F.col(keys[1]).alias("period"),
-                    F.col(label).cast("long").alias("label"), "pred_proba").write.mode("overwrite").parquet(path)
-        part = spark.read.parquet(path).select(
-            F.lit(name).alias("model"), "loan", "period", "label",
-            F.coalesce(F.col("pred_proba").between(0.0, 1.0) & ~F.isnan("pred_proba"), F.lit(False)).alias("score_ok"),
-            F.lit(full).alias("rounds_ok"))
-        out = part if out is None else out.unionByName(part)
-    return out
