@@ -22,8 +22,14 @@ Texts become sets of hashed n-word shingles. The join runs in four steps:
    still apart from the group's largest component against every block.
 4. **Components** of the links found, joined back to all rows.
 
-The result is exact up to collisions of 64-bit hashes. Links between classes
+The result is exact up to collisions of 64-bit hashes. Where only components
+are asked (``jaccard_components``, ``one_per_group``), links between classes
 that are connected already are not looked for: they change no component.
+``jaccard_join`` and ``jaccard_pairs`` find every link (`trie_pairs`): a block
+with itself, and with every other block of its group that has compatible sizes.
+A row's number of links counts rows: its class's other rows and those of every
+class linked with its own. It is added up in the tasks, so that only the pairs'
+own function writes pairs; copies are one class in both.
 
 Defined results: a text without words (or null) has an empty set, size 0, and
 is linked with nothing; with fewer words than a shingle the whole sequence is
@@ -37,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrears.llm.components import components
@@ -229,6 +235,69 @@ def trie_links(sizes: list[int], sets: list[np.ndarray], num: int, den: int, lab
     return [(head[forest.find(i)], i) for i in range(len(sets)) if before[i] == i and head[forest.find(i)] != i]
 
 
+def trie_pairs(sizes: list[int], sets: list[np.ndarray], num: int, den: int, sides: list | None = None) -> Iterator[tuple[int, list[int]]]:
+    """(i, others): the sets that ``i`` links with under Jaccard >= num/den, each
+    pair once. With ``sides`` (0 or 1 for each set) only pairs of both sides."""
+    ranks = _ranked(sets, sizes, num, den)
+    order = sorted((i for i in range(len(sets)) if ranks[i] is not None), key=lambda i: ranks[i].astype(">u4").tobytes())
+    stored = order if sides is None else [i for i in order if sides[i] == 0]
+    walkers = order if sides is None else [i for i in order if sides[i] == 1]
+    if not stored or not walkers:
+        return
+    size = [sizes[i] for i in stored]
+    root = _build([ranks[i] for i in stored], size)
+    mask = np.zeros(max(int(ranks[i][-1]) for i in order) + 1, dtype=np.int8)
+    for p, me in enumerate(walkers):
+        seq, nx, upto = ranks[me], sizes[me], p if sides is None else len(stored)
+        mask[seq] = 1
+        small, large = -(-num * nx // den), den * nx // num
+        found, todo = [], [(root, 0)]
+        while todo:
+            node, overlap = todo.pop()
+            if node.lo >= upto or node.most < small or node.least > large:
+                continue
+            overlap += int(mask[node.run].sum())
+            rest = min(node.below, len(seq) - int(np.searchsorted(seq, node.last, side="right")))
+            if (overlap + rest) * (num + den) < num * (nx + max(node.least, small)):
+                continue
+            found += [stored[i] for i in node.own if i < upto and small <= size[i] <= large and overlap * (num + den) >= num * (nx + size[i])]
+            todo += [(k, overlap) for k in node.kids]
+        mask[seq] = 0
+        if found:
+            yield me, found
+
+
+def _pairs_task(num: int, den: int, pairs: bool):
+    """One unit, as in ``_trie_task``, for every link. Rows are the pairs, or one
+    for each linked class ``b``: the head ``a`` of its component here and ``w``,
+    the rows of the classes it links with here."""
+    def run(table: pa.Table) -> pa.Table:
+        a, b, w = [], [], []
+        by_group: dict = {}
+        for g, cid, n, tokens, c, side in zip(*(table.column(x).to_pylist() for x in ("grp", "cid", "n", "tokens", "c", "side"))):
+            by_group.setdefault(g, {})[cid] = (n, tokens, c, side)
+        for rows in by_group.values():
+            ids = sorted(rows)
+            sides = [rows[i][3] for i in ids]
+            forest, sums = _Forest([None] * len(ids)), [0] * len(ids)
+            for me, others in trie_pairs([rows[i][0] for i in ids], [np.frombuffer(rows[i][1], "<u8") for i in ids], num, den,
+                                         None if sides[0] is None else sides):
+                if pairs:
+                    a += [ids[me]] * len(others)
+                    b += [ids[x] for x in others]
+                    continue
+                for x in others:
+                    forest.join(me, x)
+                    sums[me] += rows[ids[x]][2]
+                    sums[x] += rows[ids[me]][2]
+            linked = [i for i, x in enumerate(sums) if x]
+            a += [ids[forest.find(i)] for i in linked]
+            b += [ids[i] for i in linked]
+            w += [sums[i] for i in linked]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "w": pa.array(w or [None] * len(a), pa.int64())})
+    return run
+
+
 def _trie_task(num: int, den: int):
     """One unit: blocks of one or more groups; the rows of each group are joined."""
     def run(table: pa.Table) -> pa.Table:
@@ -314,10 +383,30 @@ def _rest(s: Scratch, large: DataFrame, found: DataFrame, num: int, den: int) ->
     return _run(s, left.union(right), num, den, "apart")
 
 
-def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
+def _every(s: Scratch, sets: DataFrame, unit: Column, num: int, den: int, pairs: bool) -> DataFrame:
+    """Every block with itself, and with every other block of its group that has compatible sizes."""
+    def run(units: DataFrame, name: str) -> DataFrame:
+        return s.write(units.groupBy("unit").applyInArrow(_pairs_task(num, den, pairs), "a bigint, b bigint, w bigint"), name)
+    cols = ["grp", "cid", "n", "tokens", "c"]
+    found = run(sets.select(unit.alias("unit"), *cols, F.lit(None).cast("int").alias("side")), "inside")
+    large = sets.where("last > 0")
+    span = s.write(large.groupBy("grp", "blk").agg(F.min("n").alias("least"), F.max("n").alias("most")), "span")
+    if not span.limit(1).count():
+        return found
+    mine = span.select("grp", F.col("blk").alias("from"), F.col("least").alias("a"), F.col("most").alias("z"))
+    met = s.write(mine.join(span, "grp").where(f"from < blk and {den} * most >= {num} * a and {num} * least <= {den} * z").select("grp", "from", "blk"), "met")
+    both = F.concat_ws("/", F.col("grp").cast("string"), F.col("from").cast("string"), F.col("blk").cast("string")).alias("unit")
+    left = large.withColumnRenamed("blk", "from").join(met, ["grp", "from"]).select(both, *cols, F.lit(0).alias("side"))
+    right = large.join(met, ["grp", "blk"]).select(both, *cols, F.lit(1).alias("side"))
+    return found.union(run(left.union(right), "across"))
+
+
+def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block_tokens: int = BLOCK_TOKENS,
+                  every: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows has (doc_id, key, n, cid) per row of ``docs``, key
     the hash of id and text; links (a, b) between classes join the classes
-    into their components."""
+    into their components. With ``every`` all links are found: "pairs" gives
+    each once, "counts" gives (a, b, w) as in ``_pairs_task``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"),
                         F.col("text").cast("string").alias("text"))
     sketch = s.write(texts.mapInArrow(_sketch(k, num, den), SKETCH), "sketch")
@@ -329,6 +418,8 @@ def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block
     blocks = _blocks(s, cand, block_tokens)
     chosen = s.write(classes.select("cid", "key").join(cand.select("cid"), "cid", "left_semi").select(F.col("key").alias("pick")).distinct(), "chosen")
     s.drop("classes")
+    if every:
+        blocks = s.write(blocks.join(rows.groupBy("cid").agg(F.count("*").alias("c")), "cid"), "sized")
     picked = texts.join(chosen.hint("merge"), texts["key"] == chosen["pick"], "left_semi").select("text")
     sets = s.write(picked.mapInArrow(_whole_sets(k), SETS).join(blocks.drop("n").hint("merge"), "cid"), "sets", large_rows=True)
     # groups of one block share units, several groups to a unit
@@ -336,6 +427,10 @@ def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block
     packs = max(1, -(-int(tokens) // block_tokens))
     unit = F.when(F.col("last") == 0, F.concat(F.lit("p"), F.pmod(F.xxhash64("grp"), F.lit(packs)).cast("string"))).otherwise(
         F.concat_ws("/", F.col("grp").cast("string"), F.col("blk").cast("string")))
+    if every:
+        found = _every(s, sets, unit, num, den, every == "pairs")
+        s.drop("sets")
+        return rows, found
     none = F.lit(None).cast("long").alias("label")
     found = _run(s, sets.select(unit.alias("unit"), "grp", "cid", "n", "tokens", none), num, den, "inside")
     large = sets.where("last > 0")
@@ -350,6 +445,10 @@ def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block
 def _components(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block_tokens: int) -> DataFrame:
     """(doc_id, key, n, cid, root, least) per row; cid, root and least are null without words."""
     rows, found = jaccard_links(s, docs, k, num, den, block_tokens)
+    return _named(s, rows, found)
+
+
+def _named(s: Scratch, rows: DataFrame, found: DataFrame) -> DataFrame:
     root = components(s.spark, found, "jaccard-links").withColumnRenamed("node", "cid")
     least = rows.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("least"))
     named = least.join(root, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -367,6 +466,30 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, num: in
                         F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
+                 block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``jaccard_components`` with ``n_links``: the other rows each row links with."""
+    s = Scratch(spark, "jaccard-join")
+    rows, found = jaccard_links(s, docs, k, num, den, block_tokens, "counts")
+    named = _named(s, rows, found)
+    other = found.groupBy("b").agg(F.sum("w").alias("w"))
+    count = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("c"))
+    count = s.write(count.join(other, F.col("cid") == F.col("b"), "left").select(
+        F.col("cid").alias("of"), (F.col("c") - 1 + F.coalesce("w", F.lit(0))).alias("n_links")), "counts")
+    return named.join(count, F.col("cid") == F.col("of"), "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def jaccard_pairs(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
+                  block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(rows, links): (doc_id, n_shingles, cid) per row of ``docs``, and every
+    link (a, b) between two classes, once. Rows of one class are equal sets
+    and link without a pair."""
+    rows, found = jaccard_links(Scratch(spark, "jaccard-pairs"), docs, k, num, den, block_tokens, "pairs")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cid"), found.select("a", "b")
+
+
 def one_per_group(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, all columns: of each component one row, the one
     with the least id (nulls first; of equal ids the least hash of id and

@@ -26,6 +26,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, docs, k=4, num=85, den=100)
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard.jaccard_join(spark, docs, k=4, num=85, den=100)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat(spark, read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -57,6 +62,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_url_filter, op3_jaccard_join, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, op10_language_id)}
+    op1_warc, op2_url_filter, op3_jaccard_join, op3_jaccard_links, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL} | oracles.ORACLE_SQL

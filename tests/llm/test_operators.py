@@ -174,6 +174,36 @@ def test_jaccard_blocks(spark, block):
     assert [got[i] for i in range(150)] == brute_components(sets, 85, 100)
 
 
+@pytest.mark.parametrize("block", [300, 3000, 1_000_000])
+def test_jaccard_every_link(spark, block):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(300)}" for _ in range(n)] for n in (60, 60, 64)]
+    texts = []
+    for _ in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"v{rng.randrange(300)}"
+        texts.append(" ".join(w))
+    texts += texts[:9] + ["", "one two", "one two"]
+    sets = [frozenset(tuple(t.split()[i:i + 4]) for i in range(max(1, len(t.split()) - 3))) if t else frozenset() for t in texts]
+    linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 85 * len(a | b)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.jaccard_join(spark, docs, 4, 85, 100, block).collect()}
+    roots = brute_components(sets, 85, 100)
+    assert got == {i: (roots[i], sum(a == i for a, _ in linked)) for i in range(len(texts))}
+    rows, links = jaccard.jaccard_pairs(spark, docs, 4, 85, 100, block)
+    cid = {r.doc_id: r.cid for r in rows.collect()}
+    found = [tuple(sorted((r.a, r.b))) for r in links.collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {tuple(sorted((cid[i], cid[j]))) for i, j in linked if sets[i] != sets[j]}
+
+
+def test_jaccard_links_odd_rows(spark):
+    got = sorted((r.doc_id or 0, r.n_shingles, r.n_links) for r in jaccard.jaccard_join(spark, odd_docs(spark)).collect())
+    assert got == [(0, 1, 0), (1, 0, 0), (2, 0, 0), (3, 1, 0), (4, 12, 2), (5, 1, 0), (5, 12, 2), (5, 12, 2), (6, 0, 0), (7, 3, 0)]
+    assert jaccard.jaccard_join(spark, empty_docs(spark)).count() == 0
+
+
 def test_jaccard_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.jaccard_components(spark, odd_docs(spark)).collect())
     assert got == [(0, 1, 0), (1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 12, 4), (5, 1, 5), (5, 12, 4), (5, 12, 4), (6, 0, 6), (7, 3, 7)]
