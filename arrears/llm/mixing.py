@@ -64,8 +64,13 @@ def _same(a: DataFrame, b: DataFrame, cols: tuple[str, ...]) -> Column:
 def leaf_budgets(supply: DataFrame, budget: Column, weights: Mapping[str, Mapping[str, float]], max_epochs: int) -> DataFrame:
     """``supply`` (domain, lang, source, tokens) -> with ``budget``, in whole tokens.
 
-    The tables are one row per node; every level is one window over siblings."""
-    nodes = {n: supply.groupBy(*LEVELS[:n]).agg((F.sum("tokens") * max_epochs).cast("double").alias("cap")) for n in (1, 2, 3)}
+    A node's cap is what the leaves below it can take whose weights are above 0
+    on the whole path. The tables are one row per node; every level is one
+    window over siblings."""
+    live = supply
+    for level in LEVELS:
+        live = live.where(_weight(level, weights) > 0)
+    nodes = {n: live.groupBy(*LEVELS[:n]).agg((F.sum("tokens") * max_epochs).cast("double").alias("cap")) for n in (1, 2, 3)}
     above = None
     for n in (1, 2, 3):
         parents, level = LEVELS[:n - 1], LEVELS[n - 1]

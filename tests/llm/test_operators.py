@@ -266,6 +266,16 @@ def test_mixing_budgets(spark):
     assert {r.doc_id for r in mixing.mix_documents(spark, odd_docs(spark)).collect()} <= {3, 4, 5, 7, None}
 
 
+def test_mixing_zero_weight_child(spark):
+    rows = [(f"{d}{i}", d, lang, "s") for d, lang, n in (("a", "en", 10), ("a", "de", 90), ("b", "en", 200)) for i in range(n)]
+    docs = spark.createDataFrame([(i, "w", d, lang, src) for i, (_, d, lang, src) in enumerate(rows)],
+                                 "doc_id bigint, text string, domain string, lang string, source string")
+    got = mixing.mix(spark, docs, {"lang": {"de": 0}}, (1, 3), max_epochs=1).collect()
+    assert sum(r.take_tokens for r in got) == 100                 # a can give 10 only, b the other 90
+    assert {(r.domain, r.lang) for r in got} == {("a", "en"), ("b", "en")}
+    assert sum(r.take_tokens for r in got if r.domain == "a") == 10
+
+
 # --- 6 -------------------------------------------------------------------
 
 def test_license_scan_odd_rows(spark):
