@@ -57,11 +57,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(spark, read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_documents(spark, read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(spark, read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_url_filter, op3_jaccard_join, op3_jaccard_links, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, op10_language_id)}
+    op1_warc, op2_url_filter, op3_jaccard_join, op3_jaccard_links, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, op9_simhash_near, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL} | oracles.ORACLE_SQL

@@ -63,20 +63,20 @@ def likeness(a: Column, b: Column) -> Column:
     return 1 - F.bit_count(a.bitwiseXOR(b)) / F.lit(64.0)
 
 
-def masks() -> list[int]:
-    """The 20 tables' masks, as signed longs."""
+def masks(radius: int = RADIUS, blocks: tuple[int, ...] = BLOCKS) -> list[int]:
+    """The tables' masks (20 for the defaults), as signed longs."""
     edges, lo = [], 0
-    for size in BLOCKS:
+    for size in blocks:
         edges.append(((1 << size) - 1) << lo)
         lo += size
-    out = [sum(c) for c in combinations(edges, len(BLOCKS) - RADIUS)]
+    out = [sum(c) for c in combinations(edges, len(blocks) - radius)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
 
 
-def neighbours(fps: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, n_rows): for each distinct query fingerprint ``q`` the rows of
-    ``fps`` (fp) within the radius, its own equals included."""
-    tables = masks()
+def near_pairs(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """(q, fp, distance, c): for each distinct query fingerprint ``q`` every
+    fingerprint of ``fps`` within the radius, itself included, and its rows."""
+    tables = masks(radius, blocks)
     dealt = lambda df, c: df.select("*", F.explode(F.array(*[
         F.struct(F.lit(i).alias("t"), F.col(c).bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(tables)])).alias("e")).select(
         "*", "e.t", "e.key").drop("e")
@@ -85,7 +85,13 @@ def neighbours(fps: DataFrame, queries: DataFrame) -> DataFrame:
     pair = asked.join(known, ["t", "key"])
     apart = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(i)) for i, m in enumerate(tables)])
-    return pair.where((F.bit_count(apart) <= RADIUS) & (first == F.col("t"))).groupBy("q").agg(F.sum("c").alias("n_rows"))
+    return pair.where((F.bit_count(apart) <= radius) & (first == F.col("t"))).select("q", "fp", F.bit_count(apart).alias("distance"), "c")
+
+
+def neighbours(fps: DataFrame, queries: DataFrame) -> DataFrame:
+    """(q, n_rows): for each distinct query fingerprint ``q`` the rows of
+    ``fps`` (fp) within the radius, its own equals included."""
+    return near_pairs(fps, queries).groupBy("q").agg(F.sum("c").alias("n_rows"))
 
 
 def _bucket(splits: list[int]) -> Column:
@@ -128,6 +134,29 @@ def with_next(s: Scratch, docs: DataFrame, bucket_chars: int = BUCKET_CHARS) ->
     return both.select("bucket", F.row_number().over(order).alias("at"), "doc_id", "text", F.lead("text").over(order).alias("next"), "extra")
 
 
+def near_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, near_id, distance, n_rows): for every id divisible by 100 the
+    rows of ``docs`` within RADIUS, by id and distance; not the row itself,
+    but others of its id. Texts are voted on once, without edits."""
+    s = Scratch(spark, "simhash-near")
+    # rows of one id and text count apart, but are voted on as one text
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    count = s.write(rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n")), "rows")
+    twice = s.write(count.where("n > 1").select(F.col("row").alias("again")), "twice")
+    once = rows.join(twice, F.col("row") == F.col("again"), "left_anti")
+    rest = rows.join(twice, F.col("row") == F.col("again"), "left_semi").dropDuplicates(["row"])
+    prints = votes(once.unionByName(rest).select("row", "text"), ["row"], [])
+    known = s.write(prints.join(count, "row").groupBy("doc_id", "fp").agg(F.sum("n").alias("n")), "known")
+    asked = known.where("doc_id % 100 = 0").select("doc_id", F.col("fp").alias("q"), "n")
+    pairs = s.write(near_pairs(known.select("fp"), asked.select(F.col("q").alias("fp")), RADIUS, BLOCKS).drop("c"), "pairs")
+    found = asked.select("doc_id", "q").join(pairs, "q").join(known.select(F.col("doc_id").alias("near_id"), "fp", "n"), "fp")
+    # each row of an id that occurs more often has the others; the id is named once
+    own = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("q") == F.col("fp"))
+    return found.withColumn("n", F.col("n") - own.cast("long")).where("n > 0").groupBy("doc_id", "near_id", "distance").agg(
+        F.sum("n").alias("n_rows")).select("doc_id", "near_id", F.col("distance").cast("int").alias("distance"), "n_rows")
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, and for every id divisible by

@@ -357,6 +357,23 @@ def test_simhash_brute_force(spark, chars):
     assert simhash.fingerprints(spark, odd_docs(spark)).count() == 10
 
 
+def test_near_documents_are_named(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(100, "one text"), (100, "one text"), (5, "one text"), (None, "one text"), (300, None)], "doc_id bigint, text string"))
+    rows = [(r.doc_id, brute_fingerprint(r.text or "")) for r in docs.collect()]
+    want = {}
+    for i, (d, p) in enumerate(rows):
+        if d is None or d % 100 or (d, p) in {x for x in rows[:i]}:
+            continue
+        for j, (e, q) in enumerate(rows):
+            k = (p ^ q).bit_count()
+            if i != j and k <= simhash.RADIUS:
+                want[d, e, k] = want.get((d, e, k), 0) + 1
+    got = {(r.doc_id, r.near_id, r.distance): r.n_rows for r in simhash.near_documents(spark, docs).collect()}
+    assert got == want and (100, 5, 0) in got and got[100, 100, 0] == 1
+    assert simhash.near_documents(spark, empty_docs(spark)).count() == 0
+
+
 def test_block_tables_find_every_neighbour(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(20)]
