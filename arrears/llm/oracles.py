@@ -36,4 +36,47 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(o.doc_id) AS compon
 FROM sets s JOIN reach USING (r) JOIN sets o ON o.r = reach.o GROUP BY s.r, s.doc_id, len(s.s)
 """
 
-ORACLE_SQL = {"op3_jaccard_join": JACCARD, "op8_decontaminate": DECONTAMINATION}
+#: pieces and words as asked; every phrase is counted and scored plainly
+COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, {LOWER} AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+held AS (SELECT lang, w FROM pieces WHERE len(w) > 0),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM held GROUP BY lang),
+grams AS (SELECT lang, k, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM held, (VALUES (1), (2), (3)) x(k))),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS c FROM grams GROUP BY lang, k, g),
+cand AS (SELECT lang, k, g, c AS a FROM f WHERE k > 1 AND c >= 10),
+cuts AS (SELECT x.lang, x.k, x.g, x.a, y.k AS cut, y.c AS l, z.c AS r, CAST((1000000::HUGEINT * x.a * x.a) // (y.c::HUGEINT * z.c) AS BIGINT) AS score
+  FROM cand x JOIN f y ON y.lang = x.lang AND y.k < x.k AND y.g = x.g[1:y.k] JOIN f z ON z.lang = x.lang AND z.k = x.k - y.k AND z.g = x.g[y.k + 1:x.k]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+wide AS (SELECT lang, w3[i:i + 1] AS g, max(a) AS a FROM (SELECT lang, g AS w3, a, unnest([1, 2]) AS i FROM cand WHERE k = 3) GROUP BY ALL),
+left_over AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, l, r, score FROM best b LEFT JOIN wide x ON x.lang = b.lang AND x.g = b.g
+  WHERE x.a IS NULL OR 100 * x.a < 50 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def clustering(rounds: int = 5) -> str:
+    """Lloyd rounds over integer vectors, as one chain of common table expressions."""
+    steps, now = [], "c0"
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT v.r, x.c, sum((v.x - x.x) * (v.x - x.x)) AS d FROM flat v JOIN {now} x ON x.i = v.i GROUP BY v.r, x.c) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS (SELECT o.c, o.i, coalesce(m.x, o.x) AS x FROM {now} o LEFT JOIN (
+  SELECT c, i, (s - ((s % n) + n) % n) // n AS x FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM flat JOIN a{i} USING (r) GROUP BY c, i)) m USING (c, i))""")
+            now = f"c{i + 1}"
+    return """
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+flat AS (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept),
+starts AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c FROM kept QUALIFY c < 40),
+c0 AS (SELECT c, i, x FROM starts JOIN flat USING (r)),
+""" + ",\n".join(steps) + f""",
+shas AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM {now} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN shas USING (c)
+"""
+
+
+ORACLE_SQL = {"op3_jaccard_join": JACCARD, "op8_decontaminate": DECONTAMINATION, "op12_collocations": COLLOCATIONS, "op13_clustering": clustering()}

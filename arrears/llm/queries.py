@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.llm import chat, decontam, jaccard, langid, licenses, mixing, quality, simhash, urls, warc
+from arrears.llm import chat, collocations, decontam, jaccard, langid, licenses, mixing, packing, quality, simhash, simplex, urls, warc
 from arrears.llm import oracles
 from arrears.sources.tables import read_table
 
@@ -65,7 +65,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(spark, read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, read_table(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.cluster(spark, read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")).drop("v", "n_compared")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_url_filter, op3_jaccard_join, op3_jaccard_links, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, op9_simhash_near, op10_language_id)}
+    op1_warc, op2_url_filter, op3_jaccard_join, op3_jaccard_links, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, op9_simhash_near, op10_language_id, op11_packing, op12_collocations, op13_clustering)}
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL} | oracles.ORACLE_SQL
