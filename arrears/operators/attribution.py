@@ -1,154 +1,136 @@
 """Per-row attributions for boosted trees.
 
 Path-dependent tree SHAP values (Lundberg, Erion & Lee, "Consistent
-individualized feature attribution for tree ensembles", 2018) in the
-margin space of MLlib's GBT.  The ensemble is read from the saved model
-as a table (one row per node, bounded by trees x nodes) and broadcast;
-rows are processed in Arrow batches by ``mapInPandas`` with the recursion
-vectorised over the batch, so the work is spread by Spark's partitioning.
+individualized feature attribution for tree ensembles", 2018) in margin space.
+
+A leaf with d features on its path gives a row one of 2**d contributions,
+by which of the d features send the row towards the leaf. Those are worked out
+once per leaf, for all subsets, as polynomials in the subset's size; a row then
+needs its decisions at the inner nodes and one table look-up per leaf and
+feature, done for a batch of rows at a time. The ensemble is broadcast (trees x
+nodes), tables are made by the tasks, and rows are spread by Spark.
 
 Local accuracy holds per row: sum(phi) + base = margin, where
-P(y=1) = 1 / (1 + exp(-2 * margin)) for MLlib's logistic GBT.
+P(y=1) = 1 / (1 + exp(-margin)).
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import factorial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arrears.session import scratch_path
-
-
-# ---------------------------------------------------------------- ensemble as data
-def ensemble(spark: SparkSession, gbt_model) -> dict:
-    """Node arrays per tree plus tree weights, read from the saved model."""
-    path = scratch_path(spark, f"gbt-{uuid.uuid4().hex[:12]}")
-    gbt_model.write().overwrite().save(path)
-    nodes = (spark.read.parquet(f"{path}/data")
-             .select("treeID", F.col("nodeData.id").alias("id"), F.col("nodeData.prediction").alias("value"),
-                     F.get(F.col("nodeData.impurityStats"), 0).alias("cover"),
-                     F.col("nodeData.leftChild").alias("left"), F.col("nodeData.rightChild").alias("right"),
-                     F.col("nodeData.split.featureIndex").alias("feature"),
-                     F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("threshold"))
-             .toPandas())   # the model itself: trees x nodes rows
-    trees = []
-    for _, t in nodes.groupby("treeID"):
-        t = t.sort_values("id")
-        n = int(t["id"].max()) + 1
-        arr = {k: np.zeros(n, dtype=float if k in ("value", "cover", "threshold") else int)
-               for k in ("left", "right", "feature", "threshold", "value", "cover")}
-        idx = t["id"].to_numpy()
-        for k in arr:
-            arr[k][idx] = t[k].fillna(0).to_numpy()
-        trees.append(arr)
-    return {"trees": trees, "weights": list(gbt_model.treeWeights)}
+from arrears.operators.boosting import MARGIN_SHIFT, Model, is_leaf, margins
+from arrears.session import ship_package
+
+ROWS = 2048              # rows evaluated at once
+MOST = 12                # features on one path: a leaf's table has 2**MOST rows at most
+UNIT = float(1 << MARGIN_SHIFT)
+
+
+@dataclass
+class Leaf:
+    features: np.ndarray                          # distinct features on the path
+    steps: list[list[tuple[int, bool]]]           # per feature its nodes and whether the path goes left
+    table: np.ndarray                             # (2**d, d): contribution by pattern of satisfied features
+
+
+def leaf_paths(tree: dict) -> list[tuple[float, dict[int, tuple[float, list[tuple[int, bool]]]]]]:
+    """Per leaf its value and, by feature, the share of rows that its nodes send
+    towards the leaf and those nodes."""
+    leaf, n = is_leaf(tree), tree["n"].astype(float)
+    out, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if leaf[node]:
+            out.append((tree["value"][node] / UNIT, path))
+            continue
+        f = int(tree["feature"][node])
+        share, steps = path.get(f, (1.0, []))
+        for child, left in ((int(tree["left"][node]), True), (int(tree["right"][node]), False)):
+            todo.append((child, path | {f: (share * n[child] / n[node], steps + [(node, left)])}))
+    return out
 
 
-def expected_value(tree: dict) -> float:
-    leaves = tree["left"] < 0
-    return float(np.sum(tree["value"][leaves] * tree["cover"][leaves]) / tree["cover"][0])
-
-
-def margin(ens: dict, X: np.ndarray) -> np.ndarray:
-    out = np.zeros(X.shape[0])
-    for t, w in zip(ens["trees"], ens["weights"]):
-        node = np.zeros(X.shape[0], dtype=int)
-        for _ in range(64):
-            leaf = t["left"][node] < 0
-            if leaf.all():
-                break
-            f = t["feature"][node]
-            go_left = X[np.arange(len(node)), np.maximum(f, 0)] <= t["threshold"][node]
-            nxt = np.where(go_left, t["left"][node], t["right"][node])
-            node = np.where(leaf, node, nxt)
-        out += w * t["value"][node]
+def subset_tables(value: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley contributions (leaves, 2**d, d) of leaves with ``d`` features: a
+    feature outside the subset passes its ``share``, one inside passes 1 or 0."""
+    leaves, d = share.shape
+    one = ((np.arange(1 << d)[:, None] >> np.arange(d)) & 1).astype(float)
+    weight = np.array([factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)])
+    out = np.empty((leaves, 1 << d, d))
+    for j in range(d):
+        by_size = np.zeros((leaves, 1 << d, d))
+        by_size[:, :, 0] = 1.0
+        for i in range(d):
+            if i != j:
+                by_size[:, :, 1:] = by_size[:, :, 1:] * share[:, None, i, None] + by_size[:, :, :-1] * one[None, :, i, None]
+                by_size[:, :, 0] *= share[:, None, i]
+        out[:, :, j] = value[:, None] * (one[None, :, j] - share[:, None, j]) * (by_size @ weight)
+    return out
+
+
+def path_tables(tree: dict) -> list[Leaf]:
+    paths = leaf_paths(tree)
+    by_depth: dict[int, list] = {}
+    for value, path in paths:
+        if len(path) > MOST:
+            raise ValueError(f"more than {MOST} features on one path")
+        if path:
+            by_depth.setdefault(len(path), []).append((value, path))
+    out = []
+    for group in by_depth.values():
+        tables = subset_tables(np.array([v for v, _ in group]), np.array([[s for s, _ in p.values()] for _, p in group]))
+        out += [Leaf(np.array(list(p)), [steps for _, steps in p.values()], t) for (_, p), t in zip(group, tables)]
     return out
 
 
-# ---------------------------------------------------------------- vectorised tree SHAP
-def _extend(path, zero, one, feat, n):
-    depth = len(path)
-    path = [list(e) for e in path]                    # [feature, zero, one, weight]
-    path.append([feat, zero, one, np.ones(n) if depth == 0 else np.zeros(n)])
-    for i in range(depth - 1, -1, -1):
-        path[i + 1][3] = path[i + 1][3] + one * path[i][3] * (i + 1) / (depth + 1)
-        path[i][3] = zero * path[i][3] * (depth - i) / (depth + 1)
-    return path
-
-
-def _unwind(path, k):
-    depth = len(path) - 1
-    one, zero = path[k][2], path[k][1]
-    has_one = one != 0
-    safe_one = np.where(has_one, one, 1.0)
-    nxt = path[depth][3]
-    path = [list(e) for e in path]
-    for i in range(depth - 1, -1, -1):
-        tmp = path[i][3]
-        w_one = nxt * (depth + 1) / ((i + 1) * safe_one)
-        w_zero = tmp * (depth + 1) / (zero * (depth - i))
-        path[i][3] = np.where(has_one, w_one, w_zero)
-        nxt = np.where(has_one, tmp - w_one * zero * (depth - i) / (depth + 1), nxt)
-    for i in range(k, depth):
-        path[i][0], path[i][1], path[i][2] = path[i + 1][0], path[i + 1][1], path[i + 1][2]
-    return path[:depth]
-
-
-def _unwound_sum(path, k):
-    depth = len(path) - 1
-    one, zero = path[k][2], path[k][1]
-    has_one = one != 0
-    safe_one = np.where(has_one, one, 1.0)
-    nxt = path[depth][3]
-    tot_one = np.zeros_like(nxt)
-    tot_zero = np.zeros_like(nxt)
-    for i in range(depth - 1, -1, -1):
-        tmp = nxt / ((i + 1) * safe_one)
-        tot_one = tot_one + tmp
-        nxt = path[i][3] - tmp * zero * (depth - i)
-        tot_zero = tot_zero + path[i][3] / (zero * (depth - i))
-    return np.where(has_one, tot_one, tot_zero) * (depth + 1)
-
-
-def tree_shap(tree: dict, X: np.ndarray) -> np.ndarray:
-    n, m = X.shape
-    phi = np.zeros((n, m))
-
-    def rec(node, path, zero, one, feat):
-        path = _extend(path, zero, one, feat, n)
-        if tree["left"][node] < 0:
-            v = tree["value"][node]
-            for i in range(1, len(path)):
-                w = _unwound_sum(path, i)
-                phi[:, path[i][0]] += w * (path[i][2] - path[i][1]) * v
-            return
-        f, thr = int(tree["feature"][node]), tree["threshold"][node]
-        left, right = int(tree["left"][node]), int(tree["right"][node])
-        go_left = (X[:, f] <= thr).astype(float)
-        inc_zero, inc_one = 1.0, np.ones(n)
-        k = next((i for i in range(len(path)) if path[i][0] == f), None)
-        if k is not None:
-            inc_zero, inc_one = path[k][1], path[k][2]
-            path = _unwind(path, k)
-        c = tree["cover"][node]
-        rec(left, path, inc_zero * tree["cover"][left] / c, inc_one * go_left, f)
-        rec(right, path, inc_zero * tree["cover"][right] / c, inc_one * (1.0 - go_left), f)
-
-    rec(0, [], 1.0, np.ones(n), -1)
+def expected_value(tree: dict) -> float:
+    leaf = is_leaf(tree)
+    return float((tree["value"][leaf] / UNIT * tree["n"][leaf]).sum() / max(tree["n"][0], 1))
+
+
+def tree_shap(tree: dict, leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
+    """Contributions (features, rows) of one tree to rows ``x`` (features, rows)."""
+    phi = np.zeros(x.shape)
+    inner = np.flatnonzero(~is_leaf(tree))
+    go = np.zeros((len(tree["left"]), x.shape[1]), dtype=bool)
+    v = x[tree["feature"][inner]]
+    go[inner] = np.where(np.isnan(v), tree["missing_left"][inner, None], v <= tree["threshold"][inner, None])
+    stay = ~go
+    for leaf in leaves:
+        pattern = np.zeros(x.shape[1], np.int64)
+        for j, steps in enumerate(leaf.steps):
+            hit = np.logical_and.reduce([go[n] if left else stay[n] for n, left in steps])
+            pattern |= hit.astype(np.int64) << j
+        phi[leaf.features] += leaf.table[pattern].T
     return phi
 
 
-def shap_values(ens: dict, X: np.ndarray) -> tuple[np.ndarray, float]:
-    phi = np.zeros(X.shape)
-    base = 0.0
-    for t, w in zip(ens["trees"], ens["weights"]):
-        phi += w * tree_shap(t, X)
-        base += w * expected_value(t)
-    return phi, base
+class Explainer:
+    """Path tables of an ensemble, made once per task."""
+
+    def __init__(self, trees: list[dict], base: int):
+        self.trees, self.first = trees, base
+        self.leaves = [path_tables(t) for t in trees]
+        self.base = base / UNIT + sum(expected_value(t) for t in trees)
+
+    def phi(self, x: np.ndarray) -> np.ndarray:
+        """(rows, features) for ``x`` (rows, features)."""
+        out = np.zeros(x.shape)
+        for a in range(0, len(x), ROWS):
+            part = np.ascontiguousarray(x[a:a + ROWS].T)
+            for tree, leaves in zip(self.trees, self.leaves):
+                out[a:a + ROWS] += tree_shap(tree, leaves, part).T
+        return out
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return margins(self.trees, self.first, np.ascontiguousarray(x.T)) / UNIT
 
 
 # ---------------------------------------------------------------- Spark jobs
@@ -156,15 +138,19 @@ def _matrix(pdf: pd.DataFrame, features: list[str]) -> np.ndarray:
     return pdf[features].to_numpy(dtype=float, na_value=np.nan)
 
 
-def mean_abs_attribution(spark: SparkSession, df: DataFrame, ens: dict, features: list[str]) -> DataFrame:
+def mean_abs_attribution(spark: SparkSession, df: DataFrame, model: Model) -> DataFrame:
     """Mean |phi| per feature over all rows of ``df``, ranked."""
-    bc = spark.sparkContext.broadcast(ens)
+    ship_package(spark)
+    features = model.features
+    bc = spark.sparkContext.broadcast((model.trees, model.base))
 
-    def per_batch(it):
+    def per_batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        explain = None
         for pdf in it:
             if pdf.empty:
                 continue
-            phi, _ = shap_values(bc.value, _matrix(pdf, features))
+            explain = explain or Explainer(*bc.value)
+            phi = explain.phi(_matrix(pdf, features))
             yield pd.DataFrame({"feature": features, "sum_abs": np.abs(phi).sum(axis=0),
                                 "n": np.full(len(features), len(pdf), dtype=np.int64)})
 
@@ -173,19 +159,21 @@ def mean_abs_attribution(spark: SparkSession, df: DataFrame, ens: dict, features
     return agg.orderBy(F.col("mean_abs_shap").desc(), "feature")
 
 
-def row_attributions(spark: SparkSession, df: DataFrame, ens: dict, features: list[str],
-                     keys: list[str]) -> DataFrame:
+def row_attributions(spark: SparkSession, df: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """(keys, feature, phi, base, margin) for every row of ``df``."""
-    bc = spark.sparkContext.broadcast(ens)
+    ship_package(spark)
+    features = model.features
+    bc = spark.sparkContext.broadcast((model.trees, model.base))
     key_types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in keys}
 
-    def per_batch(it):
+    def per_batch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        explain = None
         for pdf in it:
             if pdf.empty:
                 continue
+            explain = explain or Explainer(*bc.value)
             X = _matrix(pdf, features)
-            phi, base = shap_values(bc.value, X)
-            mg = margin(bc.value, X)
+            phi, base, mg = explain.phi(X), explain.base, explain.margin(X)
             n, m = phi.shape
             out = {k: np.repeat(pdf[k].to_numpy(), m) for k in keys}
             out.update({"feature": np.tile(np.array(features, dtype=object), n), "phi": phi.ravel(),

@@ -17,12 +17,13 @@ themselves are exact.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from arrears.sources.scratch import written
+
 ROWS_PER_BUCKET = 2_000_000     # distinct values one bucket's window sorts at most (about)
 MIN_BUCKETS, MAX_BUCKETS = 16, 16384
 
@@ -87,9 +88,9 @@ def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool =
     """Add ``cum_<c>``: inclusive running sums of ``cols`` over ``order``.
 
     ``df`` must hold one row per distinct ``order`` value (collapse first).
-    It is read twice (split points, then sums), so it is kept for the
+    It is read twice (split points, then sums), so it is written for the
     second pass; it is the collapsed table, not the raw rows."""
-    df = df.persist(StorageLevel.DISK_ONLY)
+    df = written(df.sparkSession, df, "collapsed")
     b = bucketize(df, order, n_buckets)
     bkey = F.col("_bucket")
     totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
@@ -120,9 +121,9 @@ def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,
     Same two-level scheme as ``running_sums``, with split points found per
     group by ``percentile_approx`` and joined back (one small row per
     group), so no group's values pass through one task or the driver."""
-    vc = (long_df.where(F.col(value).isNotNull())
-                 .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-                 .persist(StorageLevel.DISK_ONLY))     # read by the sketch and by the sums
+    # read by the sketch and by the sums
+    vc = written(long_df.sparkSession, long_df.where(F.col(value).isNotNull())
+                 .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")), "collapsed")
     res = GROUPED_RESOLUTION
     probs = [i / res for i in range(1, res)]
     # Per group, one pass: distinct count, total count, fixed-resolution sketch;

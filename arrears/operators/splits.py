@@ -7,11 +7,11 @@ state or per feature), joined by broadcast or brought back as scalars.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrears.operators.prefix import grouped_quantile, running_sums
+from arrears.sources.scratch import written
 
 
 # ---------------------------------------------------------------- M1
@@ -60,13 +60,12 @@ def validation_cut(train: DataFrame, loan: str, period: str, fraction: float = 0
     per month) locate the boundary month, and an exact order statistic of
     the keys inside that month finishes it."""
     # one row per loan, read by the two small jobs below
-    loans = (train.where(F.col(loan).isNotNull()).groupBy(loan).agg(F.min(period).alias("first_period"))
-             .where(F.col("first_period").isNotNull()).persist(StorageLevel.DISK_ONLY))
+    loans = written(train.sparkSession, train.where(F.col(loan).isNotNull()).groupBy(loan).agg(F.min(period).alias("first_period"))
+                    .where(F.col("first_period").isNotNull()), "carve-loans")
     # Loans per first month: one row per calendar month, brought back whole.
     months = sorted(((r["first_period"], r["n"]) for r in
                      loans.groupBy("first_period").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     if not months:
-        loans.unpersist()
         return None
     n_val = max(1, int(sum(n for _, n in months) * fraction))
     before, boundary = 0, None
@@ -78,7 +77,6 @@ def validation_cut(train: DataFrame, loan: str, period: str, fraction: float = 0
     in_month = loans.where(F.col("first_period") == boundary).select(F.col(loan).alias("_k"))
     ranked = running_sums(in_month.withColumn("_one", F.lit(1)), "_k", ["_one"], descending=True)
     key_cut = ranked.where(F.col("cum__one") == n_val - before).select("_k").first()["_k"]
-    loans.unpersist()
     return boundary, key_cut
 
 

@@ -1,4 +1,4 @@
-"""Attribution jobs on model A.
+"""Attribution jobs on model C.
 
 Attributions of a trained model have no SQL oracle; ``attribution_audit``
 checks what must hold for any model, and its row counts, against SQL."""
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arrears.operators import attribution as AT
+from arrears.operators import boosting as B
 from arrears.operators import features as FE
 from arrears.operators import models as MD
 from arrears.operators import tiers as T
@@ -20,15 +21,13 @@ from arrears.sources import sinks as K
 
 def _model_and_test(spark, sf_dir):
     train, test, _ = c_model_data(spark, sf_dir)
-    model = MD.fit_gbt(train, FEATS, "label_6m", MD.MODEL_A, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-    return model, test
+    return MD.fit(spark, train, FEATS, "label_6m", MD.MODEL_C), test
 
 
 @register("attribution_ranking")
 def attribution_ranking(spark, sf_dir):
     model, test = _model_and_test(spark, sf_dir)
-    ens = AT.ensemble(spark, model.stages[-1])
-    return AT.mean_abs_attribution(spark, test, ens, FEATS)
+    return AT.mean_abs_attribution(spark, test, model)
 
 
 @register("attribution_share")
@@ -44,9 +43,8 @@ def attribution_share(spark, sf_dir):
 @register("row_explanations")
 def row_explanations(spark, sf_dir):
     model, test = _model_and_test(spark, sf_dir)
-    top = T.top_k(MD.score(model, test), "pred_proba", KEYS, 5)       # the five highest-risk rows
-    ens = AT.ensemble(spark, model.stages[-1])
-    attr = AT.row_attributions(spark, top, ens, FEATS, KEYS)
+    top = T.top_k(B.score(spark, model, test), "pred_proba", KEYS, 5)       # the five highest-risk rows
+    attr = AT.row_attributions(spark, top, model, KEYS)
     return AT.top_features_per_row(attr, KEYS, 5).select(*KEYS, "rank", "feature", "phi", "direction")
 
 
@@ -60,26 +58,25 @@ SELECT unnest(['rows whose attributions add up to their margin', 'rows whose mar
 UNION ALL
 SELECT unnest(['features ranked once each', 'features with a gain share, all adding up to 1']), {len(FEATS)}""")
 def attribution_audit(spark, sf_dir):
-    """Model A: how many test rows and features hold to what any model must.
+    """Model C: how many test rows and features hold to what any model must.
     The model directory (K4) and the ranking (K3) are read back from where
     they were written."""
     model, test = _model_and_test(spark, sf_dir)
-    ens = AT.ensemble(spark, model.stages[-1])
-    path = K.fresh_path(spark, "model-a")
-    MD.save_model(model, path)
-    again = MD.load_model(path)
-    sums = AT.row_attributions(spark, test, ens, FEATS, KEYS).groupBy(*KEYS).agg(
+    path = K.fresh_path(spark, "model-c")
+    B.save(spark, model, path)
+    again = B.load(spark, path)
+    sums = AT.row_attributions(spark, test, model, KEYS).groupBy(*KEYS).agg(
         F.sum("phi").alias("phi"), F.first("base").alias("base"), F.first("margin").alias("margin"))
-    scores = MD.score(again, MD.score(model, test), "pred_again").select(*KEYS, "pred_proba", "pred_again")
+    scores = B.score(spark, again, B.score(spark, model, test), "pred_again").select(*KEYS, "pred_proba", "pred_again")
     rows = sums.join(scores, KEYS).agg(
         F.count_if(F.abs(F.col("phi") + F.col("base") - F.col("margin")) < CLOSE).alias("a"),
-        F.count_if(F.abs(1 / (1 + F.exp(-2 * F.col("margin"))) - F.col("pred_proba")) < CLOSE).alias("b"),
+        F.count_if(F.abs(1 / (1 + F.exp(-F.col("margin"))) - F.col("pred_proba")) < CLOSE).alias("b"),
         F.count_if(F.col("pred_proba") == F.col("pred_again")).alias("c"))
-    ranked = K.write_attribution_ranking(AT.mean_abs_attribution(spark, test, ens, FEATS), K.fresh_path(spark, "ranking"))
+    ranked = K.write_attribution_ranking(AT.mean_abs_attribution(spark, test, model), K.fresh_path(spark, "ranking"))
     ranking = spark.read.schema("feature string, mean_abs_shap double").option("header", True).csv(ranked)
     n_ranked = ranking.where(F.col("feature").isin(FEATS) & (F.col("mean_abs_shap") >= 0)).agg(F.countDistinct("feature").alias("n"))
-    gain = MD.feature_importance(spark, model, FEATS, len(FEATS))
-    n_gain = gain.agg(F.when(F.abs(F.sum("gain") - 1) < CLOSE, F.count(F.lit(1))).otherwise(0).alias("n"))
+    gain = B.gain_importance(spark, model)
+    n_gain = gain.agg(F.when(F.abs(F.sum("share") - 1) < CLOSE, F.count(F.lit(1))).otherwise(0).alias("n"))
     rows = rows.select(F.explode(F.array(*[F.struct(F.lit(what).alias("what"), F.col(c).alias("n_ok")) for what, c in (
         ("rows whose attributions add up to their margin", "a"), ("rows whose margin gives their score", "b"),
         ("rows scored alike by the model read back", "c"))])).alias("r")).select("r.what", "r.n_ok")

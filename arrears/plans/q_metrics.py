@@ -8,7 +8,6 @@ reaches the oracle.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from arrears.operators import features as FE
@@ -18,6 +17,7 @@ from arrears.operators import tiers as T
 from arrears.operators.reports import fixed_round
 from arrears.plans.oracle_base import D, LOAN_MONTH_PANEL, with_
 from arrears.plans.registry import register
+from arrears.sources.scratch import written
 from arrears.sources import panel as P
 
 CUT = FE.FIXTURE.cutoff
@@ -72,7 +72,7 @@ best_eps AS (SELECT threshold, precision, recall, f1_eps AS f1 FROM curve_f1 ORD
 
 
 def curve_pr(spark, sf_dir):
-    s = scored(spark, sf_dir).persist(StorageLevel.DISK_ONLY)   # the scored set feeds several metric jobs
+    s = written(spark, scored(spark, sf_dir), "scored")   # the scored set feeds several metric jobs
     total_pos = s.agg(F.sum("label_6m")).first()[0] or 0
     return s, MT.with_pr_columns(MT.pr_curve(s, "score", "label_6m"), int(total_pos))
 

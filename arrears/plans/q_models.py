@@ -5,9 +5,9 @@ what must hold for any model (model A) against SQL counts."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from arrears.operators import boosting as B
 from arrears.operators import features as FE
 from arrears.operators import metrics as MT
 from arrears.operators import models as MD
@@ -16,6 +16,7 @@ from arrears.plans.q_features import frame as c_frame
 from arrears.plans.q_splits import cohort_parts
 from arrears.plans.registry import register
 from arrears.sources.cohort import COHORT_FEATURES
+from arrears.sources.scratch import written
 
 CUT = FE.FIXTURE.cutoff
 FEATS = FE.ALL_FEATURES
@@ -26,7 +27,7 @@ def c_model_data(spark, sf_dir, label: str = "label_6m", medians: dict | None =
     """Imputed train (with a validation flag) and test frames of the 70-feature
     matrix; ``frame`` reuses a matrix that is already prepared."""
     frame = c_frame(spark, sf_dir) if frame is None else frame
-    df = S.temporal_split(frame.where(F.col(label).isNotNull()), "period", CUT).persist(StorageLevel.DISK_ONLY)
+    df = written(spark, S.temporal_split(frame.where(F.col(label).isNotNull()), "period", CUT), "model-rows")
     train = df.where(F.col("split") == "train")
     test = df.where(F.col("split") == "test")
     if medians is None:
@@ -37,8 +38,8 @@ def c_model_data(spark, sf_dir, label: str = "label_6m", medians: dict | None =
 
 def _fit_score(spark, sf_dir, params, label="label_6m"):
     train, test, _ = c_model_data(spark, sf_dir, label)
-    model = MD.fit_gbt(train, FEATS, label, params, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-    return model, MD.score(model, test).select(*KEYS, label, "pred_proba")
+    model = MD.fit(spark, train, FEATS, label, params)
+    return model, B.score(spark, model, test).select(*KEYS, label, "pred_proba")
 
 
 @register("model_a_scores")
@@ -57,8 +58,8 @@ def model_lifecycle_scores(spark, sf_dir):
     frame = c_frame(spark, sf_dir)
     _, _, med = c_model_data(spark, sf_dir, "label_6m", frame=frame)
     train, test, _ = c_model_data(spark, sf_dir, "label_ever", med, frame)
-    model = MD.fit_gbt(train, FEATS, "label_ever", MD.MODEL_C, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-    return MD.score(model, test).select(*KEYS, "label_ever", "pred_proba")
+    model = MD.fit(spark, train, FEATS, "label_ever", MD.MODEL_C)
+    return B.score(spark, model, test).select(*KEYS, "label_ever", "pred_proba")
 
 
 def cohort_model_data(spark, sf_dir):
@@ -66,7 +67,7 @@ def cohort_model_data(spark, sf_dir):
     tr = parts.where(F.col("part") == "train")
     means, glob = S.fit_target_encoding(tr, "state", "target")
     feats = COHORT_FEATURES + ["state_te"]
-    parts = S.apply_target_encoding(parts, "state", means, glob, "state_te").persist(StorageLevel.DISK_ONLY)
+    parts = written(spark, S.apply_target_encoding(parts, "state", means, glob, "state_te"), "cohort-rows")
     med = S.collect_medians(S.train_medians(parts.where(F.col("part") == "train"), feats))
     full = S.impute(parts, med).withColumn("_is_val", F.col("part") == "val")
     return full.where(F.col("part") != "test"), full.where(F.col("part") == "test"), feats
@@ -75,14 +76,15 @@ def cohort_model_data(spark, sf_dir):
 @register("model_cohort_scores")
 def model_cohort_scores(spark, sf_dir):
     train, test, feats = cohort_model_data(spark, sf_dir)
-    model = MD.fit_gbt(train, feats, "target", MD.MODEL_COHORT, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-    return MD.score(model, test).select("ac_key", "report_period", "target", "pred_proba")
+    model = MD.fit(spark, train, feats, "target", MD.MODEL_COHORT)
+    return B.score(spark, model, test).select("ac_key", "report_period", "target", "pred_proba")
 
 
 @register("feature_importance")
 def feature_importance(spark, sf_dir):
-    model, _ = _fit_score(spark, sf_dir, MD.MODEL_A)
-    return MD.feature_importance(spark, model, FEATS, 20)
+    """Of the cohort model, as in the reference."""
+    train, _, feats = cohort_model_data(spark, sf_dir)
+    return MD.top_importance(spark, MD.fit(spark, train, feats, "target", MD.MODEL_COHORT), 20).select("feature", "gain", "n_splits", "share")
 
 
 def _metrics_row(scored, label):
@@ -106,12 +108,12 @@ def model_comparison(spark, sf_dir):
         synth.select(*FEATS, "label_6m").withColumn("_is_val", F.lit(False)))
     fits.insert(1, ("B: boosted trees + oversampling, 70 features", balanced, MD.MODEL_A))
     for name, data, params in fits:
-        model = MD.fit_gbt(data, FEATS, "label_6m", params, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-        auc, ap = _metrics_row(MD.score(model, test), "label_6m")
+        model = MD.fit(spark, data, FEATS, "label_6m", params)
+        auc, ap = _metrics_row(B.score(spark, model, test), "label_6m")
         rows.append((name, auc, ap, (auc - MD.BASELINE_AUROC) * 100.0))
     ltrain, ltest, _ = c_model_data(spark, sf_dir, "label_ever", med, frame)
-    lmodel = MD.fit_gbt(ltrain, FEATS, "label_ever", MD.MODEL_C, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-    la, lp = _metrics_row(MD.score(lmodel, ltest), "label_ever")
+    lmodel = MD.fit(spark, ltrain, FEATS, "label_ever", MD.MODEL_C)
+    la, lp = _metrics_row(B.score(spark, lmodel, ltest), "label_ever")
     rows.append(("lifecycle (ever-default), model C settings", la, lp, (la - MD.BASELINE_AUROC) * 100.0))
     by = {name[:2]: (auc, ap) for name, auc, ap, _ in rows}
     for name, x, y in (("gap: C - A", "C:", "A:"), ("gap: lifecycle - C", "li", "C:")):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arrears.operators import boosting as B
 from arrears.operators import models as MD
 from arrears.operators import sampling as SM
 from arrears.plans.oracle_base import with_
@@ -54,5 +55,5 @@ def model_b_scores(spark, sf_dir):
     train, synth, test = balanced_train(spark, sf_dir)
     syn = synth.select(*FEATS, "label_6m").withColumn("_is_val", F.lit(False))
     data = train.select(*FEATS, "label_6m", "_is_val").unionByName(syn)
-    model = MD.fit_gbt(data, FEATS, "label_6m", MD.MODEL_A, max_iter=MD.QUERY_ROUNDS, val_col="_is_val")
-    return MD.score(model, test).select(*KEYS, "label_6m", "pred_proba")
+    model = MD.fit(spark, data, FEATS, "label_6m", MD.MODEL_A)
+    return B.score(spark, model, test).select(*KEYS, "label_6m", "pred_proba")

@@ -6,19 +6,13 @@ Paths default to a fresh folder under the cluster's shared
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from arrears.session import scratch_path
+from arrears.sources.scratch import fresh_path  # noqa: F401
 
 PREDICTION_COLUMNS = ["ac_key", "loan_uid", "report_period", "target", "pred_proba", "risk_tier"]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-
-
 def write_predictions(df: DataFrame, path: str) -> str:
     df.select(*PREDICTION_COLUMNS).write.mode("overwrite").parquet(path)
     return path

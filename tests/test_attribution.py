@@ -1,56 +1,68 @@
-"""Tree SHAP: local accuracy on an MLlib model and agreement with brute-force Shapley values."""
+"""Tree SHAP: local accuracy, agreement with brute-force Shapley values, and the Spark jobs."""
 
 import itertools
 import math
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 
 from arrears.operators import attribution as AT
+from arrears.operators import boosting as B
 
 
-def _fit(spark):
+def _fit(spark, **params):
     rng = np.random.default_rng(7)
-    X = np.round(rng.normal(size=(400, 4)), 2)
-    y = ((X[:, 0] + 0.5 * X[:, 1] * (X[:, 2] > 0) + 0.3 * rng.normal(size=400)) > 0).astype(float)
-    rows = [tuple(map(float, r)) + (float(t),) for r, t in zip(X, y)]
-    df = spark.createDataFrame(rows, "a double, b double, c double, d double, y double")
-    v = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="f").transform(df)
-    m = GBTClassifier(featuresCol="f", labelCol="y", maxIter=6, maxDepth=3, seed=3).fit(v)
-    return m, v, X
+    x = np.round(rng.normal(size=(400, 4)), 2)
+    y = ((x[:, 0] + 0.5 * x[:, 1] * (x[:, 2] > 0) + 0.3 * rng.normal(size=400)) > 0).astype(int)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in r), int(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, y int")
+    p = B.TreeParams(rounds=6, eta=0.3, start_at_mean=True, **params)
+    return B.fit(spark, df, list("abcd"), "y", p, weight=2.0), df, x
 
 
-def _cond_exp(tree, x, S):
+def _expected(tree, x, known):
+    """Value of a row of which only the features in ``known`` are known."""
     def rec(j):
-        if tree["left"][j] < 0:
-            return tree["value"][j]
+        left, right = tree["left"][j], tree["right"][j]
+        if left == j:
+            return tree["value"][j] / AT.UNIT
         f = int(tree["feature"][j])
-        l, r = int(tree["left"][j]), int(tree["right"][j])
-        if f in S:
-            return rec(l) if x[f] <= tree["threshold"][j] else rec(r)
-        c = tree["cover"][j]
-        return (tree["cover"][l] * rec(l) + tree["cover"][r] * rec(r)) / c
+        if f in known:
+            go = tree["missing_left"][j] if np.isnan(x[f]) else x[f] <= tree["threshold"][j]
+            return rec(left if go else right)
+        return (tree["n"][left] * rec(left) + tree["n"][right] * rec(right)) / tree["n"][j]
     return rec(0)
 
 
-def test_tree_shap(spark):
-    m, v, X = _fit(spark)
-    ens = AT.ensemble(spark, m)
-    phi, base = AT.shap_values(ens, X[:25])
-    # margin from the model itself: P(y=1) = 1 / (1 + exp(-2 margin))
-    mg = np.array([r[0] for r in m.transform(v).select(vector_to_array("rawPrediction")[1]).limit(25).collect()])
-    np.testing.assert_allclose(phi.sum(axis=1) + base, mg, atol=1e-9)
-    np.testing.assert_allclose(AT.margin(ens, X[:25]), mg, atol=1e-9)
-    M = X.shape[1]
-    for r in range(5):
-        exp = np.zeros(M)
-        for t, w in zip(ens["trees"], ens["weights"]):
-            for i in range(M):
-                others = [j for j in range(M) if j != i]
-                for k in range(M):
-                    for S in itertools.combinations(others, k):
-                        wt = math.factorial(k) * math.factorial(M - k - 1) / math.factorial(M)
-                        exp[i] += w * wt * (_cond_exp(t, X[r], set(S) | {i}) - _cond_exp(t, X[r], set(S)))
-        np.testing.assert_allclose(phi[r], exp, atol=1e-9)
+def test_against_brute_force(spark):
+    for params in ({"growth": "level", "max_depth": 3}, {"growth": "leaf", "max_depth": 6, "max_leaves": 12}):
+        model, _, x = _fit(spark, **params)
+        explain = AT.Explainer(model.trees, model.base)
+        phi = explain.phi(x)
+        np.testing.assert_allclose(phi.sum(axis=1) + explain.base, explain.margin(x), atol=1e-9)
+        m = x.shape[1]
+        for r in (0, 7, 100, int(np.flatnonzero(np.isnan(x).any(axis=1))[0])):
+            want = np.zeros(m)
+            for t in model.trees:
+                for i in range(m):
+                    others = [j for j in range(m) if j != i]
+                    for k in range(m):
+                        for some in itertools.combinations(others, k):
+                            weight = math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m)
+                            want[i] += weight * (_expected(t, x[r], {*some, i}) - _expected(t, x[r], set(some)))
+            np.testing.assert_allclose(phi[r], want, atol=1e-9)
+
+
+def test_jobs(spark):
+    model, df, x = _fit(spark, growth="leaf", max_depth=4, max_leaves=9)
+    phi = AT.Explainer(model.trees, model.base).phi(x)
+    ranked = {r["feature"]: r["mean_abs_shap"] for r in AT.mean_abs_attribution(spark, df.repartition(3), model).collect()}
+    np.testing.assert_allclose([ranked[f] for f in "abcd"], np.abs(phi).mean(axis=0), atol=1e-12)
+    rows = AT.row_attributions(spark, df, model, ["id"]).toPandas()
+    assert len(rows) == x.size
+    scores = B.score(spark, model, df).select("id", "pred_proba").toPandas().set_index("id")["pred_proba"]
+    for i, g in rows.groupby("id"):
+        np.testing.assert_allclose(g["phi"].to_numpy(), phi[i], atol=1e-12)
+        assert abs(1 / (1 + math.exp(-(g["phi"].sum() + g["base"].iloc[0]))) - scores[i]) < 1e-9
+    top = AT.top_features_per_row(AT.row_attributions(spark, df.limit(3), model, ["id"]), ["id"], 2).collect()
+    assert len(top) == 6 and {r["rank"] for r in top} == {1, 2}
