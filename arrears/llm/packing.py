@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,8 @@ CAPACITY = 2048
 SEPARATOR = 0
 SHARD = 1 << 15          # pieces packed by one task
 MAX_LEVELS = 40          # the shards shrink with each level; more means a fault
-CACHED = 1 << 18         # chunks whose ids a worker remembers
+CACHED = 1 << 19         # chunks whose ids a worker remembers, in each of two generations
+TOGETHER = 64            # unseen chunks encoded in one string
 LONG_CHUNK = 64          # characters from which a chunk is not remembered
 CUT = 1 << 20            # characters of a text that are split at once
 TOKENS_OUT = 1 << 20     # ids in one batch sent back
@@ -54,6 +56,12 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 EDGE = re.compile(r"(?<=\S)(?=\s)")
 #: white space to this module's patterns but not to the tokenizer's
 ODD = re.compile("[\x1c-\x1f]")
+#: texts with other white space than single blanks and line ends between words
+IRREGULAR = r"^[ \n]|[ \n][ \n]|[ \n]$|[\x00-\x09\x0b-\x1f\x7f-\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+FIRST = "\x01"           # before a text's first chunk, which has no blank before it
+TIED = "\x02"            # before a chunk of punctuation that stands at a word
+#: a Latin letter and punctuation after it: never one piece to the tokenizer
+AT_WORD = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-`{-~])"
 
 PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>"
 
@@ -68,11 +76,62 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
-        self.whole = self.tok.normalizer is not None or type(self.tok.pre_tokenizer).__name__ != "ByteLevel" or self.tok.pre_tokenizer.add_prefix_space
+        special = self.tok.get_added_tokens_decoder()
+        self.special = [t.content for t in special.values()]
+        self.whole = (self.tok.normalizer is not None or type(self.tok.pre_tokenizer).__name__ != "ByteLevel" or self.tok.pre_tokenizer.add_prefix_space
+                      or any(t.lstrip or t.rstrip or t.single_word or len(t.content.split()) != 1 for t in special.values()))
         self.known: dict[str, bytes] = {}
-
-    def _direct(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}
+        # bytes of text that an id stands for: a byte-level token has a character per byte
+        self.width = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.tok.get_vocab(with_added_tokens=True).items():
+            self.width[i] = len(token.encode()) if i in special else len(token)
+
+    def _direct(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of unseen chunks. Those that may follow each other in a text are
+        encoded together, and cut by the bytes that ids stand for; a chunk with
+        no blank before it, or that is blank at its end, goes alone."""
+        out: list[bytes] = [b""] * len(chunks)
+        run = [i for i, c in enumerate(chunks) if c[:1] in (" ", "\n") and not c[-1].isspace()]
+        for i in set(range(len(chunks))).difference(run):
+            out[i] = self._direct(chunks[i]).tobytes()
+        if run:
+            bytes_of = pc.binary_length(pa.array([chunks[i] for i in run], pa.string())).to_numpy()
+            texts = ["".join([chunks[i] for i in run[a:a + TOGETHER]]) for a in range(0, len(run), TOGETHER)]
+            done = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.concatenate([np.asarray(e.ids, "<u4") for e in done])
+            ends = (4 * (np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(bytes_of)) + 1)).tolist()
+            raw, a = ids.tobytes(), 0
+            for i, b in zip(run, ends):
+                out[i] = raw[a:b]
+                a = b
+        return out
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, chunks))
+        missing = [i for i, f in enumerate(found) if f is None]
+        if missing and self.older:
+            for i in missing:
+                found[i] = self.older.get(chunks[i])
+            self.known.update((chunks[i], found[i]) for i in missing if found[i] is not None)
+            missing = [i for i in missing if found[i] is None]
+        if missing:
+            unseen = list(dict.fromkeys([chunks[i] for i in missing]))
+            new = self._learn(unseen)
+            if len(unseen) < len(missing):
+                by = dict(zip(unseen, new))
+                for i in missing:
+                    found[i] = by[chunks[i]]
+            else:
+                for i, v in zip(missing, new):
+                    found[i] = v
+            if len(self.known) + len(new) > CACHED:
+                self.older, self.known = self.known, {}
+            self.known.update((c, v) for c, v in zip(unseen, new) if len(c) < LONG_CHUNK)
+        return found
 
     def _segments(self, text: str) -> Iterator[str]:
         a = 0
@@ -86,21 +145,41 @@ class ChunkEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         if self.whole or ODD.search(text):
-            return np.frombuffer(self._direct([text])[0], "<u4")
-        out = []
-        for segment in self._segments(text):
-            chunks = CHUNK.findall(segment)
-            new = list(set(chunks).difference(self.known))
-            if new:
-                if len(self.known) + len(new) > CACHED:
-                    self.known.clear()
-                    new = list(set(chunks))
-                self.known.update(zip(new, self._direct(new)))
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-            for c in new:
-                if len(c) >= LONG_CHUNK:
-                    del self.known[c]
-        return np.frombuffer(b"".join(out), "<u4")
+            return self._direct(text)
+        return np.frombuffer(b"".join(f for segment in self._segments(text) for f in self._look_up(CHUNK.findall(segment))), "<u4")
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows (a null row is empty), and where each row's begin.
+        Regular rows are cut and their distinct chunks found by Arrow."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.or_(pc.match_substring_regex(texts, IRREGULAR), pc.greater(pc.binary_length(texts), CUT))
+        for token in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        slow = self.whole | odd.to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(~slow)
+        marked = pc.replace_substring(texts.take(pa.array(rows)), "\n", " \n")
+        marked = pc.replace_substring_regex(marked, AT_WORD, rf"\1 {TIED}\2")
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(FIRST, pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+        coded = lists.flatten().dictionary_encode()
+        heads = {FIRST: "", TIED: "", "\n": "\n"}
+        chunks = [heads[c[0]] + c[1:] if c[0] in heads else " " + c for c in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        known = self._look_up(chunks)
+        size = np.array([len(k) // 4 for k in known], np.int64)
+        flat, at = np.frombuffer(b"".join(known), "<u4"), coded.indices.to_numpy()
+        lens = size[at]
+        ends = np.cumsum(lens)
+        fast = flat[np.repeat((np.cumsum(size) - size)[at] - (ends - lens), lens) + np.arange(int(lens.sum()))]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(rows) else np.zeros(1, np.int64)
+        if not slow.any():
+            return fast, bounds
+        parts, order = [], iter(range(len(rows)))
+        for i, s in enumerate(slow.tolist()):
+            if s:
+                parts.append(self.ids(texts[i].as_py()))
+            else:
+                k = next(order)
+                parts.append(fast[bounds[k]:bounds[k + 1]])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def encoder(spec: str) -> ChunkEncoder:
@@ -163,8 +242,11 @@ def tokenise(spark: SparkSession, docs: DataFrame, spec: str, capacity: int = CA
             return pa.RecordBatch.from_arrays(cols + [ids], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.append(enc.ids(text.as_py() or ""), np.uint32(separator)).astype("<u4")
+            if not b.num_rows:
+                continue
+            every, starts = enc.column(b.column("text"))
+            for i, doc in enumerate(b.column("doc_id").to_pylist()):
+                ids = np.append(every[starts[i]:starts[i + 1]], np.uint32(separator)).astype("<u4")
                 for k, (a, size) in enumerate(cuts(len(ids), capacity)):
                     part = ids[a:a + size]
                     rows.append((uid, doc, k, a, size, zlib.crc32(part.tobytes())))
