@@ -20,7 +20,7 @@ from arrears.functions import columns as C
 from arrears.operators import labels as L
 from arrears.operators import macro_join as MJ
 from arrears.operators import windows as W
-from arrears.operators.prefix import exact_quantile, grouped_quantile
+from arrears.operators.prefix import exact_quantile, wide_quantiles
 from arrears.session import ensure_checkpoint_dir
 from arrears.sources import macro as M
 
@@ -151,13 +151,9 @@ def dynamic_features(df: DataFrame, dscr_median: float | None = None,
         # the windowed frame feeds both the fitted medians and the final matrix
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-        long = (fit_rows(df) if fit_rows else df).select(F.explode(F.array(
-            F.struct(F.lit("dscr").alias("g"), F.col("dscr_curr_lag1").cast("double").alias("v")),
-            F.struct(F.lit("ltv").alias("g"), F.col("ltv_curr_capped").cast("double").alias("v")))).alias("p")) \
-            .select("p.g", "p.v")
-        meds = {r["g"]: r["quantile"] for r in grouped_quantile(long, "g", "v", 0.5).collect()}
-        dscr_median = meds.get("dscr") if dscr_median is None else dscr_median
-        ltv_capped_median = meds.get("ltv") if ltv_capped_median is None else ltv_capped_median
+        meds = wide_quantiles(fit_rows(df) if fit_rows else df, ["dscr_curr_lag1", "ltv_curr_capped"], 0.5)
+        dscr_median = meds["dscr_curr_lag1"] if dscr_median is None else dscr_median
+        ltv_capped_median = meds["ltv_curr_capped"] if ltv_capped_median is None else ltv_capped_median
     return df.withColumns({
         "ltv_x_near_mat": F.coalesce(F.col("ltv_curr_capped"), F.lit(0.0)) * F.col("near_maturity_flag"),
         "dscr_ltv_product": F.coalesce(F.col("dscr_curr_lag1"), F.lit(dscr_median).cast("double"))

@@ -1,157 +1,163 @@
-"""Exact global order statistics without a single-partition window.
-
-Running sums in a global order (for exact quantiles and exact rank
-metrics) are computed in two levels:
-
-1. rows are first collapsed to distinct order values with their counts, so
-   a value held by a third of all rows is a single row;
-2. the distinct values are cut into buckets at approximate quantiles
-   (``percentile_approx`` boundaries, applied with ``Bucketizer``: a
-   deterministic binary search, so every re-evaluation agrees);
-3. per-bucket totals (one row per bucket, a fixed bound) give each bucket
-   its offset, and a window partitioned by bucket finishes the running sum.
-
-Approximate boundaries only affect how evenly work is spread; the sums
-themselves are exact.
+"""Exact global order statistics without a global sort in one task.
+
+``running_sums`` cuts the distinct order values into ranges, written once with
+the number of their range, so that every later job sees the same cut. A window
+inside each range and the sums of the ranges before it give the running sums.
+Ranges grow in number with the data; if there are too many for one task, their
+sums are run up by the same operator, level by level.
+
+``wide_quantiles`` finds exact quantiles of many columns at once. A sketch of
+all columns in one aggregation gives each a bracket around the wanted rank, a
+second aggregation counts exactly what lies below, at and inside the brackets.
+Brackets that still hold too many values are narrowed again. Only values inside
+the last brackets move. Sketches decide how much work is left, counts decide
+the result.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from arrears.sources.scratch import written
 
-ROWS_PER_BUCKET = 2_000_000     # distinct values one bucket's window sorts at most (about)
-MIN_BUCKETS, MAX_BUCKETS = 16, 16384
-
-
-def bucket_count(n_rows: int) -> int:
-    """Buckets so that each holds about ROWS_PER_BUCKET distinct values."""
-    return int(min(MAX_BUCKETS, max(MIN_BUCKETS, -(-int(n_rows or 0) // ROWS_PER_BUCKET))))
-
-
-SKETCH_RESOLUTION = 4096          # quantile points taken in the one sketch pass
-GROUPED_RESOLUTION = 512          # per-group sketch; bucket lookup there is a linear scan
-
-
-def _pick(n_buckets: int) -> list[int]:
-    """Indices into the resolution-sized quantile list for ``n_buckets`` buckets."""
-    return [(i * SKETCH_RESOLUTION) // n_buckets - 1 for i in range(1, n_buckets)]
-
-
-def quantile_splits(df: DataFrame, col: str, n_buckets: int | None = None) -> list[float]:
-    """Strictly increasing split points (with +-inf ends) at approximate quantiles.
-
-    One aggregation gives both the number of rows (which sets the bucket
-    count when not given) and a fixed-resolution quantile sketch."""
-    probs = [i / SKETCH_RESOLUTION for i in range(1, SKETCH_RESOLUTION)]
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(F.col(col).cast("double"), probs, 10 * SKETCH_RESOLUTION).alias("q")).first()
-    qs = row["q"] or []
-    b = n_buckets or bucket_count(row["n"])
-    b = min(b, SKETCH_RESOLUTION)
-    picked = [qs[i] for i in _pick(b) if 0 <= i < len(qs)]
-    return [float("-inf")] + sorted(set(v for v in picked if v is not None)) + [float("inf")]
-
-
-TEXT_SAMPLE = 4096       # keys read to the driver to cut a text column
-TEXT_BUCKETS = 256
-
-
-def _text_buckets(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Buckets of a text column by comparison with sampled split points."""
-    rows = df.select(col).where(F.col(col).isNotNull()).orderBy(F.xxhash64(col)).limit(TEXT_SAMPLE).collect()
-    keys = sorted({r[0] for r in rows})
-    step = max(1, len(keys) // TEXT_BUCKETS)
-    points = keys[step::step]
-    if not points:
-        return df.withColumn(out, F.lit(0.0))
-    below = F.size(F.filter(F.lit(points), lambda p: p <= F.col(col)))
-    return df.withColumn(out, below.cast("double"))
-
-
-def bucketize(df: DataFrame, col: str, n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
-    if isinstance(df.schema[col].dataType, StringType):
-        return _text_buckets(df, col, out)
-    splits = quantile_splits(df, col, n_buckets)
-    tmp = f"{out}_x"
-    d = df.withColumn(tmp, F.col(col).cast("double"))
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(d).drop(tmp)
+ROWS_PER_RANGE = 500_000        # distinct values that one window sorts (about)
+RANGES_AT_ONCE = 65_536         # range sums that one window runs up
+INSIDE = 100_000                # values of a bracket that move (about)
+ACCURACY = 1000                 # of the sketch: rank error at most 1 / ACCURACY
 
 
+# ---------------------------------------------------------------- running sums
 def running_sums(df: DataFrame, order: str, cols: list[str], descending: bool = False,
-                 n_buckets: int | None = None) -> DataFrame:
+                 rows_per_range: int = ROWS_PER_RANGE, at_once: int = RANGES_AT_ONCE) -> DataFrame:
     """Add ``cum_<c>``: inclusive running sums of ``cols`` over ``order``.
 
-    ``df`` must hold one row per distinct ``order`` value (collapse first).
-    It is read twice (split points, then sums), so it is written for the
-    second pass; it is the collapsed table, not the raw rows."""
-    df = written(df.sparkSession, df, "collapsed")
-    b = bucketize(df, order, n_buckets)
-    bkey = F.col("_bucket")
-    totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
-    # One row per bucket: a global window over at most ``n_buckets`` rows.
-    tw = Window.orderBy(bkey.desc() if descending else bkey).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_tot_{c}").over(tw), F.lit(0)).alias(f"_off_{c}")
-                                         for c in cols])
-    ordcol = F.col(order).desc() if descending else F.col(order)
-    iw = Window.partitionBy("_bucket").orderBy(ordcol).rowsBetween(Window.unboundedPreceding, 0)
-    local = b.withColumns({f"_loc_{c}": F.sum(c).over(iw) for c in cols})
-    out = local.join(F.broadcast(offsets), "_bucket")
-    return out.withColumns({f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in cols}) \
-              .drop("_bucket", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, n_buckets: int | None = None):
-    """Linear-interpolated quantile of the non-NULL values (pandas/NumPy
-    'linear' rule) as a Python float; None if there are none.  One job."""
-    long = df.select(F.lit(0).alias("_g"), F.col(col).cast("double").alias("_v"))
-    r = grouped_quantile(long, "_g", "_v", q, n_buckets=n_buckets).first()
-    return None if r is None else r["quantile"]
-
-
-def grouped_quantile(long_df: DataFrame, group: str, value: str, q: float,
-                     n_buckets: int | None = None, out: str = "quantile") -> DataFrame:
-    """Exact linear quantile of ``value`` per ``group`` as a DataFrame.
-
-    Same two-level scheme as ``running_sums``, with split points found per
-    group by ``percentile_approx`` and joined back (one small row per
-    group), so no group's values pass through one task or the driver."""
-    # read by the sketch and by the sums
-    vc = written(long_df.sparkSession, long_df.where(F.col(value).isNotNull())
-                 .groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")), "collapsed")
-    res = GROUPED_RESOLUTION
-    probs = [i / res for i in range(1, res)]
-    # Per group, one pass: distinct count, total count, fixed-resolution sketch;
-    # then split points subsampled to ~ROWS_PER_BUCKET values per bucket.
-    sk = vc.groupBy(group).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, 10 * res).alias("_q"),
-        F.count(F.lit(1)).alias("_d"), F.sum("_n").alias("_total"))
-    nb = (F.lit(n_buckets) if n_buckets else
-          F.least(F.lit(res),
-                  F.greatest(F.lit(MIN_BUCKETS), F.ceil(F.col("_d") / F.lit(ROWS_PER_BUCKET)))).cast("int"))
-    splits = sk.withColumn("_nb", nb).select(
-        group, "_total",
-        F.transform(F.sequence(F.lit(1), F.col("_nb") - 1),
-                    lambda i: F.element_at("_q", F.floor(i * res / F.col("_nb")).cast("int")))
-        .alias("_splits"))
-    b = vc.join(F.broadcast(splits), group).withColumn(
-        "_bucket", F.size(F.filter("_splits", lambda s: s < F.col(value).cast("double"))))
-    totals = b.groupBy(group, "_bucket").agg(F.sum("_n").alias("_tot"))
-    tw = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(group, "_bucket", F.coalesce(F.sum("_tot").over(tw), F.lit(0)).alias("_off"))
-    iw = Window.partitionBy(group, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    cum = (b.withColumn("_loc", F.sum("_n").over(iw))
-             .join(offsets, [group, "_bucket"])
-             .withColumn("_cum", F.col("_loc") + F.col("_off")))
-    pos = F.lit(q) * (F.col("_total") - 1)
-    lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
-    r = cum.groupBy(group).agg(
-        F.min(F.when(F.col("_cum") > lo_rank, F.col(value))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > hi_rank, F.col(value))).alias("_hi"),
-        F.first(pos - lo_rank).alias("_frac"))
-    return r.select(group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out))
+    ``df`` must hold one row per distinct ``order`` value (collapse first). It
+    is the collapsed table, not the raw rows, that is written."""
+    base = written(df.sparkSession, df, "collapsed")
+    ranges = max(1, math.ceil(base.count() / rows_per_range))
+    by = F.col(order).desc() if descending else F.col(order)
+    if ranges == 1:
+        whole = Window.partitionBy(F.lit(0)).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return base.withColumns({f"cum_{c}": F.sum(c).over(whole) for c in cols})
+    no = f"{order}_range"
+    cut = written(df.sparkSession, base.repartitionByRange(ranges, order).withColumn(no, F.spark_partition_id()), "ranges")
+    tot = [f"_tot_{c}" for c in cols]
+    totals = cut.groupBy(no).agg(*[F.sum(c).alias(t) for t, c in zip(tot, cols)])
+    if ranges <= at_once:
+        at = F.col(no).desc() if descending else F.col(no)
+        run = Window.partitionBy(F.lit(0)).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        up = totals.withColumns({f"cum_{t}": F.sum(t).over(run) for t in tot})
+    else:
+        up = running_sums(totals, no, tot, descending, at_once, at_once)
+    before = up.select(no, *[(F.col(f"cum_{t}") - F.col(t)).alias(f"_off_{c}") for t, c in zip(tot, cols)])
+    if ranges <= at_once:
+        before = F.broadcast(before)           # at most ``at_once`` rows of a few numbers
+    inside = Window.partitionBy(no).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    local = cut.withColumns({f"cum_{c}": F.sum(c).over(inside) for c in cols}).join(before, no)
+    return local.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.coalesce(f"_off_{c}", F.lit(0)) for c in cols}) \
+                .drop(no, *[f"_off_{c}" for c in cols])
+
+
+# ---------------------------------------------------------------- quantiles
+@dataclass
+class _Bracket:
+    """What is known of one column: values in (lo, hi) have ranks from ``base`` on."""
+    ranks: list[int]
+    n: int                                   # values inside
+    base: int = 0
+    lo: float | None = None                  # None: open
+    hi: float | None = None
+    margin: float = 2.0 / ACCURACY
+    found: dict[int, float] = field(default_factory=dict)
+
+    def inside(self, x: Column) -> Column:
+        ok = x.isNotNull()
+        if self.lo is not None:
+            ok &= x > F.lit(self.lo)
+        if self.hi is not None:
+            ok &= x < F.lit(self.hi)
+        return ok
+
+    @property
+    def open(self) -> list[int]:
+        return [r for r in self.ranks if r not in self.found]
+
+    def wanted(self) -> list[float]:
+        """Quantiles of the inside values just below and above the open ranks."""
+        low, high = min(self.open) - self.base, max(self.open) - self.base
+        return [max(0.0, low / self.n - self.margin), min(1.0, (high + 1) / self.n + self.margin)]
+
+    def narrow(self, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
+        """Counts of inside values around a and b decide where the ranks lie."""
+        first, last = self.base + below, self.base + below + at_a + between
+        rest = []
+        for r in self.open:
+            if first <= r < first + at_a:
+                self.found[r] = a
+            elif a < b and last <= r < last + at_b:
+                self.found[r] = b
+            else:
+                rest.append(r)
+        if rest and all(first + at_a <= r < last for r in rest):
+            self.lo, self.hi, self.base, self.n = a, b, first + at_a, between
+        elif rest:
+            self.margin *= 8                 # the sketch was off: look wider
+
+
+def _value(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def wide_quantiles(df: DataFrame, cols: list[str], q: float, inside: int = INSIDE) -> dict[str, float | None]:
+    """Linear-interpolated quantile (pandas/NumPy 'linear' rule) of each
+    column's values; NULL and NaN are no values; None for a column without any."""
+    counts = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    todo: dict[int, _Bracket] = {}
+    for i in range(len(cols)):
+        if n := counts[f"n{i}"]:
+            pos = q * (n - 1)
+            todo[i] = _Bracket(sorted({math.floor(pos), math.ceil(pos)}), n)
+    while wide := {i: b for i, b in todo.items() if b.open and b.n > inside}:
+        sketch = df.agg(*[F.percentile_approx(F.when(b.inside(_value(cols[i])), _value(cols[i])), b.wanted(), ACCURACY).alias(f"q{i}") for i, b in wide.items()]).first()
+        ends = {i: sketch[f"q{i}"] for i in wide}
+        aggs = []
+        for i, b in wide.items():
+            x, (lo, hi) = _value(cols[i]), ends[i]
+            aggs += [F.count_if(b.inside(x) & (x < F.lit(lo))).alias(f"a{i}"), F.count_if(b.inside(x) & (x == F.lit(lo))).alias(f"b{i}"),
+                     F.count_if((x > F.lit(lo)) & (x < F.lit(hi))).alias(f"c{i}"), F.count_if(b.inside(x) & (x == F.lit(hi))).alias(f"d{i}")]
+        got = df.agg(*aggs).first()
+        for i, b in wide.items():
+            b.narrow(*ends[i], *(got[f"{k}{i}"] for k in "abcd"))
+    left = {i: b for i, b in todo.items() if b.open}
+    if left:
+        # only values inside brackets become rows; equal ones are counted before they move
+        items = F.array(*[F.when(b.inside(_value(cols[i])), F.struct(F.lit(i).alias("i"), _value(cols[i]).alias("x"))) for i, b in left.items()])
+        ties = df.select(F.explode(F.filter(items, lambda e: e.isNotNull())).alias("e")).groupBy("e.i", "e.x").agg(F.count(F.lit(1)).alias("n"))
+        run = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+        upto = ties.withColumn("upto", F.sum("n").over(run))
+        hit = F.lit(False)
+        for i, b in left.items():
+            for r in b.open:
+                at = r - b.base
+                hit |= (F.col("i") == i) & (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)
+        for r in upto.where(hit).collect():             # two rows a column at most
+            b = left[r["i"]]
+            for k in b.open:
+                if r["upto"] - r["n"] <= k - b.base < r["upto"]:
+                    b.found[k] = r["x"]
+    out: dict[str, float | None] = dict.fromkeys(cols)
+    for i, b in todo.items():
+        pos = q * (counts[f"n{i}"] - 1)
+        lo, hi = b.found[math.floor(pos)], b.found[math.ceil(pos)]
+        out[cols[i]] = lo + (hi - lo) * (pos - math.floor(pos))
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """The quantile of one column, None without values."""
+    return wide_quantiles(df, [col], q)[col]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arrears.operators.prefix import grouped_quantile, running_sums
+from arrears.operators.prefix import running_sums, wide_quantiles
 from arrears.sources.scratch import written
 
 
@@ -117,10 +117,10 @@ def apply_target_encoding(df: DataFrame, key: str, means: DataFrame, glob: float
 
 # ---------------------------------------------------------------- A13 / M5
 def train_medians(train: DataFrame, features: list[str]) -> DataFrame:
-    """Exact median of every feature on train rows: (feature, median)."""
-    long = train.select(*[F.col(f).cast("double").alias(f) for f in features]) \
-                .unpivot([], features, "feature", "value")
-    return grouped_quantile(long, "feature", "value", 0.5, out="median")
+    """Exact median of every feature on train rows: (feature, median), without
+    the features that have no value."""
+    found = wide_quantiles(train, features, 0.5)
+    return train.sparkSession.createDataFrame([(f, m) for f, m in found.items() if m is not None], "feature string, median double")
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:

@@ -9,6 +9,7 @@ from arrears.operators import features as FE
 from arrears.plans.oracle_base import D, with_
 from arrears.plans.q_macro import ASOF_SQL
 from arrears.plans.registry import register
+from arrears.sources import panel as P
 
 KEYS = ["asset_number", "period"]
 W_ = "PARTITION BY asset_number ORDER BY period"
@@ -112,12 +113,25 @@ def frame(spark, sf_dir):
     return FE.panel_features(spark, sf_dir, FE.FIXTURE)
 
 
+FITTED = {"ltv_curr_capped", "ltv_x_near_mat", "dscr_ltv_product"}     # need the p99 cap or the medians
+
+
+def _columns(spark, sf_dir, cols):
+    """A few columns of the matrix from the operators they need: without fitted
+    values nothing is written, and the planner drops what is not asked for."""
+    if FITTED & set(cols):
+        return frame(spark, sf_dir).select(*KEYS, *cols)
+    panel = P.loan_month_panel(spark, sf_dir)
+    df = FE.base_features(panel, FE.FIXTURE, ltv_p99=float("inf"))
+    return FE.dynamic_features(df, dscr_median=0.0, ltv_capped_median=0.0).select(*KEYS, *cols)
+
+
 def _reg(name: str, cols: list[str]):
     sql = with_(FEATURES_SQL) + f"\nSELECT {', '.join(KEYS + cols)} FROM cfeat"
 
     @register(name, dbl=cols, sql=sql)
     def q(spark, sf_dir):
-        return frame(spark, sf_dir).select(*KEYS, *cols)
+        return _columns(spark, sf_dir, cols)
     return q
 
 

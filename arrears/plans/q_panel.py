@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arrears.functions import columns as C
 from arrears.operators.reports import one_row_join
-from arrears.plans.oracle_base import (CLEAN_PROPERTY_ROWS, LOAN_MONTH_PANEL, RAW_PROPERTY_ROWS,
+from arrears.plans.oracle_base import (CLEAN_PROPERTY_ROWS, D, LOAN_MONTH_PANEL, RAW_PROPERTY_ROWS,
                                        serial_text_sql, with_, zip_sql)
 from arrears.plans.registry import register
 from arrears.sources import panel as P
@@ -179,6 +179,29 @@ def loan_uid(spark, sf_dir):
                                      F.countDistinct("report_period").alias("n_months"))
 
 
+IO_TEXT, TERM_TEXT = "{} % 7 = 3", "{} % 11 = 5"      # line numbers and part keys of rows whose number is text
+
+
+@register("payment_type_lenient", sql=with_(CLEAN_PROPERTY_ROWS) + f"""
+, texts AS (SELECT is_io, CASE WHEN {IO_TEXT.format('row_order.l')} THEN 'n/a' ELSE CAST(io_term_months AS VARCHAR) END AS io_text,
+                   CASE WHEN {TERM_TEXT.format('row_order.p')} THEN 'x' ELSE CAST(original_term AS VARCHAR) END AS term_text FROM props),
+nums AS (SELECT *, COALESCE(TRY_CAST(io_text AS DOUBLE), 0) AS io, COALESCE(TRY_CAST(term_text AS DOUBLE), 0) AS term FROM texts)
+SELECT io_text = 'n/a' AS io_bad, term_text = 'x' AS term_bad,
+       CASE WHEN io_text = 'n/a' OR term_text = 'x' THEN 'Other'
+            WHEN is_io OR (io > 0 AND term > 0 AND io >= term * {D(C.IO_SHARE_OF_TERM)}) THEN 'Interest-Only'
+            WHEN io > 0 THEN 'Partial IO' ELSE 'Amortizing' END AS payment_type,
+       CAST(count(*) AS BIGINT) AS n
+FROM nums GROUP BY ALL""")
+def payment_type_lenient(spark, sf_dir):
+    """Without a payment type column, numbers that cannot be read give 'Other'."""
+    r = P.property_rows(spark, sf_dir)
+    io = F.when(F.expr(IO_TEXT.format("row_order.l_linenumber")), "n/a").otherwise(F.col("io_term_months").cast("string"))
+    term = F.when(F.expr(TERM_TEXT.format("row_order.l_partkey")), "x").otherwise(F.col("original_term").cast("string"))
+    t = r.select("is_io", io.alias("io"), term.alias("term"))
+    return t.select((F.col("io") == "n/a").alias("io_bad"), (F.col("term") == "x").alias("term_bad"),
+                    C.payment_type_lenient("is_io", "io", "term").alias("payment_type")).groupBy("io_bad", "term_bad", "payment_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("payment_type", sql=with_(CLEAN_PROPERTY_ROWS) + """
 SELECT DISTINCT asset_number, is_io, io_term_months, original_term, payment_type FROM props""",
           dbl=["io_term_months", "original_term"])

@@ -28,6 +28,13 @@ FEED_SCHEMA = ("asset_number long, period string, property_type string, state st
                "default_prob_6m double, risk_tier string, tier_rank int")
 
 
+def _feed(spark, sf_dir):
+    from arrears.plans.q_metrics import scored
+    return T.risk_feed(scored(spark, sf_dir), "score", ("asset_number", "period")).select(
+        "asset_number", "period", "property_type", "state", "orig_amount",
+        F.col("score").alias("default_prob_6m"), "risk_tier", "tier_rank")
+
+
 @register("risk_feed_csv", dbl={"default_prob_6m": 9, "orig_amount": 6}, sql=with_(SCORED_SQL) + f"""
 SELECT asset_number, period, property_type, state, orig_amount, score AS default_prob_6m,
        {_tier_sql('score', 'rgb')} AS risk_tier,
@@ -35,14 +42,22 @@ SELECT asset_number, period, property_type, state, orig_amount, score AS default
             AS BIGINT) AS tier_rank
 FROM scored""")
 def risk_feed_csv(spark, sf_dir):
-    from arrears.plans.q_metrics import scored
-    feed = T.risk_feed(scored(spark, sf_dir), "score", ("asset_number", "period")).select(
-        "asset_number", "period", "property_type", "state", "orig_amount",
-        F.col("score").alias("default_prob_6m"), "risk_tier", "tier_rank")
-    path = K.write_risk_feed(feed, K.fresh_path(spark, "risk_feed"))
+    path = K.write_risk_feed(_feed(spark, sf_dir), K.fresh_path(spark, "risk_feed"))
     return spark.read.schema(FEED_SCHEMA).option("header", True).csv(path)
 
 
+def feed_order():
+    return [F.col("tier_rank"), -F.col("default_prob_6m"), F.col("asset_number"), F.col("period")]
+
+
+@register("risk_feed_order", sql=with_(SCORED_SQL) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS inside_parts, CAST(0 AS BIGINT) AS between_parts FROM scored""")
+def risk_feed_order(spark, sf_dir):
+    """K2: the written feed's rows stand in feed order, inside parts and from part to part."""
+    path = K.write_risk_feed(_feed(spark, sf_dir), K.fresh_path(spark, "risk_feed"))
+    return K.order_inversions(spark, path, FEED_SCHEMA, feed_order()).drop("n_parts")
+
+
 @register("run_metrics", dbl=["auroc", "average_precision", "best_threshold", "precision_at_half",
                               "recall_at_half", "f1_at_half"], sql=with_(SCORED_SQL) + """
 , a AS (SELECT sum(pos * (cum_neg - neg + neg / 2.0)) / (sum(pos) * sum(neg)) AS auroc

@@ -79,5 +79,5 @@ def oracle(name: str) -> str | None:
 def load_all() -> None:
     # Importing the plan modules fills REGISTRY.
     from arrears.plans import (  # noqa: F401
-        flagship, q_panel, q_windows, q_macro, q_reports, q_features, q_loanperiod, q_splits, q_metrics, q_models, q_sinks, q_attribution, q_sampling,
+        flagship, q_panel, q_windows, q_macro, q_reports, q_features, q_loanperiod, q_splits, q_metrics, q_models, q_sinks, q_attribution, q_sampling, q_series,
     )
