@@ -1,16 +1,21 @@
 """Joining lagged macro series onto the loan panel.
 
-Macro series hold one row per calendar month (or month x state), so they
-are broadcast; the loan panel never moves for these joins.  The as-of join
-is resolved on the distinct months of the panel first (a calendar-sized
-spine) and then applied as an equi-join.
+Macro series hold one row per calendar month (or month x state). They are
+written, counted, and broadcast if they are as small as that, so that the loan
+panel does not move for these joins; a larger side is left to the planner. The
+as-of join is resolved on the distinct times of the panel first and then applied
+as an equi-join.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arrears.sources.scratch import BROADCAST_ROWS, small_side, written
+
 MACRO_LAG = 3
 
 
@@ -25,13 +30,16 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, values: list[str])
     return asof_backward_all(left, [(right, values)], on)
 
 
-def asof_backward_all(left: DataFrame, series: list[tuple[DataFrame, list[str]]], on: str) -> DataFrame:
+def asof_backward_all(left: DataFrame, series: list[tuple[DataFrame, list[str]]], on: str,
+                      rows_per_range: int = BROADCAST_ROWS) -> DataFrame:
     """``asof_backward`` for several (series, value columns) at once.
 
-    Resolution runs on the distinct ``on`` values of ``left`` unioned with
-    all series (calendar-sized), ordered by (time, side) so that equal times
-    match; the one resolved table is broadcast back onto ``left``, which is
-    read once for its times and once for the join, however many series."""
+    Resolution runs on the distinct ``on`` values of ``left`` unioned with all
+    series, ordered by (time, side) so that equal times match. These rows are cut
+    into ranges of time; the last row of each series in a range is carried over
+    its edge to the ranges after it. The one resolved table joins back onto
+    ``left``, which is read once for its times and once for the join, however
+    many series."""
     types = [payload_type(df, values) for df, values in series]
 
     def side(df: DataFrame, k: int | None) -> DataFrame:
@@ -41,11 +49,25 @@ def asof_backward_all(left: DataFrame, series: list[tuple[DataFrame, list[str]]]
     u = side(left.select(on).distinct(), None)
     for i, (df, _) in enumerate(series):
         u = u.unionByName(side(df, i))
-    w = Window.orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    hits = u.select(on, "_side", *[F.last(f"_m{i}", ignorenulls=True).over(w).alias(f"_m{i}") for i in range(len(series))])
+    u = written(left.sparkSession, u, "asof")
+    n = u.count()
+    marks = [f"_m{i}" for i in range(len(series))]
+    ranges = max(1, math.ceil(n / rows_per_range))
+    if ranges == 1:
+        w = Window.partitionBy(F.lit(0)).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        hits = u.select(on, "_side", *[F.last(m, ignorenulls=True).over(w).alias(m) for m in marks])
+    else:
+        cut = written(left.sparkSession, u.repartitionByRange(ranges, on).withColumn("_range", F.spark_partition_id()), "asof-ranges")
+        at = F.struct(on, "_side")
+        ends = cut.groupBy("_range").agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), at)).alias(m) for m in marks])
+        before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)     # one row per range
+        carried = small_side(ends.select("_range", *[F.last(m, ignorenulls=True).over(before).alias(f"{m}_before") for m in marks]), "asof-carried")
+        w = Window.partitionBy("_range").orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        local = cut.select("_range", on, "_side", *[F.last(m, ignorenulls=True).over(w).alias(m) for m in marks])
+        hits = local.join(carried, "_range", "left").select(on, "_side", *[F.coalesce(m, f"{m}_before").alias(m) for m in marks])
     resolved = hits.where(F.col("_side") == 1).select(
         on, *[F.col(f"_m{i}.{v}").alias(v) for i, (_, values) in enumerate(series) for v in values])
-    return left.join(F.broadcast(resolved), on, "left")
+    return left.join(F.broadcast(resolved) if n <= BROADCAST_ROWS else resolved, on, "left")
 
 
 def one_row_per_key(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,12 +89,12 @@ def exact_month_join(left: DataFrame, macro: DataFrame, left_key: str, macro_key
                      extra_keys: list[tuple[str, str]] | None = None) -> DataFrame:
     """Left equi-join on month (and more keys); months missing stay NULL.
     The macro side has one row per key (checked in the plan)."""
-    macro = one_row_per_key(macro, [macro_key] + [mk for _, mk in extra_keys or []])
+    macro = small_side(one_row_per_key(macro, [macro_key] + [mk for _, mk in extra_keys or []]), "macro")
     cond = left[left_key] == macro[macro_key]
     for lk, mk in extra_keys or []:
         cond = cond & (left[lk] == macro[mk])
     drop = [macro[macro_key]] + [macro[mk] for _, mk in extra_keys or []]
-    out = left.join(F.broadcast(macro), cond, "left")
+    out = left.join(macro, cond, "left")
     for d in drop:
         out = out.drop(d)
     return out
@@ -82,8 +104,8 @@ def state_with_fallback(panel: DataFrame, state_series: DataFrame, on: str, stat
                         series_state: str, value: str, fallback: str) -> DataFrame:
     """State value for (month, state), or the national value where absent.
     The series has one row per (month, state) (checked in the plan)."""
-    s = one_row_per_key(state_series.withColumnRenamed(on, "_on").withColumnRenamed(value, "_v"), ["_on", series_state])
-    j = panel.join(F.broadcast(s), (panel[on] == s["_on"]) & (panel[state_col] == s[series_state]), "left")
+    s = small_side(one_row_per_key(state_series.withColumnRenamed(on, "_on").withColumnRenamed(value, "_v"), ["_on", series_state]), "state-macro")
+    j = panel.join(s, (panel[on] == s["_on"]) & (panel[state_col] == s[series_state]), "left")
     return j.withColumn(value, F.coalesce(F.col("_v"), F.col(fallback))) \
             .drop("_on", "_v", s[series_state])
 

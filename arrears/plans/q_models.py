@@ -1,7 +1,7 @@
 """Model jobs: scores, comparison, importance.
 
-Scores of a trained model have no SQL oracle; ``attribution_audit`` checks
-what must hold for any model (model A) against SQL counts."""
+Scores of a trained model have no SQL oracle; ``model_audit`` and
+``attribution_audit`` check what must hold for any model against SQL counts."""
 
 from __future__ import annotations
 
@@ -13,10 +13,11 @@ from arrears.operators import metrics as MT
 from arrears.operators import models as MD
 from arrears.operators import splits as S
 from arrears.plans.q_features import frame as c_frame
-from arrears.plans.q_splits import cohort_parts
+from arrears.plans.oracle_base import with_
+from arrears.plans.q_splits import COHORT_SQL, CSPLIT_SQL, cohort_parts
 from arrears.plans.registry import register
 from arrears.sources.cohort import COHORT_FEATURES
-from arrears.sources.scratch import written
+from arrears.sources.scratch import fresh_path, written
 
 CUT = FE.FIXTURE.cutoff
 FEATS = FE.ALL_FEATURES
@@ -93,29 +94,63 @@ def _metrics_row(scored, label):
     return a, p
 
 
-@register("model_comparison")
-def model_comparison(spark, sf_dir):
-    """Reference rows, models A, B (oversampled) and C on one prepared split,
-    and the lifecycle model; AUROC and PR-AUC with the gap to the old baseline."""
+NAMES = {"A": "A: boosted trees, 70 features", "B": "B: boosted trees + oversampling, 70 features",
+         "C": "C: leaf-wise boosted trees, 70 features", "lifecycle": "lifecycle (ever-default), model C settings"}
+
+
+def six_month_and_lifecycle(spark, sf_dir):
+    """Models A, B (oversampled), C and the lifecycle model on one prepared
+    matrix: name -> (model, test rows, label). The lifecycle model reuses the
+    six-month medians."""
     from arrears.operators import sampling as SM
-    rows = [(name, auc, ap, None) for name, auc, ap in MD.REFERENCE_ROWS]
     frame = c_frame(spark, sf_dir)
     train, test, med = c_model_data(spark, sf_dir, frame=frame)
-    fits = [("A: boosted trees, 70 features", train, MD.MODEL_A),
-            ("C: boosted trees, depth 6, 70 features", train, MD.MODEL_C)]
     synth = SM.oversample(spark, train.where(~F.col("_is_val")), FEATS, "label_6m", KEYS, 0.1, 5, 42)
     balanced = train.select(*FEATS, "label_6m", "_is_val").unionByName(
         synth.select(*FEATS, "label_6m").withColumn("_is_val", F.lit(False)))
-    fits.insert(1, ("B: boosted trees + oversampling, 70 features", balanced, MD.MODEL_A))
-    for name, data, params in fits:
-        model = MD.fit(spark, data, FEATS, "label_6m", params)
-        auc, ap = _metrics_row(B.score(spark, model, test), "label_6m")
-        rows.append((name, auc, ap, (auc - MD.BASELINE_AUROC) * 100.0))
     ltrain, ltest, _ = c_model_data(spark, sf_dir, "label_ever", med, frame)
-    lmodel = MD.fit(spark, ltrain, FEATS, "label_ever", MD.MODEL_C)
-    la, lp = _metrics_row(B.score(spark, lmodel, ltest), "label_ever")
-    rows.append(("lifecycle (ever-default), model C settings", la, lp, (la - MD.BASELINE_AUROC) * 100.0))
-    by = {name[:2]: (auc, ap) for name, auc, ap, _ in rows}
-    for name, x, y in (("gap: C - A", "C:", "A:"), ("gap: lifecycle - C", "li", "C:")):
-        rows.append((name, by[x][0] - by[y][0], by[x][1] - by[y][1], (by[x][0] - by[y][0]) * 100.0))
-    return spark.createDataFrame(rows, "model string, auroc double, pr_auc double, auroc_vs_baseline_pp double")
+    return {"A": (MD.fit(spark, train, FEATS, "label_6m", MD.MODEL_A), test, "label_6m"),
+            "B": (MD.fit(spark, balanced, FEATS, "label_6m", MD.MODEL_A), test, "label_6m"),
+            "C": (MD.fit(spark, train, FEATS, "label_6m", MD.MODEL_C), test, "label_6m"),
+            "lifecycle": (MD.fit(spark, ltrain, FEATS, "label_ever", MD.MODEL_C), ltest, "label_ever")}
+
+
+@register("model_comparison")
+def model_comparison(spark, sf_dir):
+    """Reference rows, models A, B, C and the lifecycle model: AUROC and PR-AUC,
+    the gap to the old baseline, rounds looked at and the best one."""
+    rows = [(name, auc, ap, None, None, None) for name, auc, ap in MD.REFERENCE_ROWS]
+    by = {}
+    for name, (model, test, label) in six_month_and_lifecycle(spark, sf_dir).items():
+        auc, ap = by[name] = _metrics_row(B.score(spark, model, test), label)
+        rows.append((NAMES[name], auc, ap, (auc - MD.BASELINE_AUROC) * 100.0, model.rounds_fitted, model.best_round))
+    for gap, x, y in (("gap: C - A", "C", "A"), ("gap: lifecycle - C", "lifecycle", "C")):
+        rows.append((gap, by[x][0] - by[y][0], by[x][1] - by[y][1], (by[x][0] - by[y][0]) * 100.0, None, None))
+    return spark.createDataFrame(rows, "model string, auroc double, pr_auc double, auroc_vs_baseline_pp double, rounds_fitted int, best_round int")
+
+
+def _audit_sql(model: str, keys: str, label: str, source: str) -> str:
+    return f"""SELECT {model} AS model, n_rows, n_positive, n_keys, n_rows AS n_in_range, n_rows AS n_same_again
+FROM (SELECT count(*) AS n_rows, CAST(sum({label}) AS BIGINT) AS n_positive, count(DISTINCT ({keys})) AS n_keys FROM {source})"""
+
+
+@register("model_audit", sql=with_(CSPLIT_SQL + "," + COHORT_SQL) + " UNION ALL ".join((
+    _audit_sql("unnest(['A', 'B', 'C'])", "asset_number, period", "label_6m", "csplit WHERE split = 'test'"),
+    _audit_sql("'lifecycle'", "asset_number, period", "label_ever", f"cfeat WHERE label_ever IS NOT NULL AND period >= '{CUT}'"),
+    _audit_sql("'cohort'", "ac_key, report_period", "target", "cparts WHERE part = 'test'"))))
+def model_audit(spark, sf_dir):
+    """Every test row of each model is scored once, inside (0, 1),
+    with its own label, and alike by the model written and read back."""
+    fits = {name: (*f, KEYS) for name, f in six_month_and_lifecycle(spark, sf_dir).items()}
+    train, test, feats = cohort_model_data(spark, sf_dir)
+    fits["cohort"] = (MD.fit(spark, train, feats, "target", MD.MODEL_COHORT), test, "target", ["ac_key", "report_period"])
+    out = None
+    for name, (model, rows, label, keys) in fits.items():
+        path = fresh_path(spark, f"model-{name}")
+        B.save(spark, model, path)
+        both = B.score(spark, B.load(spark, path), B.score(spark, model, rows), "again")
+        one = both.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(label).cast("long").alias("n_positive"), F.count_distinct(*keys).alias("n_keys"),
+                       F.count_if((F.col("pred_proba") > 0) & (F.col("pred_proba") < 1)).alias("n_in_range"),
+                       F.count_if(F.col("pred_proba") == F.col("again")).alias("n_same_again")).select(F.lit(name).alias("model"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -43,3 +43,19 @@ def test_fact_tables_are_not_read_over_and_over(spark):
     assert _scans(q["validation_carve"](spark, SMALL), "o_custkey") == 1
     # the panel, and its months for all three series at once
     assert _scans(q["asof_macro"](spark, SMALL), "l_orderkey|l_partkey") == 2
+
+
+def test_plans_do_not_depend_on_earlier_queries(spark):
+    from __spark_entry__ import queries
+    q = queries()
+    for name in ("pr_curve", "auroc", "validation_carve", "train_medians", "smote_balance"):
+        q[name](spark, SMALL).count()
+        assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0, name
+    assert _scans(q["tier_distribution"](spark, SMALL), "l_orderkey|l_partkey") == 1
+
+
+def test_feature_slices_prepare_only_what_they_need(spark):
+    """Slices of the matrix write nothing and read the panel once."""
+    from __spark_entry__ import queries
+    plan = _plan(queries()["stress_flags"](spark, SMALL))
+    assert "Scan ExistingRDD" not in plan and len(re.findall(r"FileScan parquet \[[^\]]*(?:l_orderkey|l_partkey)", plan)) == 1
