@@ -6,12 +6,12 @@ inside each range and the sums of the ranges before it give the running sums.
 Ranges grow in number with the data; if there are too many for one task, their
 sums are run up by the same operator, level by level.
 
-``wide_quantiles`` finds exact quantiles of many columns at once. A sketch of
-all columns in one aggregation gives each a bracket around the wanted rank, a
-second aggregation counts exactly what lies below, at and inside the brackets.
-Brackets that still hold too many values are narrowed again. Only values inside
-the last brackets move. Sketches decide how much work is left, counts decide
-the result.
+``wide_quantiles`` finds exact quantiles of many columns at once. Sketches of
+all columns give each a bracket around the wanted rank, a second aggregation
+counts exactly what lies below, at and inside the brackets. Both are combined in
+each task, so a sketch or a few counts per column move. Brackets that still hold
+too many values are narrowed again; only values inside the last ones move.
+Sketches decide how much work is left, counts decide the result.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ ROWS_PER_RANGE = 500_000        # distinct values that one window sorts (about)
 RANGES_AT_ONCE = 65_536         # range sums that one window runs up
 INSIDE = 100_000                # values of a bracket that move (about)
 ACCURACY = 1000                 # of the sketch: rank error at most 1 / ACCURACY
+GRID = 256                      # its quantiles that are asked for
 
 
 # ---------------------------------------------------------------- running sums
@@ -74,22 +75,14 @@ class _Bracket:
     margin: float = 2.0 / ACCURACY
     found: dict[int, float] = field(default_factory=dict)
 
-    def inside(self, x: Column) -> Column:
-        ok = x.isNotNull()
-        if self.lo is not None:
-            ok &= x > F.lit(self.lo)
-        if self.hi is not None:
-            ok &= x < F.lit(self.hi)
-        return ok
-
     @property
     def open(self) -> list[int]:
         return [r for r in self.ranks if r not in self.found]
 
-    def wanted(self) -> list[float]:
-        """Quantiles of the inside values just below and above the open ranks."""
-        low, high = min(self.open) - self.base, max(self.open) - self.base
-        return [max(0.0, low / self.n - self.margin), min(1.0, (high + 1) / self.n + self.margin)]
+    def ends(self, grid: list[float]) -> tuple[float, float]:
+        """Points of the grid below and above the open ranks."""
+        low, high = (min(self.open) - self.base) / self.n, (max(self.open) + 1 - self.base) / self.n
+        return grid[max(0, math.floor((low - self.margin) * GRID))], grid[min(GRID, math.ceil((high + self.margin) * GRID))]
 
     def narrow(self, a: float, b: float, below: int, at_a: int, between: int, at_b: int) -> None:
         """Counts of inside values around a and b decide where the ranks lie."""
@@ -108,51 +101,58 @@ class _Bracket:
             self.margin *= 8                 # the sketch was off: look wider
 
 
-def _value(c: str) -> Column:
-    x = F.col(c).cast("double")
-    return F.when(~F.isnan(x), x)
+def _values(df: DataFrame, cols: list[str], of: dict[int, _Bracket]) -> DataFrame:
+    """(i, x): the values of the columns in ``of`` that lie inside their brackets."""
+    def bound(name: str) -> Column:
+        return F.lit([getattr(of[i], name) if i in of else None for i in range(len(cols))] if any(getattr(b, name) is not None for b in of.values()) else [None]).cast("array<double>")
+    items = F.array(*[F.struct(F.lit(i).alias("i"), F.col(cols[i]).cast("double").alias("x")) for i in of])
+    x, lo, hi = F.col("e.x"), F.get(bound("lo"), F.col("e.i")), F.get(bound("hi"), F.col("e.i"))
+    ok = x.isNotNull() & ~F.isnan(x) & (lo.isNull() | (x > lo)) & (hi.isNull() | (x < hi))
+    return df.select(F.explode(items).alias("e")).where(ok).select("e.i", "e.x")
+
+
+def _sketch(values: DataFrame) -> dict[int, tuple[int, list[float]]]:
+    """Per column (a row each) the number of values and the grid of quantiles."""
+    probs = [k / GRID for k in range(GRID + 1)]
+    return {r["i"]: (r["n"], r["q"]) for r in values.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("x", probs, ACCURACY).alias("q")).collect()}
 
 
 def wide_quantiles(df: DataFrame, cols: list[str], q: float, inside: int = INSIDE) -> dict[str, float | None]:
     """Linear-interpolated quantile (pandas/NumPy 'linear' rule) of each
     column's values; NULL and NaN are no values; None for a column without any."""
-    counts = df.agg(*[F.count(_value(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    todo: dict[int, _Bracket] = {}
-    for i in range(len(cols)):
-        if n := counts[f"n{i}"]:
-            pos = q * (n - 1)
-            todo[i] = _Bracket(sorted({math.floor(pos), math.ceil(pos)}), n)
+    every = {i: _Bracket([], 0) for i in range(len(cols))}
+    seen = _sketch(_values(df, cols, every))
+    grids = {i: grid for i, (_, grid) in seen.items()}
+    total = {i: n for i, (n, _) in seen.items()}
+    todo = {i: _Bracket(sorted({math.floor(q * (n - 1)), math.ceil(q * (n - 1))}), n) for i, n in total.items()}
     while wide := {i: b for i, b in todo.items() if b.open and b.n > inside}:
-        sketch = df.agg(*[F.percentile_approx(F.when(b.inside(_value(cols[i])), _value(cols[i])), b.wanted(), ACCURACY).alias(f"q{i}") for i, b in wide.items()]).first()
-        ends = {i: sketch[f"q{i}"] for i in wide}
-        aggs = []
-        for i, b in wide.items():
-            x, (lo, hi) = _value(cols[i]), ends[i]
-            aggs += [F.count_if(b.inside(x) & (x < F.lit(lo))).alias(f"a{i}"), F.count_if(b.inside(x) & (x == F.lit(lo))).alias(f"b{i}"),
-                     F.count_if((x > F.lit(lo)) & (x < F.lit(hi))).alias(f"c{i}"), F.count_if(b.inside(x) & (x == F.lit(hi))).alias(f"d{i}")]
-        got = df.agg(*aggs).first()
-        for i, b in wide.items():
-            b.narrow(*ends[i], *(got[f"{k}{i}"] for k in "abcd"))
+        if not grids:
+            grids = {i: grid for i, (_, grid) in _sketch(_values(df, cols, wide)).items()}
+        ends = {i: b.ends(grids[i]) for i, b in wide.items()}
+        a, b = (F.get(F.lit([ends[i][k] if i in ends else None for i in range(len(cols))]).cast("array<double>"), F.col("i")) for k in (0, 1))
+        zone = F.when(F.col("x") < a, 0).when(F.col("x") == a, 1).when(F.col("x") < b, 2).when(F.col("x") == b, 3).otherwise(4)
+        counts = dict.fromkeys(((i, z) for i in wide for z in range(5)), 0)
+        # five rows a column
+        counts.update({(r["i"], r["zone"]): r["n"] for r in _values(df, cols, wide).groupBy("i", zone.alias("zone")).agg(F.count(F.lit(1)).alias("n")).collect()})
+        for i, bracket in wide.items():
+            bracket.narrow(*ends[i], *(counts[i, z] for z in range(4)))
+        grids = {}
     left = {i: b for i, b in todo.items() if b.open}
     if left:
-        # only values inside brackets become rows; equal ones are counted before they move
-        items = F.array(*[F.when(b.inside(_value(cols[i])), F.struct(F.lit(i).alias("i"), _value(cols[i]).alias("x"))) for i, b in left.items()])
-        ties = df.select(F.explode(F.filter(items, lambda e: e.isNotNull())).alias("e")).groupBy("e.i", "e.x").agg(F.count(F.lit(1)).alias("n"))
+        # equal values are counted before they move
+        ties = _values(df, cols, left).groupBy("i", "x").agg(F.count(F.lit(1)).alias("n"))
         run = Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
         upto = ties.withColumn("upto", F.sum("n").over(run))
-        hit = F.lit(False)
-        for i, b in left.items():
-            for r in b.open:
-                at = r - b.base
-                hit |= (F.col("i") == i) & (F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)
-        for r in upto.where(hit).collect():             # two rows a column at most
+        ranks = F.get(F.lit([[r - left[i].base for r in left[i].open] if i in left else [] for i in range(len(cols))]).cast("array<array<bigint>>"), F.col("i"))
+        hit = upto.where(F.exists(ranks, lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)))
+        for r in hit.collect():                         # two rows a column at most
             b = left[r["i"]]
             for k in b.open:
                 if r["upto"] - r["n"] <= k - b.base < r["upto"]:
                     b.found[k] = r["x"]
     out: dict[str, float | None] = dict.fromkeys(cols)
     for i, b in todo.items():
-        pos = q * (counts[f"n{i}"] - 1)
+        pos = q * (total[i] - 1)
         lo, hi = b.found[math.floor(pos)], b.found[math.ceil(pos)]
         out[cols[i]] = lo + (hi - lo) * (pos - math.floor(pos))
     return out
