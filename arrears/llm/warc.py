@@ -202,12 +202,12 @@ def _scan_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_file(files: DataFrame) -> DataFrame:
     """Files spread over tasks, a few to each."""
     n = files.count()
-    return files.select("file").repartition(max(1, min(n, 20_000)), "file")
+    return files.repartition(max(1, min(n, 20_000)), "file")
 
 
 def scan_arc(s: Scratch, files: DataFrame) -> DataFrame:
     """One row per record of the ARC files (column ``file``)."""
-    return s.write(_by_file(files).mapInArrow(_scan_arc, RECORD), "arc-records")
+    return s.write(_by_file(files.select("file")).mapInArrow(_scan_arc, RECORD), "arc-records")
 
 
 # --- WARC ----------------------------------------------------------------
@@ -240,7 +240,7 @@ def convert_file(file: str, revisits: dict[int, tuple], folder: str) -> tuple[st
                      ("Content-Type", "application/http; msgtype=response" if head else fields["Content-type"])]
             if i in revisits:
                 other, number, key = revisits[i]
-                known = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(other, number)),
+                known = [("WARC-Type", "revisit"), ("WARC-Profile", PROFILE), ("X-Payload-Length", str(len(payload))), ("WARC-Refers-To", record_id(other, number)),
                          *([("X-Refers-To-Key", str(key))] if key is not None else []), *known]
                 block = [head]
             else:
@@ -252,10 +252,12 @@ def convert_file(file: str, revisits: dict[int, tuple], folder: str) -> tuple[st
 
 
 def _convert(folder: str):
-    def run(files: pa.Table, revisits: pa.Table) -> pa.Table:
-        again = dict(zip(revisits.column("ord").to_pylist(), zip(*(revisits.column(c).to_pylist() for c in ("to_file", "to_ord", "to_key")))))
-        done = [convert_file(f, again, folder) for f in files.column("file").to_pylist()]
-        return pa.table({"file": pa.array([d[0] for d in done], pa.string()), "n_records": pa.array([d[1] for d in done], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                again = {r["ord"]: (r["to_file"], r["to_ord"], r["to_key"]) for r in row["again"] or []}
+                uri, n = convert_file(row["file"], again, folder)
+                yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([n], pa.int64())], names=["file", "n_records"])
     return run
 
 
@@ -267,8 +269,10 @@ def convert(s: Scratch, files: DataFrame, least: int = 0) -> DataFrame:
         F.max(place).alias("to"), F.count("*").alias("n")).where("n > 1").select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), "to"), "copies")
     revisits = records.join(copies, (records["payload_digest"] == copies["d"]) & (records["payload_bytes"] == copies["b"])).where(
         "not (file = to.file and ord = to.ord)").select("file", "ord", F.col("to.file").alias("to_file"), F.col("to.ord").alias("to_ord"), F.col("to.key").alias("to_key"))
-    done = files.select("file").groupBy("file").cogroup(revisits.groupBy("file")).applyInArrow(_convert(s.path("warc")), MANIFEST)
-    return s.write(done, "warc-manifest")
+    # a file's revisits are at most its records; the files are then spread over tasks by number
+    again = revisits.groupBy("file").agg(F.collect_list(F.struct("ord", "to_file", "to_ord", "to_key")).alias("again"))
+    todo = s.write(files.select("file").join(again, "file", "left"), "revisits")
+    return s.write(_by_file(todo).mapInArrow(_convert(s.path("warc")), MANIFEST), "warc-manifest")
 
 
 def parse_warc(src: io.BufferedReader, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -303,7 +307,7 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     head, payload, http = split_http(block)
                     stated = fields["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "revisit":
-                        size = int(http.get("content-length", -1))
+                        size = int(fields.get("x-payload-length", http.get("content-length", -1)))
                     else:
                         size = len(payload)
                         if digest(payload) != stated:
@@ -316,7 +320,7 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_warc(files: DataFrame) -> DataFrame:
     """One row per record of the WARC files (column ``file``), warcinfo aside."""
-    return _by_file(files).mapInArrow(_read_warc, READ)
+    return _by_file(files.select("file")).mapInArrow(_read_warc, READ)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
