@@ -73,8 +73,11 @@ def paths(s: Scratch, messages: DataFrame) -> DataFrame:
         s.drop(f"paths{i}", *([f"up{i}"] if i else []))
         found, up = found_next, up_next
         step, i = step * 2, i + 1
-    # a member more than ``longest`` steps away can only be met by going round a cycle
-    return found.where(F.col("dist") < max(longest, 1))
+    # a leaf whose way up runs into a cycle never meets a message without parent, and has no path
+    roots = s.spark.read.schema(up.schema).parquet(s.path("up0")).where("up is null").select(F.col("conv_id").alias("rc"), F.col("msg").alias("rm"))
+    whole = found.join(roots, found["conv_id"].eqNullSafe(roots["rc"]) & (found["msg"] == roots["rm"]), "left_semi").select(
+        F.col("conv_id").alias("wc"), F.col("leaf").alias("wl"))
+    return found.join(whole, found["conv_id"].eqNullSafe(whole["wc"]) & (found["leaf"] == whole["wl"]), "left_semi")
 
 
 def format_trees(spark: SparkSession, messages: DataFrame, best: int | None = 1) -> DataFrame:
