@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arrears.llm.store import prepare
+from arrears.llm.store import free_name, prepare
 from arrears.llm.text import LOWER, buffers, slices
 
 WINDOW = 128
@@ -36,6 +36,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 12
 PER_CLASS = 500
 PER_TEXT = 6
+MARGIN = 2                   # of PER_CLASS expected under it; fewer than PER_CLASS has a chance below 10**-50
 MAX_CLASSES = 500
 EPOCHS = 10
 BATCH = 64
@@ -207,19 +208,25 @@ def train(spark: SparkSession, docs: DataFrame, per_class: int = PER_CLASS) -> B
         raise ValueError(f"more than {MAX_CLASSES} languages to learn")
     if not classes:
         return None
+    # only keys under a margin of each language's number come to its ranking: some
+    # MARGIN * per_class of them, however many the language has
+    keys = rows.select("lang", "key").distinct()
+    number = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(1 << 63))), 11) / float(1 << 53)       # rises with the key
+    near = keys.join(F.broadcast(number), "lang").where(share * F.col("n") <= MARGIN * per_class)           # at most MAX_CLASSES rows
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = rows.select("lang", "key").distinct().withColumn("at", place).where(F.col("at") <= per_class).select("lang", "key")
+    chosen = near.withColumn("at", place).where(F.col("at") <= per_class).select("lang", "key")
     # at most per_class * MAX_CLASSES rows of 8 bytes and a code
     picked = rows.join(F.broadcast(chosen), ["lang", "key"]).select("key", "lang", "text")
     windows = picked.mapInArrow(_spread, "key bigint, lang string, nth int, window binary").dropDuplicates(["key", "lang", "nth"])
     return pickle.loads(windows.groupBy().applyInArrow(_train, "model binary").first()["model"])
 
 
-def predict(spark: SparkSession, docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """``docs`` with lang_pred and score; other columns stay as they are."""
+def predict(spark: SparkSession, docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and its score under ``names``; other columns stay as they are."""
     has = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return docs.withColumns({names[0]: F.lit("und"), names[1]: F.lit(0.0)})
     prepare(spark)
     sent = spark.sparkContext.broadcast(net)
 
@@ -237,10 +244,11 @@ def predict(spark: SparkSession, docs: DataFrame, net: ByteNet | None) -> DataFr
             yield pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(np.concatenate(score) if score else [], pa.float64())],
                                              names=["lang_pred", "score"])
 
-    out = docs.withColumn("_judged", judged(F.col("text").cast("string")))
+    both = free_name(docs, "_judged")
+    out = docs.withColumn(both, judged(F.col("text").cast("string")))
     return out.withColumns({
-        "lang_pred": F.when(has, F.col("_judged.lang_pred")).otherwise(F.lit("und")),
-        "score": F.when(has, F.col("_judged.score")).otherwise(F.lit(0.0))}).drop("_judged")
+        names[0]: F.when(has, F.col(f"{both}.lang_pred")).otherwise(F.lit("und")),
+        names[1]: F.when(has, F.col(f"{both}.score")).otherwise(F.lit(0.0))}).drop(both)
 
 
 def language_id(spark: SparkSession, docs: DataFrame) -> DataFrame:

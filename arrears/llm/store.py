@@ -37,6 +37,14 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
