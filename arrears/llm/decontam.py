@@ -10,8 +10,9 @@ folder, so a lost executor costs one block.
 keeps the windows whose terms are all present, takes each window's terms from
 the rarest of the corpus on, and intersects posting lists shifted by the
 term's offset in the window, until nothing is left or every term agrees. With
-``slop`` above 0 a term may stand up to that many words off its place
-(proximity matches); 0 gives exact phrases.
+``slop`` above 0 every other term may stand up to that many words off its place
+beside the rarest one, inside the same document (proximity matches); 0 gives
+exact phrases.
 
 The benchmark is a stated query set. It is sent in chunks of at most
 ``CHUNK_TERMS`` window terms; a larger benchmark is more chunks, one pass over
@@ -33,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arrears.llm.store import Scratch
+from arrears.llm.store import Scratch, free_name
 from arrears.llm.text import ALNUM, buffers, slices, words
 
 WINDOW = 10
+SLOP = 1
 CHUNK_TERMS = 4_000_000      # 8 bytes each: at most 32 MB are sent to the executors at once
 
 INDEX_SCHEMA = "block string, ids array<bigint>, firsts binary, terms binary, counts binary, positions binary"
-MATCH_SCHEMA = "block string, ord int, item_id bigint, start bigint, length int"
+MATCH_SCHEMA = "block string, ord int, item_id bigint, start bigint, length int, exact boolean"
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,12 +104,12 @@ def _frequency_task(vocabulary):
     return run
 
 
-def _shifted(starts: np.ndarray, postings: np.ndarray, offset: int, slop: int) -> np.ndarray:
-    """The starts at which the term stands at ``offset``, up to ``slop`` words off."""
-    lo = np.searchsorted(postings, starts + (offset - slop))
-    ok = lo < len(postings)
-    ok[ok] = postings[lo[ok]] <= starts[ok] + (offset + slop)
-    return starts[ok]
+def _near(postings: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether a posting lies in [lo, hi], both included."""
+    at = np.searchsorted(postings, lo)
+    ok = at < len(postings)
+    ok[ok] = postings[at[ok]] <= hi[ok]
+    return ok
 
 
 def _match_task(sent, slop: int):
@@ -126,18 +128,24 @@ def _match_task(sent, slop: int):
                         for off in np.argsort(frequency[numbers], kind="stable").tolist():
                             k = at[numbers[off]]
                             postings = positions[ends[k] - counts[k]:ends[k]].astype(np.int64)
-                            starts = postings - off if starts is None else _shifted(starts, postings, off, slop)
+                            if starts is None:           # the rarest term's places say which documents are asked
+                                ord_ = np.searchsorted(firsts, postings, side="right") - 1
+                                starts, first, last = postings - off, firsts[ord_], firsts[ord_ + 1] - 1
+                                exact = (starts >= first) & (starts + size - 1 <= last)
+                                ok = exact if not slop else np.ones(len(starts), bool)
+                            else:
+                                exact = exact & _near(postings, starts + off, starts + off)
+                                ok = exact if not slop else _near(postings, np.maximum(starts + (off - slop), first), np.minimum(starts + (off + slop), last))
+                            starts, ord_, first, last, exact = starts[ok], ord_[ok], first[ok], last[ok], exact[ok]
                             if not len(starts):
                                 break
-                        starts = starts[starts >= 0]
-                        ord_ = np.searchsorted(firsts, starts, side="right") - 1
-                        whole = starts + size <= firsts[np.minimum(ord_ + 1, len(firsts) - 1)]
-                        got += [(o, items[w], s - int(firsts[o]), size) for o, s in zip(ord_[whole].tolist(), starts[whole].tolist())]
+                        got += [(o, items[w], max(p, 0), size, e) for o, p, e in zip(ord_.tolist(), (starts - first).tolist(), exact.tolist())]
                 if got:
                     yield pa.RecordBatch.from_arrays([
                         pa.array([block] * len(got)), pa.array([g[0] for g in got], pa.int32()),
                         pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()),
-                        pa.array([g[3] for g in got], pa.int32())], names=["block", "ord", "item_id", "start", "length"])
+                        pa.array([g[3] for g in got], pa.int32()), pa.array([g[4] for g in got], pa.bool_())],
+                        names=["block", "ord", "item_id", "start", "length", "exact"])
     return run
 
 
@@ -158,7 +166,8 @@ def _chunks(benchmark: DataFrame, id_col: str, text_col: str, window: int, limit
 
 def match(scratch: Scratch, index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0,
           id_col: str = "item_id", text_col: str = "text", chunk_terms: int = CHUNK_TERMS) -> DataFrame:
-    """Every occurrence of a benchmark window: (block, ord, item_id, start, length)."""
+    """Every occurrence of a benchmark window: (block, ord, item_id, start,
+    length, exact), one per place of the window's rarest term."""
     spark = index.sparkSession
     out = spark.createDataFrame([], MATCH_SCHEMA)
     for i, chunk in enumerate(_chunks(benchmark, id_col, text_col, window, chunk_terms)):
@@ -223,6 +232,20 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def proximity(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, window: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, n_words, items (with exact windows) and
+    near_items (with proximity matches only), sorted ids as strings."""
+    s = Scratch(spark, "decontam-near")
+    index = build_index(s, docs)
+    found = match(s, index, benchmark, window, slop).groupBy("block", "ord", "item_id").agg(F.max("exact").alias("exact"))
+    rows = documents_of(s, index)
+    s.drop("index")
+    some = lambda exact: F.array_sort(F.collect_set(F.when(F.col("exact") == exact, F.col("item_id").cast("string"))))
+    per = found.groupBy("block", "ord").agg(some(True).alias("items"), some(False).alias("near_items"))
+    none = F.array().cast("array<string>")
+    return rows.join(per, ["block", "ord"], "left").select("doc_id", "n_words", F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+
+
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark window. A row
     is known by the 64-bit hash of its id and text, so rows that share an id
@@ -233,5 +256,6 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: in
     found = match(s, index, benchmark, window).select("block", "ord").distinct()
     rows = documents_of(s, index)
     s.drop("index")
-    bad = rows.join(found, ["block", "ord"], "left_semi").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    name = free_name(docs, "_bad")
+    bad = rows.join(found, ["block", "ord"], "left_semi").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, key == bad[name], "left_anti")

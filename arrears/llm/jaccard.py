@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrears.llm.components import components
-from arrears.llm.store import Scratch
+from arrears.llm.store import Scratch, free_name
 from arrears.llm.text import SPACED, buffers, mix, shingle_sets, slices, words
 
 SLACK = 20               # one extra common prefix hash is asked for per so many shingles
@@ -497,9 +497,10 @@ def one_per_group(spark: SparkSession, docs: DataFrame, k: int = 5, num: int = 8
     s = Scratch(spark, "jaccard-keep")
     rows = _components(s, docs, k, num, den, BLOCK_TOKENS).where("cid is not null")
     keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.max(F.col("key") == F.col("first.key")).alias("stays"))
-    go = s.write(keys.where("not stays or c > 1").select(F.col("key").alias("_key")), "go")
-    again = s.write(keys.where("stays and c > 1").select(F.col("key").alias("_key")), "again")
+    name = free_name(docs, "_key")
+    go = s.write(keys.where("not stays or c > 1").select(F.col("key").alias(name)), "go")
+    again = s.write(keys.where("stays and c > 1").select(F.col("key").alias(name)), "again")
     key = F.xxhash64("doc_id", "text")
-    alone = docs.join(go, key == F.col("_key"), "left_anti")
-    twice = docs.join(again, key == F.col("_key")).dropDuplicates(["_key"]).drop("_key")
+    alone = docs.join(go, key == go[name], "left_anti")
+    twice = docs.join(again, key == again[name]).dropDuplicates([name]).drop(name)
     return alone.union(twice)

@@ -194,10 +194,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     return ("svm", ratio, weights, a, b)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: tuple) -> DataFrame:
-    """``docs`` with a column ``quality_score``."""
+def score(spark: SparkSession, docs: DataFrame, model: tuple, out: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``out``."""
     if model[0] == "share":
-        return docs.withColumn("quality_score", F.lit(float(model[1])))
+        return docs.withColumn(out, F.lit(float(model[1])))
     prepare(spark)
     sent = spark.sparkContext.broadcast(model[1:])
 
@@ -213,7 +213,7 @@ def score(spark: SparkSession, docs: DataFrame, model: tuple) -> DataFrame:
                     margin.append(bias + (flat[on].sum() / norm if norm else 0.0))
             yield pa.array(1 / (1 + np.exp(-np.clip(a * np.array(margin, dtype=float) + b, -500, 500))), pa.float64())
 
-    return docs.withColumn("quality_score", judged(F.col("text").cast("string")))
+    return docs.withColumn(out, judged(F.col("text").cast("string")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

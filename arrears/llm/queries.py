@@ -53,11 +53,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(spark, docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def proximity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return decontam.proximity(spark, docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(spark, read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-def op9_simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+def simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_documents(spark, read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
@@ -80,6 +85,6 @@ def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_warc, op2_url_filter, op3_jaccard_join, op3_jaccard_links, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, op9_simhash_near, op10_language_id, op11_packing, op12_collocations, op13_clustering)}
+    op1_warc, op2_url_filter, op3_jaccard_join, op3_jaccard_links, op4_chat, op5_mixing, op6_license_scan, op7_quality, op8_decontaminate, op9_simhash, simhash_near, proximity_matches, op10_language_id, op11_packing, op12_collocations, op13_clustering)}
 
 ORACLE_SQL: dict[str, str] = {"op4_chat": chat.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_license_scan": licenses.ORACLE_SQL} | oracles.ORACLE_SQL

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from arrears.llm import chat, components, decontam, jaccard, langid, licenses, mixing, quality, queries, simhash, urls, warc
 from arrears.llm.store import Scratch
@@ -234,10 +235,12 @@ def test_components(spark):
 def test_reply_trees(spark):
     rows = [(1, 1, None, "user", "a < b & c", 0.0), (1, 2, 1, "assistant", "</turn>\n&lt;", 1.0), (1, 3, 1, "assistant", None, 5.0), (1, 4, 2, "user", "x", 9.0),
             (2, 1, 7, 'odd "> role', "orphan", None), (3, 1, 2, "user", "cycle", 1.0), (3, 2, 1, "user", "cycle", 1.0), (None, 1, None, None, "n", 0.0)]
+    # a leaf that hangs off a cycle, beside roots enough for its walk to be short of the limit
+    rows += [(5, 1, 2, "user", "c", 1.0), (5, 2, 1, "user", "c", 1.0), (5, 3, 1, "user", "leaf", 1.0)] + [(5, i, None, "user", "root", 0.0) for i in range(4, 9)]
     rows += [(4, i, i - 1 if i > 1 else None, "assistant" if i % 2 else "user", f"t{i}", 0.0) for i in range(1, 38)]
     frame = spark.createDataFrame(rows, "conv_id bigint, msg bigint, parent bigint, role string, text string, score double")
     got = {(r.conv_id, r.leaf): r for r in chat.format_trees(spark, frame, best=None).collect()}
-    assert set(got) == {(1, 3), (1, 4), (2, 1), (None, 1), (4, 37)}
+    assert set(got) == {(1, 3), (1, 4), (2, 1), (None, 1), (4, 37)} | {(5, i) for i in range(4, 9)}
     assert got[1, 4].place == 1 and got[1, 4].path_score == 10.0 and got[1, 3].place == 2 and got[4, 37].n_turns == 37
     for (c, leaf), r in got.items():
         texts = [r.formatted[s.start:s.start + s.size] for s in r.loss_spans]
@@ -322,10 +325,44 @@ def test_proximity_and_chunks(spark):
         got = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.decontaminate(spark, docs, items, 4, chunk).collect())
         assert got == [(1, 7, 2, ("11",)), (2, 1, 1, ("11",)), (2, 5, 5, ("10", "11")), (3, 0, 0, ())]
     assert decontam.clean(spark, docs, items, 4).count() == 1
+    named = sorted((r.doc_id, r.n_words, tuple(r["items"]), tuple(r.near_items)) for r in decontam.proximity(spark, docs, items, 1, 4).collect())
+    assert named == [(1, 7, ("11",), ("10",)), (2, 1, ("11",), ()), (2, 5, ("10", "11"), ()), (3, 0, (), ())]
     assert decontam.decontaminate(spark, docs, items.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.decontaminate(spark, docs.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_brute_force(spark, slop):
+    """Also where a match's shifted start lies before its document's first word, or its end after the last."""
+    rng = random.Random(slop)
+    docs = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 14))] for _ in range(60)] + [["b", "c", "d"], ["a", "b", "c"]]
+    items = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))] for _ in range(40)]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    s = Scratch(spark, "test-near")
+    index = decontam.build_index(s, frame)
+    ids = {(r.block, r.ord): r.doc_id for r in decontam.documents_of(s, index).collect()}
+    got = {(ids[r.block, r.ord], r.item_id, r.start, r.exact) for r in decontam.match(s, index, bench, 4, slop).collect()}
+    count = {w: sum(d.count(w) for d in docs) for w in "abcdefgh"}
+    want = set()
+    for i, words in enumerate(items):
+        size = min(4, len(words))
+        for a in range(len(words) - size + 1):
+            window = words[a:a + size]
+            rare = min(range(size), key=lambda k: (count[window[k]], k))
+            for d, doc in enumerate(docs):
+                for p in [p for p, w in enumerate(doc) if w == window[rare]]:
+                    start = p - rare
+                    def has(k, off):
+                        return any(0 <= q < len(doc) and doc[q] == window[k] for q in range(start + k - off, start + k + off + 1))
+                    if all(has(k, 0 if k == rare else slop) for k in range(size)):
+                        exact = start >= 0 and doc[start:start + size] == window
+                        if exact or slop:
+                            want.add((d, i, max(start, 0), exact))
+    assert got == want and any(e for *_, e in got)
+    assert not slop or any(not e for *_, e in got)
+
+
 # --- 9 -------------------------------------------------------------------
 
 def brute_fingerprint(text):
@@ -399,3 +436,10 @@ def test_pipeline_stages(spark):
     assert cp.STAGES[-1][1](spark, cur, SMALL).count() > 0
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0, name
+    # names that stages use for themselves stay the documents' own
+    own = ["_key", "_bad", "_judged", "quality_score", "score", "lang_pred", "_KEY_"]
+    named = docs.limit(60).select("*", *[F.lit(f"own {c}").alias(c) for c in own])
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, named, SMALL)
+        assert kept.columns == named.columns, name
+        assert kept.select(*own).distinct().count() == 1 and kept.first()["_key"] == "own _key", name
