@@ -2,7 +2,7 @@
 Parquet and read again as the next one's input.
 
 1. language_id: rows without letters, without text, or whose language the net
-   cannot tell (score under MIN_LANGUAGE) go.
+   cannot tell (score near an even guess) go.
 2. quality: rows under the classifier's threshold go.
 3. near_duplicates: of texts that are linked by five-word shingles at a
    similarity of 0.8 or more, one stays.
@@ -19,25 +19,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrears.llm import decontam, jaccard, langid, mixing, quality
-from arrears.llm.store import Scratch
+from arrears.llm.store import Scratch, free_name
 from arrears.sources.tables import read_table
 
-MIN_LANGUAGE = 0.3
+MIN_MARGIN = 0.15         # of the way from an even guess to certainty
+
+
+def least_score(languages: int) -> float:
+    """The least score that tells one of so many languages: a softmax gives an even guess 1 / languages."""
+    even = 1 / languages
+    return even + MIN_MARGIN * (1 - even)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language the net tells; a corpus without languages to learn passes whole."""
     net = langid.train(spark, docs)
-    if net is None:
-        return docs
-    judged = langid.predict(spark, docs.withColumnsRenamed({"score": "_kept_score", "lang_pred": "_kept_lang"}), net)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(docs.columns)
+    if net is None:                       # nothing to learn: only what no language can have goes
+        return docs.where(F.col("text").rlike(langid.LETTER))
+    names = free_name(docs, "_lang"), free_name(docs, "_sure")
+    judged = langid.predict(spark, docs, net, names)
+    return judged.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least_score(len(net.classes)))).select(docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier accepts."""
     model = quality.train(spark, docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
-    return quality.score(spark, docs, model).where(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+    name = free_name(docs, "quality_score")
+    return quality.score(spark, docs, model, name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
