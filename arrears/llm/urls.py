@@ -3,22 +3,31 @@
 
 Rules decide first; the longest that fits wins. What they leave is judged by
 two smoothed variable-order Markov models, one of accepted and one of rejected
-URLs. Characters fall into 32 symbols (letters without case, digit, ``/``,
-``.``, ``-``, other, and the start). A symbol's probability is interpolated
-over contexts of 0 to 3 symbols with Witten-Bell weights: a context that was
-seen n times with t different successors leaves t / (n + t) to the next
-shorter one, and an unseen context leaves everything.
-
-The models are joined to one table of log ratios with an entry for each of the
-32**4 = 2**20 sequences, whatever the input: 8 MB, read as a scalar subquery.
-A URL's score is its mean log ratio per symbol. The threshold is calibrated on
-a fifth of the ruled URLs that the counts leave out: of the score's hundredths
-the one with the best balanced accuracy, nearest to 0 among equals.
+URLs, over the URL's own characters (code points, in their own case). A
+character's probability is interpolated over contexts of 0 to 3 characters
+with Witten-Bell weights: a context that was seen n times with t different
+successors leaves t / (n + t) to the next shorter one, and an unseen context
+leaves everything; below the shortest all characters of the table are alike.
+
+The counts have a row for every sequence of 4 characters that occurs, so they
+grow with the input. One pass over the URLs gives them, with the counts in
+accepted and in rejected URLs; shorter sequences are sums of theirs. Every
+sequence gets a log ratio in billionths, so that sums do not depend on order.
+URLs meet the ratios by a join: a table of up to ``BROADCAST_GRAMS`` rows is
+broadcast, of a larger one only the most frequent sequences, which hold the hot
+keys, and the rest is joined by a shuffle. What is taken apart carries a
+16-byte key instead of its URL, in runs of at most ``RUN`` characters, so a
+very long URL makes no long rows; sums by key are combined in each task.
+
+A URL's score is its mean log ratio per character. The threshold is calibrated
+on a fifth of the ruled URLs that the counts leave out: of the score's
+hundredths the one with the best balanced accuracy, nearest to 0 among equals.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and fits no rule; an empty URL scores 0; without ruled URLs of a class the
 ratio or the threshold is 0, so that the method allows; repeated rows count as
-often as they occur and are judged alike.
+often as they occur and are judged alike; long URLs are read whole; other
+columns of ``pages`` are not read, so their names may clash.
 """
 
 from __future__ import annotations
@@ -32,8 +41,10 @@ from arrears.llm.store import Scratch
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 3                     # longest context
-BITS = 5                      # of a symbol
-SYMBOLS = 1 << BITS
+START = "\uffff"              # stands before a URL; no character of Unicode text
+RUN = 1024                    # characters taken apart at once
+UNIT = 1_000_000_000          # of a log ratio
+BROADCAST_GRAMS = 500_000     # rows of (4 characters, long): some 50 MB as a hash table
 BINS = 100                    # calibration steps per unit of score
 LIMIT = 20                    # scores beyond it share the outermost steps: at most 2 * LIMIT * BINS + 1 rows
 
@@ -57,71 +68,80 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def symbols(url: Column) -> Column:
-    """Symbol numbers 1 to 31, as an array."""
-    low = F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER)
-    known = F.regexp_replace(low, "[^a-z0-9/.\\-]", "_")
-    # a-z to A-Z, digits to [, slash to backslash, dot to ], hyphen to ^: code 64 + number
-    known = F.translate(known, LOWER + "0123456789/.-", UPPER + "[" * 10 + "\\]^")
-    return F.transform(F.filter(F.split(known, ""), lambda c: c != ""), lambda c: F.ascii(c) - 64)
-
-
-def grams(numbers: Column) -> Column:
-    """For every symbol the number of it and the ORDER symbols before it (0 before the start)."""
-    def at(i):
-        code = F.get(numbers, i)
-        for k in range(1, ORDER + 1):
-            code = code + F.coalesce(F.get(numbers, F.when(i >= k, i - k)), F.lit(0)) * (1 << BITS * k)
-        return code
-    last = F.size(numbers) - 1
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<int>"))
-
-
 def with_grams(rows: DataFrame) -> DataFrame:
-    """``rows`` (url, ...) with ``numbers`` and ``grams``. Each is a column of
-    its own: inside a lambda an expression would be worked out per element."""
-    return rows.withColumn("numbers", symbols(F.col("url"))).withColumn("grams", grams(F.col("numbers")))
-
-
-def ratio_table(s: Scratch, labelled: DataFrame) -> DataFrame:
-    """``labelled`` (url, good 0/1) -> (gram, ratio) for all 2**20 grams."""
-    counts = with_grams(labelled).select("good", F.explode("grams").alias("gram")).groupBy("gram").agg(
-        F.sum("good").alias("a"), F.sum(1 - F.col("good")).alias("r"))
-    counts = s.write(counts, "grams")                      # at most 2**20 rows
+    """``rows`` (url, ...) once per character, without the URL but with ``gram``:
+    the character and the ORDER before it. An empty URL is one row without one."""
+    kept = [c for c in rows.columns if c != "url"]
+    # runs, each with the end of the one before; every step is a projection of its own
+    runs = rows.select(*kept, F.regexp_extract_all("url", F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0)).alias("runs"))
+    ahead = F.concat(F.array(F.lit(START * ORDER)), F.transform("runs", lambda x: F.right(x, F.lit(ORDER))))
+    run = runs.select(*kept, F.explode_outer(F.zip_with("runs", F.slice(ahead, 1, F.size("runs")), lambda x, y: F.concat(y, x))).alias("run"))
+    chars = run.select(*kept, F.split("run", "").alias("chars"))
+    shifted = F.arrays_zip(*[F.slice("chars", k + 1, F.size("chars") - ORDER) for k in range(ORDER + 1)])
+    each = chars.select(*kept, F.explode_outer(shifted).alias("at"))
+    return each.select(*kept, F.concat(*[F.col("at")[str(k)] for k in range(ORDER + 1)]).alias("gram"))
+
+
+def ratio_table(s: Scratch, urls: DataFrame) -> DataFrame:
+    """``urls`` (url, n, a, r: how often it occurs, and of that how often it
+    counts as accepted, as rejected) -> (gram, n, ratio) for every gram."""
+    counts = with_grams(urls).where("gram is not null").groupBy("gram").agg(
+        F.sum("a").alias("a"), F.sum("r").alias("r"), F.sum("n").alias("n"))
+    counts = s.write(counts, "grams")
     table = None
     for k in range(ORDER + 1):
-        size = 1 << BITS * (k + 1)
-        short = counts.groupBy(F.col("gram").bitwiseAND(F.lit(size - 1)).alias("g")).agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
-        seen = short.groupBy(F.shiftright("g", BITS).alias("ctx")).agg(
+        # sequences of k characters and the one after them, from the grams' ends
+        short = counts.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("gram")).agg(
+            F.sum("a").alias("a"), F.sum("r").alias("r"), F.sum("n").alias("n")).withColumn("ctx", F.substring("gram", 1, k))
+        seen = short.groupBy("ctx").agg(
             F.sum("a").alias("na"), F.sum("r").alias("nr"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("r") > 0).cast("long")).alias("tr"))
-        dense = s.spark.range(size).select(F.col("id").cast("int").alias("gram"), F.shiftright(F.col("id").cast("int"), BITS).alias("c"))
-        dense = dense.join(short, dense["gram"] == short["g"], "left").join(seen, F.col("c") == F.col("ctx"), "left")
+        both = short.join(seen, "ctx")
         if table is None:
-            dense = dense.withColumns({"qa": F.lit(1.0 / SYMBOLS), "qr": F.lit(1.0 / SYMBOLS)})
+            even = 1.0 / max(1, short.count())
+            both = both.withColumns({"qa": F.lit(even), "qr": F.lit(even)})
         else:
-            shorter = table.select(F.col("gram").alias("s"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
-            dense = dense.join(shorter, F.col("gram").bitwiseAND(F.lit((size >> BITS) - 1)) == F.col("s"))
-        p = {x: F.when(F.coalesce(F.col(f"n{x}"), F.lit(0)) == 0, F.col(f"q{x}")).otherwise(
-            (F.coalesce(F.col(x), F.lit(0)) + F.col(f"t{x}") * F.col(f"q{x}")) / (F.col(f"n{x}") + F.col(f"t{x}"))) for x in ("a", "r")}
-        table = s.write(dense.select("gram", p["a"].alias("pa"), p["r"].alias("pr")), f"order{k}")
-    return table.select("gram", (F.log("pa") - F.log("pr")).alias("ratio"))
-
-
-def with_score(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` (url, ...) with ``score``; ``model`` has one row, the ratios by
-    gram. The subquery stands in a projection of its own, as it may not be
-    written inside a lambda; the optimiser puts it there, so it is no column
-    of any row."""
-    kept = rows.columns
-    found = with_grams(rows).withColumn("ratios", model.scalar()).select(*kept, F.transform("grams", lambda g: F.get("ratios", g)).alias("found"))
-    total = F.aggregate("found", F.lit(0.0), lambda acc, x: acc + x)
-    return found.select(*kept, F.when(F.size("found") > 0, total / F.size("found")).otherwise(F.lit(0.0)).alias("score"))
+            shorter = table.select(F.col("gram").alias("end"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
+            both = both.join(shorter, F.substring("gram", 2, k) == F.col("end"))
+        p = {x: F.when(F.col(f"n{x}") == 0, F.col(f"q{x}")).otherwise(
+            (F.col(x) + F.col(f"t{x}") * F.col(f"q{x}")) / (F.col(f"n{x}") + F.col(f"t{x}"))) for x in ("a", "r")}
+        table = s.write(both.select("gram", "n", p["a"].alias("pa"), p["r"].alias("pr")), f"order{k}")
+    # a class without any URL tells nothing
+    either = counts.agg(((F.sum("a") > 0) & (F.sum("r") > 0)).alias("both")).scalar()
+    ratio = F.when(either, F.round((F.log("pa") - F.log("pr")) * UNIT).cast("long")).otherwise(F.lit(0).cast("long"))
+    return s.write(table.select("gram", "n", ratio.alias("ratio")), "ratios")
+
+
+def head_and_tail(model: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """``model`` in two: at most ``most`` rows with the largest n, down to a
+    power of two, and the rest (None if all fit)."""
+    sizes = model.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count("*").alias("rows")).collect()   # 63 rows at most
+    if sum(x["rows"] for x in sizes) <= most:
+        return model, None
+    cut, taken = 63, 0
+    for power, rows in sorted(sizes, reverse=True):
+        if taken + rows > most:
+            break
+        cut, taken = power, taken + rows
+    low = F.floor(F.log2("n")) < cut
+    return model.where(~low), model.where(low)
+
+
+def with_score(rows: DataFrame, model: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
+    """``rows`` (key, url, ...; keys distinct) with ``score``; ``model`` as of ``ratio_table``."""
+    head, tail = head_and_tail(model, most)
+    found = with_grams(rows.select("key", "url")).join(F.broadcast(head.select("gram", "ratio")), "gram", "left")
+    if tail is not None:
+        missing = F.col("gram").isNotNull() & F.col("ratio").isNull()
+        rest = found.where(missing).drop("ratio").join(tail.select("gram", "ratio").hint("shuffle_hash"), "gram")
+        found = found.where(~missing).unionByName(rest)
+    mean = F.sum("ratio") / F.count("ratio") / F.lit(float(UNIT))
+    return rows.join(found.groupBy("key").agg(F.coalesce(mean, F.lit(0.0)).alias("score")), "key")
 
 
 def threshold_of(scored: DataFrame) -> float:
-    """``scored`` (score, good 0/1) -> the threshold; 0 if a class is missing."""
+    """``scored`` (score, good 0/1, copies) -> the threshold; 0 if a class is missing."""
     step = F.greatest(F.lit(-LIMIT * BINS), F.least(F.lit(LIMIT * BINS), F.floor(F.col("score") * BINS)))
-    bins = scored.groupBy(step.alias("step")).agg(F.sum("good").alias("a"), F.sum(1 - F.col("good")).alias("r"))
+    bins = scored.groupBy(step.alias("step")).agg(F.sum(F.col("good") * F.col("copies")).alias("a"), F.sum((1 - F.col("good")) * F.col("copies")).alias("r"))
     every, below = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("step", F.sum("a").over(every).alias("na"), F.sum("r").over(every).alias("nr"),
                        F.coalesce(F.sum("a").over(below), F.lit(0)).alias("ba"), F.coalesce(F.sum("r").over(below), F.lit(0)).alias("br"))
@@ -131,19 +151,26 @@ def threshold_of(scored: DataFrame) -> float:
     return best["step"] / BINS if best else 0.0
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
+def judged_by(rules) -> dict[str, Column]:
+    """Columns of a table with ``url``: its host, path, rule, and the rule's verdict."""
+    host, path = host_and_path(F.col("url"))
+    rule, ruled = rule_of(host, path, rules)
+    return {"host": host, "path": path, "rule": rule, "ruled": ruled}
+
+
+def filter_urls(spark: SparkSession, pages: DataFrame, rules=RULES, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score, threshold."""
     s = Scratch(spark, "urls")
-    host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url").withColumns({"host": host, "path": path})
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    labelled = rows.where("ruled is not null").select("url", (F.col("ruled") == "allow").cast("long").alias("good"),
-                                                      (F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0).alias("apart"))
-    table = ratio_table(s, labelled.where("not apart"))
-    array = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
-    model = s.write(array, "model")                        # one row of 2**20 doubles
-    threshold = threshold_of(with_score(labelled.where("apart"), model))
-    out = with_score(rows, model).withColumn("threshold", F.lit(threshold))
+    pages = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    # repeated rows are scored once; no id is written like the word
+    key = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "url")))
+    rows = s.write(pages.groupBy("page_id", "url").agg(F.count("*").alias("copies")).withColumn("key", key), "rows")
+    rows = rows.withColumns(judged_by(rules)).withColumn("apart", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0)
+    counted = [F.when(~F.col("apart") & (F.col("ruled") == v), F.col("copies")).otherwise(F.lit(0).cast("long")).alias(c) for v, c in (("allow", "a"), ("block", "r"))]
+    model = ratio_table(s, rows.select("url", F.col("copies").alias("n"), *counted))
+    kept = rows.where(F.col("apart") & F.col("ruled").isNotNull()).select("key", "url", "copies", (F.col("ruled") == "allow").cast("long").alias("good"))
+    threshold = threshold_of(with_score(kept, model, broadcast_grams))
+    out = with_score(rows, model, broadcast_grams).withColumn("threshold", F.lit(threshold))
     judged = F.when(F.col("score") >= F.col("threshold"), F.lit("allow")).otherwise(F.lit("block"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score", "threshold")
+    out = out.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged).alias("verdict"), "score", "threshold", "copies")
+    return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copies", "copy")

@@ -79,7 +79,9 @@ def test_archive_versions(tmp_path):
 # --- 2 -------------------------------------------------------------------
 
 def test_url_rules_and_models(spark):
-    pages = [r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()] + [None, "", "no scheme", "HTTP://X.Example.NET/en/1", "s://net", "ftp://a.org/fr/?x"]
+    pages = [r.url for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()] + [None, "", "no scheme", "HTTP://X.Example.NET/en/1", "s://net", "ftp://a.org/fr/?x",
+        "http://пример.рф/аб", "http://сайтик.бг/вг", "http://пример.рф/бб", "http://сайтик.бг/вг/", "http://a.com/p?1", "http://a.com/p&9",
+        "http://b.com/" + "long/" * 20000, *[f"http://пример.net/аб/{i}" for i in range(6)], *[f"http://сайтик.org/fr/вг/{i}" for i in range(6)]]
     got = urls.filter_urls(spark, spark.createDataFrame(list(enumerate(pages)), "page_id bigint, url string")).orderBy("page_id").collect()
     train = []
     for url, r in zip(pages, got):
@@ -95,31 +97,57 @@ def test_url_rules_and_models(spark):
             assert r.verdict == ("allow" if r.score >= r.threshold else "block")
 
     def codes(u):
-        return [ord(c) - 96 if "a" <= c <= "z" else 27 if c in "0123456789" else {"/": 28, ".": 29, "-": 30}.get(c, 31) for c in (u or "").translate(
-            str.maketrans(urls.UPPER, urls.LOWER))]
+        return list(u or "")
+    start = [urls.START] * 3
+    size = len({c for u in pages for c in codes(u)})
     counts = {True: {}, False: {}}
     for u, good in train:
         if zlib.crc32(u.encode()) % 5:
-            c = [0, 0, 0, *codes(u)]
+            c = [*start, *codes(u)]
             for i in range(3, len(c)):
                 for k in range(4):
                     ctx = counts[good].setdefault(tuple(c[i - k:i]) + (k,), {})
                     ctx[c[i]] = ctx.get(c[i], 0) + 1
 
     def p(good, c, i):
-        q = 1 / 32
+        q = 1 / size
         for k in range(4):
             ctx = counts[good].get(tuple(c[i - k:i]) + (k,))
             if ctx:
                 q = (ctx.get(c[i], 0) + len(ctx) * q) / (sum(ctx.values()) + len(ctx))
         return q
     for u, r in zip(pages, got):
-        c = [0, 0, 0, *codes(u)]
+        c = [*start, *codes(u)]
         want = np.mean([np.log(p(True, c, i)) - np.log(p(False, c, i)) for i in range(3, len(c))]) if len(c) > 3 else 0
-        assert abs(r.score - want) < 1e-9
+        assert abs(r.score - want) < 1e-8
+    # characters of any script are told apart, as the ruled URLs show them
+    score = {u: r.score for u, r in zip(pages, got)}
+    assert score["http://пример.рф/аб"] < score["http://сайтик.бг/вг"]
+    assert score["http://a.com/p?1"] != score["http://a.com/p&9"]
+    below = [(r.score, good) for (u, r) in zip(pages, got) if r.rule and zlib.crc32(u.encode()) % 5 == 0 for good in [r.verdict == "allow"]]
+    steps = sorted({np.floor(x * urls.BINS) for x, _ in below}, key=lambda x: (abs(x), x))
+    na, nr = sum(g for _, g in below), sum(not g for _, g in below)
+    if na and nr:
+        quality = [sum(g for x, g in below if np.floor(x * urls.BINS) >= step) / na + sum(not g for x, g in below if np.floor(x * urls.BINS) < step) / nr for step in steps]
+        best = max(quality)
+        assert got[0].threshold == next(step for step, q in zip(steps, quality) if q > best - 1e-12) / urls.BINS
+    # the part of the model that is not broadcast gives the same rows
+    forced = urls.filter_urls(spark, spark.createDataFrame(list(enumerate(pages)), "page_id bigint, url string"), broadcast_grams=40)
+    assert forced.orderBy("page_id").collect() == got
     assert urls.filter_urls(spark, spark.createDataFrame([], "page_id bigint, url string")).count() == 0
 
 
+def test_url_odd_rows(spark):
+    """Repeated, null and empty rows, clashing names; no ruled URL at all."""
+    rows = [(1, "http://a.com/x", 1), (1, "http://a.com/x", 2), (1, None, 3), (None, None, 4), (None, "", 5), (2, "http://b.net/", 6), (2, "http://b.net/", 7)]
+    schema = "page_id bigint, url string, {} int"
+    for extra in ("gram", "copies", "score", "chars", "ratio", "a", "n", "ruled"):
+        got = urls.filter_urls(spark, spark.createDataFrame(rows, schema.format(extra))).collect()
+        assert sorted((r.page_id or 0, r.host) for r in got) == sorted([(1, "a.com"), (1, "a.com"), (1, ""), (0, ""), (0, ""), (2, "b.net"), (2, "b.net")])
+        # one class only: nothing to tell apart, so the method allows
+        assert {(r.rule, r.verdict, r.score, r.threshold) for r in got} == {(None, "allow", 0.0, 0.0), ("net/", "block", 0.0, 0.0)}
+
+
 # --- 3 -------------------------------------------------------------------
 
 def brute_components(sets, num, den):
