@@ -316,6 +316,25 @@ def test_license_scan_odd_rows(spark):
     assert licenses.scan(spark, empty_docs(spark)).count() == 0
 
 
+def test_license_blocks(spark):
+    """Notices over line ends and far into a text; other licenses and versions."""
+    far = "filler words " * 5000
+    texts = {
+        1: ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided", "bsd"),
+        2: ("either version 3 of the License, or\n (at your option) any later version.", "gpl-3"),
+        3: ("Released under the BSD License", "bsd"),
+        4: ("This work is licensed under the GNU General Public License, version 2", "gpl-2"),
+        5: (far + "Permission is hereby granted, free of\n# charge, to any person\n# obtaining a copy of this software" + far, "mit"),
+        6: ("All of us have the right to reserve tables; rights of others are not. " + "x " * 20 + "reserved", ""),
+        7: (far + "under the terms of the Mozilla Public\nLicense, v. 2.0", "mpl-2"),
+        8: ("We met at MIT and hold no license for the released film of another studio", ""),
+        9: ("mit " * 5000, ""),
+    }
+    for shift in (0, 3, 7, 15):
+        docs = spark.createDataFrame([(i, "pad " * shift + text) for i, (text, _) in texts.items()], "doc_id bigint, text string")
+        assert {r.doc_id: r.labels for r in licenses.scan(spark, docs).collect()} == {i: label for i, (_, label) in texts.items()}
+
+
 # --- 7 and 10 ------------------------------------------------------------
 
 def test_quality_held_out(spark):
