@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from arrears.functions import columns as C
 from arrears.operators import features as FE
+from arrears.operators.prefix import exact_quantile, wide_quantiles
 from arrears.plans.oracle_base import D, with_
 from arrears.plans.q_macro import ASOF_SQL
 from arrears.plans.registry import register
 from arrears.sources import panel as P
+from arrears.sources.scratch import written
 
 KEYS = ["asset_number", "period"]
 W_ = "PARTITION BY asset_number ORDER BY period"
@@ -113,17 +115,28 @@ def frame(spark, sf_dir):
     return FE.panel_features(spark, sf_dir, FE.FIXTURE)
 
 
-FITTED = {"ltv_curr_capped", "ltv_x_near_mat", "dscr_ltv_product"}     # need the p99 cap or the medians
+# Columns that need the p99 cap, of these the one that needs the medians, and what they come from.
+CAPPED = {"ltv_curr_capped", "ltv_x_near_mat", "dscr_ltv_product"}
+IMPUTED = {"dscr_ltv_product"}
+FITTED_FROM = ["period_dt", "maturity_serial", "ltv_curr", "dscr_curr"]
 
 
 def _columns(spark, sf_dir, cols):
     """A few columns of the matrix from the operators they need: without fitted
-    values nothing is written, and the planner drops what is not asked for."""
-    if FITTED & set(cols):
-        return frame(spark, sf_dir).select(*KEYS, *cols)
+    values nothing is written, and the planner drops what is not asked for.
+    Fitted values take several passes, over the few panel columns they come
+    from; the others are null there, and no asked column reads them."""
     panel = P.loan_month_panel(spark, sf_dir)
-    df = FE.base_features(panel, FE.FIXTURE, ltv_p99=float("inf"))
-    return FE.dynamic_features(df, dscr_median=0.0, ltv_capped_median=0.0).select(*KEYS, *cols)
+    cap, dscr, ltv = float("inf"), 0.0, 0.0
+    if CAPPED & set(cols):
+        narrow = written(spark, panel.select(*KEYS, *FITTED_FROM), "fitted-slice")
+        panel = narrow.withColumns({f.name: F.lit(None).cast(f.dataType) for f in panel.schema if f.name not in narrow.columns})
+        cap = exact_quantile(narrow, "ltv_curr", FE.P99)
+    df = FE.base_features(panel, FE.FIXTURE, ltv_p99=cap)
+    if IMPUTED & set(cols):
+        medians = wide_quantiles(df.select("dscr_curr_lag1", "ltv_curr_capped"), ["dscr_curr_lag1", "ltv_curr_capped"], 0.5)
+        dscr, ltv = medians["dscr_curr_lag1"], medians["ltv_curr_capped"]
+    return FE.dynamic_features(df, dscr_median=dscr, ltv_capped_median=ltv).select(*KEYS, *cols)
 
 
 def _reg(name: str, cols: list[str]):

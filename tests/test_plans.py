@@ -59,3 +59,21 @@ def test_feature_slices_prepare_only_what_they_need(spark):
     from __spark_entry__ import queries
     plan = _plan(queries()["stress_flags"](spark, SMALL))
     assert "Scan ExistingRDD" not in plan and len(re.findall(r"FileScan parquet \[[^\]]*(?:l_orderkey|l_partkey)", plan)) == 1
+
+
+def test_fitted_slices_write_a_narrow_panel(spark):
+    """Slices with fitted values read the narrow written panel, never the fact
+    table again, and equal the whole matrix's columns."""
+    from __spark_entry__ import queries
+    q = queries()
+    whole = q["feature_matrix"](spark, SMALL)
+    for name in ("clip_p99", "interaction_product"):
+        got = q[name](spark, SMALL)
+        assert _scans(got, "l_orderkey|l_partkey") == 0 and "Scan ExistingRDD" not in _plan(got), name
+        assert "orig_amount" not in _plan(got), name
+        keys, cols = got.columns[:2], got.columns[2:]
+        have = [c for c in cols if c in whole.columns]
+        assert have
+        want = {(r[0], r[1]): tuple(r[2:]) for r in whole.select(*keys, *have).collect()}
+        rows = got.select(*keys, *have).collect()
+        assert len(rows) == len(want) and all(want[r[0], r[1]] == tuple(r[2:]) for r in rows), name
