@@ -451,7 +451,7 @@ def test_near_documents_are_named(spark):
             continue
         for j, (e, q) in enumerate(rows):
             k = (p ^ q).bit_count()
-            if i != j and k <= simhash.RADIUS:
+            if i != j and k <= simhash.NEAR_RADIUS:
                 want[d, e, k] = want.get((d, e, k), 0) + 1
     got = {(r.doc_id, r.near_id, r.distance): r.n_rows for r in simhash.near_documents(spark, docs).collect()}
     assert got == want and (100, 5, 0) in got and got[100, 100, 0] == 1
@@ -466,6 +466,26 @@ def test_block_tables_find_every_neighbour(spark):
     frame = spark.createDataFrame([(x,) for x in signed], "fp bigint")
     got = {r.q: r.n_rows for r in simhash.neighbours(frame, frame).collect()}
     assert got == {x: sum((p ^ q).bit_count() <= 3 for q in prints) for x, p in zip(signed, prints)}
+    wide = [p ^ sum(1 << i for i in rng.sample(range(64), k)) for p in base for k in (4, 5, 6)] + base
+    signed = [p - (1 << 64) if p >> 63 else p for p in wide]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    pairs = simhash.near_pairs(frame, frame, simhash.NEAR_RADIUS, simhash.NEAR_BLOCKS).collect()
+    assert len(pairs) == len({(r.q, r.fp) for r in pairs})
+    assert {(r.q, r.fp) for r in pairs} == {(x, y) for x, p in zip(signed, wide) for y, q in zip(signed, wide) if (p ^ q).bit_count() <= 5}
+
+
+def test_near_documents_recall(spark):
+    """Of pairs with one word in 60 replaced at least 0.9 are found."""
+    texts = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
+    texts, rng, rows, pairs = [w for w in texts if 60 <= len(w) <= 400], random.Random(5), [], 0
+    for w in texts:
+        edited = [rng.choice(rng.choice(texts)) if rng.random() < 1 / 60 else x for x in w]
+        a, b = ({tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (w, edited))
+        if edited != w and len(a & b) >= 0.8 * len(a | b):
+            rows += [(100 * pairs, " ".join(w)), (100 * pairs + 1, " ".join(edited))]
+            pairs += 1
+    got = {(r.doc_id, r.near_id) for r in simhash.near_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert pairs > 100 and sum((100 * i, 100 * i + 1) in got for i in range(pairs)) >= 0.9 * pairs
 
 
 # --- pipeline ------------------------------------------------------------
