@@ -1,8 +1,11 @@
 """Property rows to loan-months, and loans to a loan table.
 
 All aggregates here are partial-aggregation friendly (``min_by`` over a
-struct order, ``mode``, sums, means), so a loan that holds a third of the
-rows is combined map-side before the shuffle.
+struct order, ``mode``, sums, means). Partial results of a loan-month are much
+wider than the table columns they come from, and few rows share one, so the
+panel's rows are dealt by loan-month before they are widened
+(``panel.property_rows``); a loan that holds a third of the rows is then spread
+over its months. Rows dealt in another way are combined map-side first.
 """
 
 from __future__ import annotations
@@ -32,15 +35,17 @@ def ac_key() -> Column:
 
 
 def loan_period_rollup(props: DataFrame, order: str = "row_order") -> DataFrame:
-    """One row per (ac_key, report_period); only measures present are used."""
+    """One row per (ac_key, report_period); only measures present are used. Rows
+    with an ``ac_key`` keep it, so rows already dealt by it do not move again."""
     have = set(props.columns)
+    props = props if "ac_key" in have else props.withColumn("ac_key", ac_key())
     aggs = []
     aggs += [first_non_null(c, order).alias(c) for c in FIRST_COLS if c in have]
     aggs += [F.max(c).alias(c) for c in MAX_COLS if c in have]
     aggs += [F.avg(c).alias(c) for c in MEAN_COLS if c in have]
     aggs += [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUM_COLS if c in have]
     aggs += [F.mode(c, True).alias(c) for c in MODE_COLS if c in have]
-    return props.withColumn("ac_key", ac_key()).groupBy("ac_key", "report_period").agg(*aggs)
+    return props.groupBy("ac_key", "report_period").agg(*aggs)
 
 
 def loan_table(props: DataFrame, loan: str = "loan_uid", period: str = "report_period",

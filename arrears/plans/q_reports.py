@@ -54,7 +54,7 @@ ROLL_DBL = {**{c: 9 for c in MEANS + ["original_term", "io_term_months"]}, **{c:
 
 
 def rollup(spark, sf_dir):
-    return RU.loan_period_rollup(P.property_rows(spark, sf_dir))
+    return RU.loan_period_rollup(P.property_rows(spark, sf_dir, by_loan_month=True))
 
 
 def loans(spark, sf_dir, props=None):
