@@ -114,9 +114,13 @@ def write_panel_sheet(panel: DataFrame, path: str) -> str:
     return path
 
 
+SHEET_ROWS = 1_000_000       # of a compressed file, which one task reads
+
+
 def write_positional_sheet(rows: DataFrame, path: str) -> str:
-    """The property-month sheet: known columns at their positions, the others blank."""
+    """The property-month sheet: known columns at their positions, the others
+    blank. Most of a line is delimiters, so files are compressed."""
     at = {i: name for name, i in PROPERTY_COLUMN_POSITIONS.items()}
     cols = [(F.col(at[i]).cast("string") if i in at else F.lit(None).cast("string")).alias(f"c{i}") for i in range(max(at) + 1)]
-    rows.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(*cols).write.mode("overwrite").option("header", True).option("compression", "lz4").option("maxRecordsPerFile", SHEET_ROWS).csv(path)
     return path
