@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from arrears.operators.boosting import MARGIN_SHIFT, Model, is_leaf, margins
 from arrears.session import ship_package
 
-ROWS = 2048              # rows evaluated at once
+ROWS = 8192              # rows evaluated at once
 MOST = 12                # features on one path: a leaf's table has 2**MOST rows at most
 UNIT = float(1 << MARGIN_SHIFT)
 
@@ -37,7 +37,7 @@ UNIT = float(1 << MARGIN_SHIFT)
 class Leaf:
     features: np.ndarray                          # distinct features on the path
     steps: list[list[tuple[int, bool]]]           # per feature its nodes and whether the path goes left
-    table: np.ndarray                             # (2**d, d): contribution by pattern of satisfied features
+    table: np.ndarray                             # (d, 2**d): contribution by pattern of satisfied features
 
 
 def leaf_paths(tree: dict) -> list[tuple[float, dict[int, tuple[float, list[tuple[int, bool]]]]]]:
@@ -86,7 +86,7 @@ def path_tables(tree: dict) -> list[Leaf]:
     out = []
     for group in by_depth.values():
         tables = subset_tables(np.array([v for v, _ in group]), np.array([[s for s, _ in p.values()] for _, p in group]))
-        out += [Leaf(np.array(list(p)), [steps for _, steps in p.values()], t) for (_, p), t in zip(group, tables)]
+        out += [Leaf(np.array(list(p)), [steps for _, steps in p.values()], np.ascontiguousarray(t.T)) for (_, p), t in zip(group, tables)]
     return out
 
 
@@ -97,18 +97,24 @@ def expected_value(tree: dict) -> float:
 
 def tree_shap(tree: dict, leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
     """Contributions (features, rows) of one tree to rows ``x`` (features, rows)."""
-    phi = np.zeros(x.shape)
+    phi, n = np.zeros(x.shape), x.shape[1]
     inner = np.flatnonzero(~is_leaf(tree))
-    go = np.zeros((len(tree["left"]), x.shape[1]), dtype=bool)
+    go = np.zeros((len(tree["left"]), n), np.uint16)
     v = x[tree["feature"][inner]]
     go[inner] = np.where(np.isnan(v), tree["missing_left"][inner, None], v <= tree["threshold"][inner, None])
-    stay = ~go
+    stay = 1 - go
+    pattern, both, got = np.empty(n, np.uint16), np.empty(n, np.uint16), np.empty(n)
     for leaf in leaves:
-        pattern = np.zeros(x.shape[1], np.int64)
-        for j, steps in enumerate(leaf.steps):
-            hit = np.logical_and.reduce([go[n] if left else stay[n] for n, left in steps])
-            pattern |= hit.astype(np.int64) << j
-        phi[leaf.features] += leaf.table[pattern].T
+        pattern[:] = 0
+        for steps in reversed(leaf.steps):          # the first feature is the lowest bit
+            hit, *more = (go[k] if left else stay[k] for k, left in steps)
+            for h in more:
+                hit = np.bitwise_and(hit, h, out=both)
+            pattern += pattern
+            pattern += hit
+        at = pattern.astype(np.intp)
+        for f, part in zip(leaf.features, leaf.table):
+            phi[f] += part.take(at, out=got, mode="clip")       # a pattern is always inside its table
     return phi
 
 
@@ -122,11 +128,13 @@ class Explainer:
 
     def phi(self, x: np.ndarray) -> np.ndarray:
         """(rows, features) for ``x`` (rows, features)."""
-        out = np.zeros(x.shape)
+        out = np.empty(x.shape)
         for a in range(0, len(x), ROWS):
             part = np.ascontiguousarray(x[a:a + ROWS].T)
+            phi = np.zeros(part.shape)
             for tree, leaves in zip(self.trees, self.leaves):
-                out[a:a + ROWS] += tree_shap(tree, leaves, part).T
+                phi += tree_shap(tree, leaves, part)
+            out[a:a + ROWS] = phi.T
         return out
 
     def margin(self, x: np.ndarray) -> np.ndarray:

@@ -66,3 +66,48 @@ def test_jobs(spark):
         assert abs(1 / (1 + math.exp(-(g["phi"].sum() + g["base"].iloc[0]))) - scores[i]) < 1e-9
     top = AT.top_features_per_row(AT.row_attributions(spark, df.limit(3), model, ["id"]), ["id"], 2).collect()
     assert len(top) == 6 and {r["rank"] for r in top} == {1, 2}
+
+
+def _by_leaf(tree, leaves, x):
+    """Contributions row set by row set, as plainly as the leaves say."""
+    phi = np.zeros(x.shape)
+    go = np.zeros((len(tree["left"]), x.shape[1]), dtype=bool)
+    for i in np.flatnonzero(~B.is_leaf(tree)):
+        v = x[tree["feature"][i]]
+        go[i] = np.where(np.isnan(v), tree["missing_left"][i], v <= tree["threshold"][i])
+    for leaf in leaves:
+        pattern = np.zeros(x.shape[1], np.int64)
+        for j, steps in enumerate(leaf.steps):
+            hit = np.logical_and.reduce([go[n] if left else ~go[n] for n, left in steps])
+            pattern |= hit.astype(np.int64) << j
+        phi[leaf.features] += leaf.table[:, pattern]
+    return phi
+
+
+def test_attributions_are_those_of_the_leaves_and_faster():
+    import time
+    rng = np.random.default_rng(1)
+    t = B.Tree()
+    front = [t.add(1 << 12, 0)]
+    for _ in range(62):
+        a = front.pop(0)
+        pair = (t.add(t.n[a] // 2, int(rng.integers(-9**8, 9**8))), t.add(t.n[a] - t.n[a] // 2, int(rng.integers(-9**8, 9**8))))
+        t.split(a, B.Split(1.0, int(rng.integers(0, 20)), 5, bool(rng.integers(0, 2)), (0, 0, 0), (0, 0, 0)), float(rng.normal()), pair)
+        front += pair
+    t.depth = 6
+    tree = t.packed()
+    leaves = AT.path_tables(tree)
+    x = rng.normal(size=(20, AT.ROWS))
+    x[rng.random(x.shape) < 0.1] = np.nan
+
+    def seconds(f, rows):
+        took = []
+        for _ in range(5):
+            start = time.perf_counter()
+            for a in range(0, x.shape[1], rows):
+                f(tree, leaves, np.ascontiguousarray(x[:, a:a + rows]))
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    np.testing.assert_array_equal(AT.tree_shap(tree, leaves, x), _by_leaf(tree, leaves, x))
+    assert seconds(AT.tree_shap, AT.ROWS) < 0.8 * seconds(_by_leaf, 2048)
