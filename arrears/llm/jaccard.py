@@ -7,17 +7,21 @@ Texts become sets of hashed n-word shingles. The join runs in four steps:
    one class from here on.
 2. **Candidates.** Two sets that link share at least ``k`` of their
    ``size - need + k`` lowest hashes (prefix principle; ``need`` is the least
-   overlap a link leaves room for, ``k`` about a twentieth of the size). Only
-   hashes that two classes have are kept, classes with too few of them go, and
-   of the rest only the rarest-first prefix can hold the first common hash.
-   Classes with a common prefix hash are chained into coarse groups. No pairs
-   are made: every hash ties its classes to the least of them.
+   overlap a link leaves room for, ``k`` about a twentieth of the size). Classes
+   with too few hashes that another class has go. Whole sets of the rest are
+   cut into parts by ranges of hashes, more parts than two linked sets have
+   hashes that differ, so some parts must be equal; an equal part is several
+   hashes that agree and none beside them, which common phrases alone seldom
+   give. The prefix principle is used again on the parts' fingerprints: only
+   the rarest of them count, as many as must hold a common one. Classes with a
+   common one are chained into coarse groups. No pairs are made: every
+   fingerprint ties its classes to the least of them.
 3. **Prefix trees** (`trie_links`). Whole sets of the surviving classes are
    dealt to blocks of bounded size inside their group, by set size. In a
    block the sets, ordered by block-wide frequency, are stored in a trie of
-   merged runs; each set walks it once, adding the overlap of shared runs for
+   merged runs; they walk it many at once, adding the overlap of shared runs for
    all sets below, leaving subtrees whose remaining length or set sizes cannot
-   reach the threshold, and subtrees that already are its own component.
+   reach the threshold, and subtrees that already are their own component.
    Groups of several blocks go on with neighbouring blocks, then with what is
    still apart from the group's largest component against every block.
 4. **Components** of the links found, joined back to all rows.
@@ -39,6 +43,7 @@ component is named by its least id (null ids only: null).
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,10 +56,12 @@ from arrears.llm.store import Scratch, free_name
 from arrears.llm.text import SPACED, buffers, mix, shingle_sets, slices, words
 
 SLACK = 20               # one extra common prefix hash is asked for per so many shingles
+SPARE = 6                # one more part, and one more that must agree, for so many hashes that may differ
+WALK_CELLS = 8_000_000   # ranks x sets that walk a trie at once: 24 MB
 BLOCK_TOKENS = 2_000_000  # shingles of one block: 16 MB, and what one trie holds
 
 SKETCH = "doc_id bigint, key bigint, n bigint, cid bigint, pre array<bigint>"
-SETS = "cid bigint, n bigint, tokens binary"
+SETS = "cid bigint, n bigint, tokens binary, own array<bigint>, own_least bigint, below array<bigint>, below_least bigint"
 
 
 def need(n: int, num: int, den: int) -> int:
@@ -82,14 +89,47 @@ def _sketch(k: int, num: int, den: int):
     return run
 
 
-def _whole_sets(k: int):
+def _ranges(most: int, num: int, den: int) -> list[int]:
+    """First sizes of size ranges, up to one beyond ``most``: a set links with
+    none that is more than one range larger."""
+    first = [1, 2]
+    while first[-1] <= most:
+        first.append(max(first[-1] + 1, (first[-1] - 1) * den // num + 1))
+    return first
+
+
+def _parts(s: np.ndarray, low: int, high: int, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Fingerprints of the parts of a set, and how many of them it has in common
+    with any set it links to, if the smaller one's size is in low..high - 1.
+    Linked sets differ in ``far`` hashes at most, so in no more parts; parts
+    are ranges of hashes, the same for all sets under the same low and high."""
+    far = (high - 1) * (den - num) // num
+    count = far + 1 + far // SPARE
+    step = (1 << 64) // count + 1
+    edges = np.searchsorted(s, np.array([i * step for i in range(1, count)], dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
+    ends = np.concatenate([[0], edges, [len(s)]])
+    place = mix(np.arange(count, dtype=np.uint64) + np.uint64(low << 32))
+    return mix(sums[ends[1:]] - sums[ends[:-1]] + place), count - far
+
+
+def _whole_sets(k: int, num: int, den: int):
+    """Whole sets with the fingerprints of their parts: under their own size
+    range, where they meet sets of this range and of the next, and under the
+    one below, where they meet smaller sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = [s for s in shingle_sets(*words(*buffers(part.column("text")), SPACED), k) if len(s)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["cid", "n", "tokens"])
+                first = _ranges(max(map(len, sets), default=1), num, den)
+                at = [bisect.bisect_right(first, len(s)) - 1 for s in sets]
+                own = [_parts(s, first[i], first[i + 1], num, den) for s, i in zip(sets, at)]
+                below = [_parts(s, first[i - 1], first[i], num, den) if i else (np.zeros(0, np.uint64), 1) for s, i in zip(sets, at)]
+                columns = [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                           pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())]
+                for marks in (own, below):
+                    columns += [pa.array([x.view(np.int64) for x, _ in marks], pa.list_(pa.int64())), pa.array([y for _, y in marks], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "tokens", "own", "own_least", "below", "below_least"])
     return run
 
 
@@ -182,53 +222,102 @@ def _build(seqs: list[np.ndarray], sizes: list[int]) -> _Node:
     return root
 
 
-def trie_links(sizes: list[int], sets: list[np.ndarray], num: int, den: int, labels: list | None = None) -> list[tuple[int, int]]:
-    """Links, each to the first set of its component, that join the sets into
-    their components under Jaccard >= num/den. Sets with an equal label (not
-    None) are connected beforehand and get no links for it."""
-    forest = _Forest(labels or [None] * len(sets))
-    ranks = _ranked(sets, sizes, num, den)
-    order = sorted((i for i in range(len(sets)) if ranks[i] is not None), key=lambda i: ranks[i].astype(">u4").tobytes())
-    if len(order) < 2:
-        return []
-    before = [forest.find(i) for i in range(len(sets))]
-    seqs, size = [ranks[i] for i in order], [sizes[i] for i in order]
-    forest_of = order                             # position in the trie -> index of the set
-    root = _build(seqs, size)
-    mask = np.zeros(max(int(r[-1]) for r in seqs) + 1, dtype=np.int8)
-
-    def settle(node: _Node) -> None:
-        """Mark a subtree that is one component now."""
-        if all(k.same for k in node.kids):
-            heads = {forest.find(forest_of[k.lo]) for k in node.kids} | {forest.find(forest_of[i]) for i in node.own}
-            node.same = len(heads) == 1
-
-    for p, me in enumerate(order):
-        seq, nx = seqs[p], size[p]
-        mask[seq] = 1
-        small, large = -(-num * nx // den), den * nx // num
-        todo = [(root, 0, False)]
+class _Walk:
+    """Some sets on their way through a trie together. ``cum[r]`` says how many
+    hashes of rank below r each of them has, ``has[r]`` whether it has rank r."""
+
+    def __init__(self, seqs: list[np.ndarray], sizes: list[int], width: int, num: int, den: int):
+        self.lens = np.array([len(x) for x in seqs])
+        self.size = np.array(sizes)
+        self.small, self.large = -(-num * self.size // den), den * self.size // num
+        self.has = np.zeros((width, len(seqs)), dtype=np.uint8)
+        self.has[np.concatenate(seqs), np.repeat(np.arange(len(seqs)), self.lens)] = 1
+        self.cum = np.zeros((width + 1, len(seqs)), dtype=np.uint16 if self.lens.max() < 1 << 16 else np.int32)
+        np.cumsum(self.has, axis=0, dtype=self.cum.dtype, out=self.cum[1:])
+
+    def overlap(self, run: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """How many hashes of a node's run each of the rows has."""
+        if not len(run):
+            return np.zeros(len(rows), dtype=np.int64)
+        if run[-1] - run[0] == len(run) - 1:                    # neighbouring ranks
+            return self.cum[run[-1] + 1, rows].astype(np.int64) - self.cum[run[0], rows]
+        few = 4 * len(rows) < self.has.shape[1]
+        found = (self.has[run[:, None], rows] if few else self.has[run]).sum(axis=0, dtype=np.int64)
+        return found if few else found[rows]
+
+
+def _walks(ranks: list, sizes: list[int], num: int, den: int, sides: list | None, same=None, settle=None) -> Iterator[tuple[int, list[int]]]:
+    """(i, others) for sets in ranks that link under Jaccard >= num/den; many
+    sets walk the trie at once, each pair is met once. With ``sides`` (0 or 1
+    for each set) the sets of side 1 walk a trie of those of side 0. ``same`` takes a node and the walkers and says which need
+    not go on, ``settle`` a node whose subtree is done."""
+    order = sorted((i for i in range(len(ranks)) if ranks[i] is not None), key=lambda i: ranks[i].astype(">u4").tobytes())
+    stored = order if sides is None else [i for i in order if sides[i] == 0]
+    walkers = order if sides is None else [i for i in order if sides[i] == 1]
+    if not stored or not walkers:
+        return
+    size = [sizes[i] for i in stored]
+    root = _build([ranks[i] for i in stored], size)
+    width = max(int(ranks[i][-1]) for i in order) + 1
+    step = max(1, WALK_CELLS // width)
+    place = {x: p for p, x in enumerate(stored)}
+    for lo in range(0, len(walkers), step):
+        me = np.array(walkers[lo:lo + step])
+        upto = lo + len(me) if sides is None else len(stored)    # a pair is met by its later set
+        w = _Walk([ranks[i] for i in me.tolist()], [sizes[i] for i in me.tolist()], width, num, den)
+        at = np.array([place.get(i, len(stored)) for i in me.tolist()])
+        todo = [(root, np.arange(len(me)), np.zeros(len(me), dtype=np.int64), False)]
         while todo:
-            node, overlap, done = todo.pop()
+            node, rows, overlap, done = todo.pop()
             if done:
-                settle(node)
+                settle(node, stored)
                 continue
-            if node.most < small or node.least > large:
+            if node.lo >= upto:
                 continue
-            if node.same and forest.find(forest_of[node.lo]) == forest.find(me):
+            go = (w.small[rows] <= node.most) & (w.large[rows] >= node.least)
+            if same is not None and node.same:
+                go &= ~same(stored[node.lo], me[rows])
+            rows, overlap = rows[go], overlap[go]
+            if not len(rows):
                 continue
-            overlap += int(mask[node.run].sum())
-            rest = min(node.below, len(seq) - int(np.searchsorted(seq, node.last, side="right")))
-            if (overlap + rest) * (num + den) < num * (nx + max(node.least, small)):
+            overlap = overlap + w.overlap(node.run, rows)
+            rest = np.minimum(node.below, w.lens[rows] - w.cum[node.last + 1, rows])
+            go = (overlap + rest) * (num + den) >= num * (w.size[rows] + np.maximum(node.least, w.small[rows]))
+            rows, overlap = rows[go], overlap[go]
+            if not len(rows):
                 continue
             for i in node.own:
-                other = forest_of[i]
-                if other != me and small <= size[i] <= large and overlap * (num + den) >= num * (nx + size[i]) and forest.find(other) != forest.find(me):
-                    forest.join(me, other)
-            if not node.same:
-                todo.append((node, overlap, True))
-            todo += [(k, overlap, False) for k in node.kids]
-        mask[seq] = 0
+                met = rows[(at[rows] > i if sides is None else True) & (w.small[rows] <= size[i]) & (size[i] <= w.large[rows])
+                           & (overlap * (num + den) >= num * (w.size[rows] + size[i]))]
+                if len(met):
+                    yield stored[i], me[met].tolist()
+            if settle is not None and not node.same:
+                todo.append((node, rows, overlap, True))
+            todo += [(k, rows, overlap, False) for k in node.kids]
+
+
+def trie_links(sizes: list[int], sets: list[np.ndarray], num: int, den: int, labels: list | None = None, sides: list | None = None) -> list[tuple[int, int]]:
+    """Links, each to the first set of its component, that join the sets into
+    their components under Jaccard >= num/den. Sets with an equal label (not
+    None) are connected beforehand and get no links for it. With ``sides`` (0
+    or 1 for each set) only pairs of both sides are looked for."""
+    forest = _Forest(labels or [None] * len(sets))
+    before = [forest.find(i) for i in range(len(sets))]
+    heads = np.array(before)                      # of each set, its component as it is now
+
+    def same(i: int, others: np.ndarray) -> np.ndarray:
+        return heads[others] == heads[i]
+
+    def settle(node: _Node, stored: list[int]) -> None:
+        """Mark a subtree that is one component now."""
+        if all(k.same for k in node.kids):
+            node.same = len({int(heads[stored[k.lo]]) for k in node.kids} | {int(heads[stored[i]]) for i in node.own}) == 1
+
+    for i, others in _walks(_ranked(sets, sizes, num, den), sizes, num, den, sides, same, settle):
+        for x in others:
+            if heads[x] != heads[i]:
+                forest.join(i, x)
+                heads[heads == heads[x]] = heads[i]
     head: dict[int, int] = {}
     for i in range(len(sets)):
         head.setdefault(forest.find(i), i)
@@ -238,33 +327,7 @@ def trie_links(sizes: list[int], sets: list[np.ndarray], num: int, den: int, lab
 def trie_pairs(sizes: list[int], sets: list[np.ndarray], num: int, den: int, sides: list | None = None) -> Iterator[tuple[int, list[int]]]:
     """(i, others): the sets that ``i`` links with under Jaccard >= num/den, each
     pair once. With ``sides`` (0 or 1 for each set) only pairs of both sides."""
-    ranks = _ranked(sets, sizes, num, den)
-    order = sorted((i for i in range(len(sets)) if ranks[i] is not None), key=lambda i: ranks[i].astype(">u4").tobytes())
-    stored = order if sides is None else [i for i in order if sides[i] == 0]
-    walkers = order if sides is None else [i for i in order if sides[i] == 1]
-    if not stored or not walkers:
-        return
-    size = [sizes[i] for i in stored]
-    root = _build([ranks[i] for i in stored], size)
-    mask = np.zeros(max(int(ranks[i][-1]) for i in order) + 1, dtype=np.int8)
-    for p, me in enumerate(walkers):
-        seq, nx, upto = ranks[me], sizes[me], p if sides is None else len(stored)
-        mask[seq] = 1
-        small, large = -(-num * nx // den), den * nx // num
-        found, todo = [], [(root, 0)]
-        while todo:
-            node, overlap = todo.pop()
-            if node.lo >= upto or node.most < small or node.least > large:
-                continue
-            overlap += int(mask[node.run].sum())
-            rest = min(node.below, len(seq) - int(np.searchsorted(seq, node.last, side="right")))
-            if (overlap + rest) * (num + den) < num * (nx + max(node.least, small)):
-                continue
-            found += [stored[i] for i in node.own if i < upto and small <= size[i] <= large and overlap * (num + den) >= num * (nx + size[i])]
-            todo += [(k, overlap) for k in node.kids]
-        mask[seq] = 0
-        if found:
-            yield me, found
+    return _walks(_ranked(sets, sizes, num, den), sizes, num, den, sides)
 
 
 def _pairs_task(num: int, den: int, pairs: bool):
@@ -303,36 +366,49 @@ def _trie_task(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         a, b = [], []
         by_group: dict = {}
-        for g, cid, n, tokens, label in zip(*(table.column(c).to_pylist() for c in ("grp", "cid", "n", "tokens", "label"))):
-            by_group.setdefault(g, {})[cid] = (n, tokens, label)
+        for g, cid, n, tokens, label, side in zip(*(table.column(c).to_pylist() for c in ("grp", "cid", "n", "tokens", "label", "side"))):
+            by_group.setdefault(g, {})[cid] = (n, tokens, label, side)
         for rows in by_group.values():
             if len(rows) < 2:
                 continue
             ids = sorted(rows)
-            found = trie_links([rows[i][0] for i in ids], [np.frombuffer(rows[i][1], "<u8") for i in ids], num, den, [rows[i][2] for i in ids])
+            sides = [rows[i][3] for i in ids]
+            found = trie_links([rows[i][0] for i in ids], [np.frombuffer(rows[i][1], "<u8") for i in ids], num, den, [rows[i][2] for i in ids],
+                               None if sides[0] is None else sides)
             a += [ids[x] for x, _ in found]
             b += [ids[y] for _, y in found]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
-def _candidates(s: Scratch, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """(cid, n, grp): classes that can link at all, by coarse group."""
+def _alive(s: Scratch, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, n): classes with enough of their lowest hashes in other classes too."""
     rows = classes.select("cid", "n", F.explode("pre").alias("h"))
-    shared = s.write(rows.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("df"))
-                     .where("lo <> hi").select("h", "df"), "shared")
+    shared = s.write(rows.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("h"), "shared")
     kmin = F.expr(f"1 + (({num} * n + {den - 1}) div {den}) div {SLACK}")
-    kept = s.write(rows.join(shared.hint("merge"), "h").select("cid", "n", "h", "df"), "kept")
-    alive = kept.groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("have")).where(F.col("have") >= kmin)
-    alive = s.write(alive.withColumn("front", F.col("have") - kmin + 1).select("cid", "n", "front"), "alive")
-    place = F.row_number().over(Window.partitionBy("cid").orderBy("df", "h"))
-    front = (kept.join(alive.select("cid", "front"), "cid").withColumn("at", place).where("at <= front").select("cid", "h"))
-    front = s.write(front, "front")
+    alive = rows.join(shared.hint("merge"), "h", "left_semi").groupBy("cid").agg(F.first("n").alias("n"), F.count("*").alias("have"))
+    alive = s.write(alive.where(F.col("have") >= kmin).select("cid", "n"), "alive")
+    s.drop("shared")
+    return alive
+
+
+def _candidates(s: Scratch, sets: DataFrame) -> DataFrame:
+    """(cid, n, grp): classes that can link at all, by coarse group: the prefix
+    filter once more, on the fingerprints of their parts."""
+    rows = sets.select("cid", F.inline(F.array(F.struct(F.lit(0).alias("range"), F.col("own").alias("parts"), F.col("own_least").alias("least")),
+                                               F.struct(F.lit(1).alias("range"), F.col("below").alias("parts"), F.col("below_least").alias("least")))))
+    rows = rows.select("cid", "range", "least", F.explode("parts").alias("h"))
+    shared = s.write(rows.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("df"))
+                     .where("lo <> hi").select("h", "df"), "agreeing")
+    kept = s.write(rows.join(shared.hint("merge"), "h").select("cid", "range", "least", "h", "df"), "kept")
+    own = Window.partitionBy("cid", "range")
+    front = kept.withColumns({"have": F.count("*").over(own), "at": F.row_number().over(own.orderBy("df", "h"))})
+    front = s.write(front.where("at <= have - least + 1").select("cid", "h"), "front")
     anchor = s.write(front.groupBy("h").agg(F.min("cid").alias("anchor"), F.max("cid").alias("far")).where("anchor <> far").select("h", "anchor"), "anchor")
-    edges = s.write(front.join(anchor, "h").where("cid <> anchor").select(F.col("cid").alias("a"), F.col("anchor").alias("b")).distinct(), "coarse")
+    edges = s.write(front.join(anchor.hint("merge"), "h").where("cid <> anchor").select(F.col("cid").alias("a"), F.col("anchor").alias("b")).distinct(), "coarse")
     groups = components(s.spark, edges, "jaccard-coarse")
-    out = s.write(alive.join(groups, alive["cid"] == groups["node"]).select("cid", "n", F.col("root").alias("grp")), "candidates")
-    s.drop("shared", "kept", "front", "anchor", "coarse")
+    out = s.write(sets.select("cid", "n").join(groups, F.col("cid") == groups["node"]).select("cid", "n", F.col("root").alias("grp")), "candidates")
+    s.drop("agreeing", "kept", "front", "anchor", "coarse")
     return out
 
 
@@ -362,7 +438,8 @@ def _labelled(s: Scratch, rows: DataFrame, found: DataFrame, name: str) -> DataF
 def _beside(s: Scratch, large: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
     """Every block with the next one of its group."""
     rows = large.withColumn("to", F.explode(F.array("blk", F.col("blk") - 1))).where("to >= 0 and to < last")
-    rows = rows.select(F.concat_ws("/", F.col("grp").cast("string"), F.col("to").cast("string")).alias("unit"), "grp", "cid", "n", "tokens")
+    rows = rows.select(F.concat_ws("/", F.col("grp").cast("string"), F.col("to").cast("string")).alias("unit"), "grp", "cid", "n", "tokens",
+                       (F.col("blk") - F.col("to")).cast("int").alias("side"))
     return _run(s, _labelled(s, rows, found, "l1"), num, den, "beside")
 
 
@@ -378,8 +455,8 @@ def _rest(s: Scratch, large: DataFrame, found: DataFrame, num: int, den: int) ->
                     .select("grp", "from", "blk"), "pairs")
     unit = F.concat_ws("/", F.col("grp").cast("string"), F.col("from").cast("string"), F.col("blk").cast("string")).alias("unit")
     cols = ["grp", "cid", "n", "tokens", "label"]
-    left = apart.withColumnRenamed("blk", "from").join(pairs, ["grp", "from"]).select(unit, *cols)
-    right = rows.join(pairs, ["grp", "blk"]).select(unit, *cols)
+    left = apart.withColumnRenamed("blk", "from").join(pairs, ["grp", "from"]).select(unit, *cols, F.lit(0).alias("side"))
+    right = rows.join(pairs, ["grp", "blk"]).select(unit, *cols, F.lit(1).alias("side"))
     return _run(s, left.union(right), num, den, "apart")
 
 
@@ -414,14 +491,16 @@ def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block
     classes = s.write(sketch.where("cid is not null").groupBy("cid").agg(
         F.first("n").alias("n"), F.first("pre").alias("pre"), F.min("key").alias("key")), "classes")
     s.drop("sketch")
-    cand = _candidates(s, classes.select("cid", "n", "pre"), num, den)
-    blocks = _blocks(s, cand, block_tokens)
-    chosen = s.write(classes.select("cid", "key").join(cand.select("cid"), "cid", "left_semi").select(F.col("key").alias("pick")).distinct(), "chosen")
+    alive = _alive(s, classes.select("cid", "n", "pre"), num, den)
+    chosen = s.write(classes.select("cid", "key").join(alive.select("cid"), "cid", "left_semi").select(F.col("key").alias("pick")).distinct(), "chosen")
     s.drop("classes")
+    picked = texts.join(chosen.hint("merge"), texts["key"] == chosen["pick"], "left_semi").select("text")
+    whole = s.write(picked.mapInArrow(_whole_sets(k, num, den), SETS), "whole", large_rows=True)
+    blocks = _blocks(s, _candidates(s, whole), block_tokens)
     if every:
         blocks = s.write(blocks.join(rows.groupBy("cid").agg(F.count("*").alias("c")), "cid"), "sized")
-    picked = texts.join(chosen.hint("merge"), texts["key"] == chosen["pick"], "left_semi").select("text")
-    sets = s.write(picked.mapInArrow(_whole_sets(k), SETS).join(blocks.drop("n").hint("merge"), "cid"), "sets", large_rows=True)
+    sets = s.write(whole.select("cid", "n", "tokens").join(blocks.drop("n").hint("merge"), "cid"), "sets", large_rows=True)
+    s.drop("whole")
     # groups of one block share units, several groups to a unit
     tokens = blocks.where("last = 0").agg(F.sum("n")).first()[0] or 0
     packs = max(1, -(-int(tokens) // block_tokens))
@@ -431,8 +510,9 @@ def jaccard_links(s: Scratch, docs: DataFrame, k: int, num: int, den: int, block
         found = _every(s, sets, unit, num, den, every == "pairs")
         s.drop("sets")
         return rows, found
-    none = F.lit(None).cast("long").alias("label")
-    found = _run(s, sets.select(unit.alias("unit"), "grp", "cid", "n", "tokens", none), num, den, "inside")
+    none = F.lit(None)
+    found = _run(s, sets.select(unit.alias("unit"), "grp", "cid", "n", "tokens", none.cast("long").alias("label"), none.cast("int").alias("side")),
+                 num, den, "inside")
     large = sets.where("last > 0")
     if large.limit(1).count():
         found = found.union(_beside(s, large, found, num, den))

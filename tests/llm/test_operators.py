@@ -2,6 +2,7 @@
 labels, and on nulls, empty tables, repeated rows and clashing columns."""
 
 import base64
+import bisect
 import gzip
 import hashlib
 import random
@@ -188,6 +189,73 @@ def test_trie_links_brute_force(seed):
     assert [find(i) for i in range(len(sets))] == brute_components(sets, 85, 100)
 
 
+@pytest.mark.parametrize("num", [80, 85])
+@pytest.mark.parametrize("n", [1, 5, 7, 24, 60, 331])
+def test_linked_sets_agree_in_parts(n, num):
+    """Sets that link just so have as many equal parts as _parts says, under the smaller one's size range."""
+    rng = np.random.default_rng(n)
+    for _ in range(40):
+        a = n + int(rng.integers(0, 3))
+        b = int(rng.integers(a, a * 100 // num + 1))
+        both = -(-num * (a + b) // (num + 100))       # the least overlap that links
+        if both > a:
+            continue
+        x = rng.integers(0, 1 << 63, a + b - both, dtype=np.uint64) * np.uint64(2)
+        small, large = np.sort(x[:a]), np.sort(x[a - both:])
+        first = jaccard._ranges(b, num, 100)
+        i = bisect.bisect_right(first, a) - 1
+        assert bisect.bisect_right(first, b) - 1 - i in (0, 1)
+        (p, least), (q, _) = (jaccard._parts(s, first[i], first[i + 1], num, 100) for s in (small, large))
+        assert len(p) == len(q) and (p == q).sum() >= least > 0
+
+
+def test_common_phrases_make_no_groups(spark, monkeypatch):
+    """Texts that have a phrase in common and nothing else are not gathered in one group."""
+    rng, seen = random.Random(3), []
+    write = Scratch.write
+
+    def noted(self, df, name, *more, **options):
+        out = write(self, df, name, *more, **options)
+        if name == "candidates":
+            seen.extend(r["count"] for r in out.groupBy("grp").count().collect())
+        return out
+    monkeypatch.setattr(Scratch, "write", noted)
+    phrase = " ".join(f"p{i}" for i in range(17))
+    docs = [(i, " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(53)) + " " + phrase) for i in range(300)]
+    docs += [(1000 + i, t + " more") for i, t in docs[:20]]
+    rows = jaccard.jaccard_components(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), 4, 85, 100).collect()
+    assert all(r.component_id == r.doc_id % 1000 for r in rows)
+    assert max(seen) <= 30
+
+
+@pytest.mark.parametrize("cells", [1, 3000, 8_000_000])
+def test_trie_links_of_two_sides(monkeypatch, cells):
+    """However many sets walk at once, and with sides only pairs of both."""
+    monkeypatch.setattr(jaccard, "WALK_CELLS", cells)
+    rng = random.Random(cells)
+    base = [rng.sample(range(200), 40) for _ in range(4)]
+    sets = []
+    for i in range(60):
+        s = set(base[i % 4])
+        for _ in range(rng.randrange(5)):
+            s.discard(rng.choice(sorted(s)))
+            s.add(rng.randrange(200, 400))
+        sets.append(s)
+    sides = [rng.randrange(2) for _ in sets]
+    args = [len(s) for s in sets], [np.array(sorted(s), np.uint64) for s in sets], 85, 100
+    linked = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and 100 * len(a & b) >= 85 * len(a | b)}
+    across = {(i, j) for i, j in linked if sides[i] != sides[j]}
+    for want, of in ((linked, None), (across, sides)):
+        assert sorted(tuple(sorted((i, x))) for i, others in jaccard.trie_pairs(*args, of) for x in others) == sorted(want)
+        roots = []
+        for edges in (want, jaccard.trie_links(*args, None, of)):
+            forest = jaccard._Forest([None] * len(sets))
+            for a, b in edges:
+                forest.join(a, b)
+            roots.append([min(x for x in range(len(sets)) if forest.find(x) == forest.find(i)) for i in range(len(sets))])
+        assert roots[0] == roots[1]
+
+
 @pytest.mark.parametrize("block", [300, 1_000_000])
 def test_jaccard_blocks(spark, block):
     rng = random.Random(5)
