@@ -209,7 +209,8 @@ def test_linked_sets_agree_in_parts(n, num):
         assert len(p) == len(q) and (p == q).sum() >= least > 0
 
 
-def test_common_phrases_make_no_groups(spark, monkeypatch):
+@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
+def test_common_phrases_make_no_groups(spark, monkeypatch, k, num):
     """Texts that have a phrase in common and nothing else are not gathered in one group."""
     rng, seen = random.Random(3), []
     write = Scratch.write
@@ -223,8 +224,9 @@ def test_common_phrases_make_no_groups(spark, monkeypatch):
     phrase = " ".join(f"p{i}" for i in range(17))
     docs = [(i, " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(53)) + " " + phrase) for i in range(300)]
     docs += [(1000 + i, t + " more") for i, t in docs[:20]]
-    rows = jaccard.jaccard_components(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), 4, 85, 100).collect()
-    assert all(r.component_id == r.doc_id % 1000 for r in rows)
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert all(r.component_id == r.doc_id % 1000 for r in jaccard.jaccard_components(spark, docs, k, num, 100).collect())
+    assert sorted(r.doc_id for r in jaccard.one_per_group(spark, docs, k, num, 100).collect()) == list(range(300))
     assert max(seen) <= 30
 
 
